@@ -100,7 +100,7 @@ WITH named AS ({INTERVAL_SQL}),
        SELECT 'peakset' AS src, groupreplicate AS entity, seqnames, start_pos AS s, end_pos AS e FROM peakset
        UNION ALL
        SELECT 'grouppeaks', grp, seqname, TRY_CAST(s_txt AS BIGINT), TRY_CAST(e_txt AS BIGINT) FROM named WHERE seqname <> ''),
-     ok AS (SELECT * FROM rows WHERE entity IS NOT NULL AND seqnames IS NOT NULL AND e >= s),
+     ok AS (SELECT DISTINCT * FROM rows WHERE entity IS NOT NULL AND seqnames IS NOT NULL AND e >= s),
      seen AS (SELECT *, max(e) OVER (PARTITION BY src, entity, seqnames ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ok),
      isl AS (SELECT *, sum(CASE WHEN seen IS NULL OR s > seen + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY src, entity, seqnames ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM seen),
      per AS (SELECT src, entity, seqnames, g, min(s) AS start_pos, max(e) AS end_pos FROM isl GROUP BY src, entity, seqnames, g),
