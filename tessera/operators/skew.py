@@ -115,3 +115,19 @@ def salted_rank(df: DataFrame, keys: list[str], order: str, ties: list[str] | No
         .withColumn(out, (F.col("_place") + F.coalesce(F.col("_before"), F.lit(0))).cast("long"))
         .drop("_salt", "_place", "_before", "_o_salt", *[f"_o_{k}" for k in keys])
     )
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", **kw) -> DataFrame:
+    """Join ``big`` with ``small`` (unique in ``keys``) where few keys may hold most rows of ``big``.
+
+    The rows of heavy keys meet their partners by a broadcast of at most
+    ``max_heavy`` rows of ``small``; all others by an ordinary shuffled join.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.  Rows with a
+    null key have no partner.  ``big`` is read twice, so it should be a table.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(how)
+    heavy = heavy_keys(big.select(*keys).dropna(), keys, **kw).select(*keys)
+    hot = big.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(small.join(F.broadcast(heavy), keys, "left_semi")), keys, how)
+    cold = big.join(F.broadcast(heavy), keys, "left_anti").join(small, keys, how)
+    return hot.unionByName(cold)
