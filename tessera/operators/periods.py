@@ -8,9 +8,13 @@ many tasks; periods that cross slabs are joined from one summary row per slab.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialise
+
 
 def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", slab: int = 1 << 24) -> DataFrame:
     """Covered periods and the gaps between successive ones, per combination of ``keys``.
@@ -23,8 +27,6 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_pos", e
     out.  Repeated and nested rows change nothing.  Extra columns are ignored;
     an empty table gives no rows.  Positions are integers of at most 10**11.
     """
-    from functools import reduce
-
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     rows = df.where(known & (F.col(end) >= F.col(start))).select(
         *keys, F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e")
@@ -32,6 +34,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_pos", e
     rows = rows.withColumn("_slab", F.floor(F.col("_s") / F.lit(slab)))
     session = F.session_window(F.timestamp_seconds("_s"), F.expr("make_interval(0, 0, 0, 0, 0, 0, _e - _s + 1)"))
     merged = rows.groupBy(*keys, "_slab", session.alias("_w")).agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")).drop("_w")
+    merged = materialise(merged, "periods")
 
     # One row per slab: how far the slabs before it reach.
     slabs = merged.groupBy(*keys, "_slab").agg(F.max("_e").alias("_reach"))

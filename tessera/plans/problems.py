@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators.periods import periods_and_gaps
 from tessera.operators.skew import salted_aggregate, salted_rank
-from tessera.sources.tables import interval_from_text, latest, table
+from tessera.sources.tables import latest, table, with_intervals
 
-#: DuckDB's spelling of :func:`interval_from_text`.
+#: DuckDB's spelling of :func:`with_intervals`.
 INTERVAL_SQL = r"""
   SELECT *, replace(regexp_extract(peaks, p, 2), ',', '') AS s_txt, replace(regexp_extract(peaks, p, 3), ',', '') AS e_txt,
          regexp_extract(peaks, p, 1) AS seqname
@@ -63,10 +63,8 @@ def _intervals(spark: SparkSession, root: str) -> DataFrame:
     peaks = table(spark, root, "peakset").select(
         F.lit("peakset").alias("src"), F.col("groupreplicate").alias("entity"), "seqnames", "start_pos", "end_pos"
     )
-    named = table(spark, root, "grouppeaks").select("grp", interval_from_text(F.col("peaks")).alias("i"))
-    named = named.where(F.col("i").isNotNull()).select(
-        F.lit("grouppeaks").alias("src"), F.col("grp").alias("entity"), F.col("i.seqname").alias("seqnames"), "i.start_pos", "i.end_pos"
-    )
+    named = with_intervals(table(spark, root, "grouppeaks").select("grp", "peaks"), "peaks")
+    named = named.select(F.lit("grouppeaks").alias("src"), F.col("grp").alias("entity"), "seqnames", "start_pos", "end_pos")
     return peaks.unionByName(named)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,20 +23,27 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     return out.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest], version).select(*df.columns)
 
 
-def interval_from_text(text: Column) -> Column:
-    """``struct(seqname, start_pos, end_pos)`` of an interval written as text, or null.
+#: An interval as text: seqname, start, end. Greedy from the left, so it is decided from the right end.
+_INTERVAL = (
+    r"^\s*(.*[^\s:_-])\s*[:_-]\s*([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)\s*(?:-|_|\.\.)\s*([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)\s*$"
+)
+
+
+def with_intervals(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with seqnames, start_pos and end_pos read from the column ``text``; unreadable rows are left out.
 
     Accepted spellings: ``chr1:10-20``, ``chr1:10..20``, ``chr1-10-20``,
-    ``chr1_10_20``, thousands commas in the numbers, and blanks around it.  The
-    seqname may itself hold an underscore.  The result is null where the text
-    is null or unreadable, or where the end lies before the start.
+    ``chr1_10_20``, thousands commas in the numbers, and blanks around the
+    parts.  The seqname may itself hold an underscore.  Rows whose text is null or
+    unreadable, or whose end lies before the start, are left out.  Existing
+    columns of the three names are replaced.
+
+    The pattern is matched once a row: the generator keeps Catalyst from
+    copying the match into every expression that uses a part of it.
     """
-    number = r"([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)"
-    pattern = rf"^\s*(\S.*?|\S)\s*[:_-]\s*{number}\s*(?:-|_|\.\.)\s*{number}\s*$"
-    get = lambda i: F.regexp_extract(text, pattern, i)
-    parts = F.struct(
-        get(1).alias("seqname"),
-        F.regexp_replace(get(2), ",", "").try_cast("long").alias("start_pos"),
-        F.regexp_replace(get(3), ",", "").try_cast("long").alias("end_pos"),
-    )
-    return F.when(parts["end_pos"] >= parts["start_pos"], parts)
+    parts = F.split(F.regexp_replace(F.col(text), _INTERVAL, "$1\t$2\t$3"), "\t")
+    rows = df.drop("seqnames", "start_pos", "end_pos").where(F.col(text).isNotNull())
+    rows = rows.select("*", F.explode(F.array(parts)).alias("_parts")).where(F.size("_parts") == 3)
+    number = lambda i: F.replace(F.col("_parts")[i], F.lit(",")).try_cast("long")
+    rows = rows.select(*[c for c in rows.columns if c != "_parts"], F.col("_parts")[0].alias("seqnames"), number(1).alias("start_pos"), number(2).alias("end_pos"))
+    return rows.where(F.col("end_pos") >= F.col("start_pos"))
