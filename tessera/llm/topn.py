@@ -8,27 +8,27 @@ band in which a group is completed is finished by exact ranking of its ties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.skew import heavy_keys
 from tessera.session import discard, materialise
-from tessera.sources.tables import interval_from_text, table
+from tessera.sources.tables import table, with_intervals
 
 #: Quantiles of the score at which bands begin, from the top; what lies below the last is one more band.
 BANDS = (0.95, 0.6, 0.3)
 
 
-def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 5, bands: tuple[float, ...] = BANDS, keep: Column | None = None) -> DataFrame:
+def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 5, bands: tuple[float, ...] = BANDS) -> DataFrame:
     """Columns group, item, score and ``rnk`` (int, 1 to n) of the n best items of every group.
 
     Order: score downwards, then item upwards by bytes.  Items of a group that
     are equal count once, with their best score.  Rows count whose group, item
-    and score are not null, whose score is neither NaN nor infinite, and for
-    which ``keep`` holds; an empty table gives no rows.  Extra columns are ignored.
+    and score are not null and whose score is neither NaN nor infinite; an
+    empty table gives no rows.  Extra columns are ignored.
     """
     sound = F.col(group).isNotNull() & F.col(item).isNotNull() & (F.abs(F.col(score)) < float("inf")) & ~F.isnan(F.col(score))
-    rows = df.where(sound if keep is None else sound & keep).select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.col(score).cast("double").alias("_x"))
+    rows = df.where(sound).select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.col(score).cast("double").alias("_x"))
     cuts = rows.agg(F.percentile_approx("_x", [float(b) for b in bands], 1000)).first()[0] or []
     edges = sorted(set(cuts), reverse=True)
     band = F.lit(len(edges))
@@ -73,8 +73,8 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 5
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """The five peaks of highest mlog10p of every grp."""
-    rows = table(spark, root, "grouppeaks").select("grp", "peaks", "mlog10p")
-    return top_n_per_group(rows, "grp", "peaks", "mlog10p", 5, keep=interval_from_text(F.col("peaks")).isNotNull()).select("grp", "peaks", "rnk")
+    rows = with_intervals(table(spark, root, "grouppeaks").select("grp", "peaks", "mlog10p"), "peaks")
+    return top_n_per_group(rows, "grp", "peaks", "mlog10p", 5).select("grp", "peaks", "rnk")
 
 
 QUERIES = {"p2_found": p2_found}
