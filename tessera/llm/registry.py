@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import components, percentiles, tokenizer, topn
+from tessera.llm import components, percentiles, sentences, tokenizer, topn
 
-_MODULES = (topn, percentiles, components, tokenizer)
+_MODULES = (topn, percentiles, components, tokenizer, sentences)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
