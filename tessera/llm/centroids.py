@@ -37,10 +37,10 @@ def spread_out(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def fit(x: np.ndarray, k: int, rounds: int = 5, seed: int = 7, largest: float | None = None) -> np.ndarray:
-    """At most ``k`` k-means centroids of ``x``; with ``largest``, groups of more than that share of ``x`` are then split in two until none is left."""
+    """At most ``k`` k-means centroids of ``x``, begun from rows drawn apart from each other (beyond 512 at random); with ``largest``, groups of more than that share of ``x`` are then split in two until none is left."""
     rng = np.random.default_rng(seed)
     x = np.ascontiguousarray(x, np.float32)
-    c = spread_out(x, min(k, len(x)), rng)
+    c = spread_out(x, min(k, len(x)), rng) if k <= 512 else x[rng.choice(len(x), min(k, len(x)), replace=False)]
     near = np.zeros(len(x), np.int64)
     for _ in range(rounds):
         for a in range(0, len(x), 8192):
