@@ -26,7 +26,7 @@ LIST_ROWS, MOST_LISTS, SAMPLE = 2000, 8192, 50_000
 #: A vector is posted in at most COPIES lists whose centroids are at most POST times as far as the nearest one.
 POST, COPIES = 1.1, 4
 #: A query reads at most PROBES lists whose centroids are at most READ times as far as the nearest one.
-READ, PROBES = 1.15, 4
+READ, PROBES = 1.25, 6
 #: Largest part of a list that one task compares with as many queries; longer lists are cut into such parts.
 BLOCK = 8192
 
