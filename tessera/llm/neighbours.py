@@ -83,7 +83,7 @@ class CentroidGraph:
 
 
 def _posted(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Rows (vid, v, asks) as (list, flags, vid, v): flag 1, the list holds the vector; flag 2, it is asked for its neighbours."""
+    """Rows (vid, v, asks) as (list, flags, vid, v), v being the vector's bytes: flag 1, the list holds the vector; flag 2, it is asked for its neighbours."""
     shared = rows.sparkSession.sparkContext.broadcast(centroids)  # at most MOST_LISTS vectors, before splits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,28 +101,56 @@ def _posted(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
                 rank = np.arange(ids.shape[1])[None]
                 flags = ((ratio <= POST) & (rank < COPIES)) + 2 * ((ratio <= READ) & asks[:, None])
                 r, k = np.nonzero(flags)
-                taken = batch.take(pa.array(r))
+                ends = np.arange(len(r) + 1, dtype=np.int32) * (x.itemsize * x.shape[1])
+                raw = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x[r]))])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[r, k].astype(np.int32)), pa.array(flags[r, k].astype(np.int8)), taken.column(0), taken.column(1)], names=["list", "flags", "vid", "v"]
+                    [pa.array(ids[r, k].astype(np.int32)), pa.array(flags[r, k].astype(np.int8)), batch.column(0).take(pa.array(r)), raw], names=["list", "flags", "vid", "v"]
                 )
 
-    return rows.select("vid", "v", "asks").mapInArrow(run, "list int, flags tinyint, vid bigint, v array<float>")
+    return rows.select("vid", "v", "asks").mapInArrow(run, "list int, flags tinyint, vid bigint, v binary")
+
+
+def _with_norm(x: np.ndarray, first: bool) -> np.ndarray:
+    """Two more columns, so that the product of a row with one of the other kind is minus half their squared distance."""
+    half, one = -0.5 * (x * x).sum(1, keepdims=True), np.ones((len(x), 1), x.dtype)
+    return np.concatenate([x, half, one] if first else [x, one, half], 1)
+
+
+def _of_pairs(q: np.ndarray, p: np.ndarray, q_id: np.ndarray, p_id: np.ndarray, r: np.ndarray, c: np.ndarray, k: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (r, c) of a query and a vector within ``radius``, the k nearest of each query."""
+    exact = np.sqrt(((q[r].astype(np.float64) - p[c]) ** 2).sum(1))
+    keep = (exact <= radius) & (q_id[r] != p_id[c])
+    r, n_id, exact = r[keep], p_id[c[keep]], exact[keep]
+    order = np.lexsort((n_id, exact, r))
+    r, n_id, exact = r[order], n_id[order], exact[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    first = place < k
+    return q_id[r[first]], n_id[first], exact[first]
 
 
 def _compare(k: int, radius: float | None):
     def run(group: pa.Table) -> pa.Table:
         vid = group.column("vid").to_numpy()
         flags = group.column("flags").to_numpy()
-        x = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(vid), -1)
+        x = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float32).reshape(len(vid), -1)
         held, asked = np.flatnonzero(flags & 1), np.flatnonzero(flags & 2)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         p, p_id = x[held], vid[held]
         top = min(k + 4, len(held))  # the extra ones outweigh the rounding of single precision
+        middle = p.mean(0) if top else 0
+        p_ = _with_norm(p - middle, first=False) if top else p
         for a in range(0, len(asked) if top else 0, 1024):
             q, q_id = x[asked[a : a + 1024]], vid[asked[a : a + 1024]]
-            d2 = distances2(q, p)
-            d2[q_id[:, None] == p_id[None]] = np.inf
-            near = np.argpartition(d2, top - 1, 1)[:, :top]
+            q_ = _with_norm(q - middle, first=True)
+            half = q_ @ p_.T  # minus half the squared distance
+            if radius is not None:
+                slack = 1e-6 - 4e-6 * float(q_[:, -2].min() + p_[:, -1].min())  # more than single precision errs by
+                close = half >= -0.5 * radius * radius - slack
+                if np.count_nonzero(close) <= 16 * len(q):
+                    found.append(_of_pairs(q, p, q_id, p_id, *np.nonzero(close), k, radius))
+                    continue
+            half[q_id[:, None] == p_id[None]] = -np.inf
+            near = np.argpartition(half, len(p) - top, 1)[:, len(p) - top :]
             exact = np.sqrt(((q[:, None].astype(np.float64) - p[near]) ** 2).sum(2))
             n_id = p_id[near]
             keep = n_id != q_id[:, None]
