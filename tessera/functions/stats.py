@@ -6,12 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Value buckets into which a running sum is cut, so that no order over all rows is one task.
+BUCKETS = 64
+
+
+def _bucketed(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``_b``, the number of the value bucket, increasing with ``value``; equal values share a bucket."""
+    at = [k / BUCKETS for k in range(1, BUCKETS)]
+    cuts = sorted(set(df.agg(F.percentile_approx(value, at, 1000)).first()[0] or []))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    return df.withColumn("_b", F.when(F.col(value).isNull(), -1).otherwise(bucket))
+
+
+def running_sums(df: DataFrame, value: str, sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Sums of columns over the rows of lower ``value`` in the group; ``sums`` maps an output to a column. Values must be distinct in a group.
+
+    Partial sums per bucket become offsets of the sums within buckets.
+    """
+    by = by or []
+    rows = _bucketed(df, value)
+    totals = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a group
+    offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums])
+    within = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_w_{o}") for o, c in sums.items()])
+    out = out.join(offsets if by else F.broadcast(offsets), [*by, "_b"])
+    return out.select(*df.columns, *[(F.col(f"_w_{o}") + F.col(f"_o_{o}")).alias(o) for o in sums])
+
+
 def average_rank(df: DataFrame, value: str, out: str = "rank", by: list[str] | None = None) -> DataFrame:
-    """Rank from 1 with ties at their mean: distinct values are counted first, so the window runs over values, not rows."""
+    """Rank from 1 with ties at their mean: distinct values are counted first, so windows run over values, not rows."""
     by = by or []
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    ranks = running_sums(counts, value, {"_below": "_n"}, by)
+    ranks = ranks.select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
 
 
@@ -36,13 +64,21 @@ def winsorise(df: DataFrame, value: str, low: float, high: float, by: list[str]
 
 
 def adjust_bh(df: DataFrame, p: str, by: list[str] | None = None, out: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg: the least of ``p * n / rank`` from the greatest p downwards, at most 1."""
+    """Benjamini-Hochberg: the least of ``p * n / rank`` from the greatest p downwards, at most 1; equal p get one value.
+
+    Works on distinct p by buckets: ranks are running sums, and the least of later buckets is carried to earlier ones.
+    """
     by = by or []
-    up = Window.partitionBy(*by).orderBy(F.col(p).asc())
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    ranked = df.withColumn("_k", F.row_number().over(up)).withColumn("_q", F.col(p) * n / F.col("_k"))
-    down = Window.partitionBy(*by).orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min("_q").over(down))).drop("_k", "_q")
+    counts = df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
+    ranked = running_sums(counts, p, {"_below": "_n"}, by)
+    ranked = ranked.join(n, by) if by else ranked.crossJoin(F.broadcast(n))  # one row
+    ranked = _bucketed(ranked.withColumn("_q", F.col(p) * F.col("_all") / (F.col("_below") + F.col("_n"))), p)
+    later = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a group
+    least = ranked.groupBy(*by, "_b").agg(F.min("_q").alias("_l")).select(*by, "_b", F.min("_l").over(later).alias("_later"))
+    down = Window.partitionBy(*by, "_b").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    done = ranked.withColumn("_m", F.min("_q").over(down)).join(least if by else F.broadcast(least), [*by, "_b"])
+    return df.join(done.select(*by, p, F.least(F.lit(1.0), "_m", "_later").alias(out)), [*by, p])
 
 
 def adjust_bonferroni(df: DataFrame, p: str, by: list[str] | None = None, out: str = "padj") -> DataFrame:
@@ -83,22 +119,23 @@ def normalise_columns(df: DataFrame, value: str, column: list[str], scale: float
 def roc(df: DataFrame, score: str, label: str) -> DataFrame:
     """False and true positive rates down the distinct scores, with the area so far by trapezoids."""
     counts = df.groupBy(score).agg(F.sum(F.col(label).cast("int")).alias("_p"), F.sum(1 - F.col(label).cast("int")).alias("_n"))
-    run = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)  # over distinct scores
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rates = counts.withColumn("tpr", F.sum("_p").over(run) / F.sum("_p").over(whole)).withColumn("fpr", F.sum("_n").over(run) / F.sum("_n").over(whole))
-    last = Window.orderBy(F.col(score).desc())
-    step = (F.col("fpr") - F.coalesce(F.lag("fpr").over(last), F.lit(0.0))) * (F.col("tpr") + F.coalesce(F.lag("tpr").over(last), F.lit(0.0))) / 2
-    return rates.withColumn("_step", step).withColumn("area", F.sum("_step").over(run)).select(score, "fpr", "tpr", "area")
+    total = counts.agg(F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
+    below = running_sums(counts, score, {"_pb": "_p", "_nb": "_n"}).crossJoin(F.broadcast(total))  # one row
+    tpr, before = (F.col("_tp") - F.col("_pb")) / F.col("_tp"), (F.col("_tp") - F.col("_pb") - F.col("_p")) / F.col("_tp")
+    rates = below.select(score, ((F.col("_tn") - F.col("_nb")) / F.col("_tn")).alias("fpr"), tpr.alias("tpr"), (F.col("_n") / F.col("_tn") * (tpr + before) / 2).alias("_step"))
+    area = rates.agg(F.sum("_step").alias("_area"))
+    out = running_sums(rates, score, {"_below": "_step"}).crossJoin(F.broadcast(area))
+    return out.select(score, "fpr", "tpr", (F.col("_area") - F.col("_below")).alias("area"))
 
 
 def ecdf_at(sample: DataFrame, value: str, at: DataFrame, x: str, out: str = "ecdf") -> DataFrame:
     """Share of ``sample`` not above each ``x``: both are ordered together and the count is carried along."""
-    s = sample.groupBy(F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_q", F.lit(0))
-    points = at.select(F.col(x).alias("_x")).distinct().select("_x", F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_q"))
-    run = Window.orderBy("_x", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    s = sample.groupBy(F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    points = at.select(F.col(x).alias("_x")).distinct().select("_x", F.lit(0).cast("long").alias("_n"))
+    both = s.unionByName(points).groupBy("_x").agg(F.sum("_n").alias("_n"))
     total = s.agg(F.sum("_n").alias("_all"))
-    seen = s.unionByName(points).withColumn("_c", F.sum("_n").over(run)).where("_q = 1").crossJoin(F.broadcast(total))
-    return at.join(seen.select(F.col("_x").alias(x), (F.col("_c") / F.col("_all")).alias(out)), x)
+    seen = running_sums(both, "_x", {"_below": "_n"}).crossJoin(F.broadcast(total))  # one row
+    return at.join(seen.select(F.col("_x").alias(x), ((F.col("_below") + F.col("_n")) / F.col("_all")).alias(out)), x)
 
 
 def chunk_of(order: str, size: int, by: list[str] | None = None) -> Column:

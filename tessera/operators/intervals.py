@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.periods import periods_and_gaps
 from tessera.session import discard, materialise
 
 
@@ -55,13 +56,8 @@ def gap_distance(a: str = "a", b: str = "b") -> Column:
 
 def reduce_ranges(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Merge overlapping intervals of a chromosome; intervals that only touch stay apart."""
-    keys = keys or ["chr"]
-    before = Window.partitionBy(*keys).orderBy("start_pos", "end_pos")
-    seen = F.max("end_pos").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.select(*keys, "start_pos", "end_pos").distinct()
-    flagged = rows.withColumn("_new", (seen.isNull() | (F.col("start_pos") > seen)).cast("int"))
-    grouped = flagged.withColumn("_g", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "_g").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("_g")
+    merged = periods_and_gaps(df, keys or ["chr"], touching=False)
+    return merged.where(F.col("kind") == "period").drop("kind")
 
 
 def _bins(df: DataFrame, width: int, slack: int = 0) -> DataFrame:
@@ -108,18 +104,28 @@ def point_join(points: DataFrame, ranges: DataFrame, bin_width: int = 4096, pos:
     return p.join(r.select("chr", "_bin", *rest), ["chr", "_bin"]).where(F.col(pos).between(F.col("start_pos"), F.col("end_pos"))).drop("_bin")
 
 
-def nearest_point(df: DataFrame, points: DataFrame, key: str, at: Column, name: str) -> DataFrame:
+def nearest_point(df: DataFrame, points: DataFrame, key: str, at: Column, name: str, slab: int = 1 << 20) -> DataFrame:
     """``df`` with ``distance`` to the nearest of ``points`` (chr, pos, ``name``) from ``at``, and its name; ties go to the smaller position, then name.
 
-    An as-of join in both directions: points and queries are ordered together
-    and the last and next point are carried over by a window, with no pair ever enumerated.
+    An as-of join in both directions: within slabs of each chromosome points and queries are ordered
+    together and the last and next point are carried by a window; the last point before and the first
+    after a slab come from one summary row per slab.  No pair is ever enumerated.
     """
     lowest = points.groupBy("chr", "pos").agg(F.min(name).alias("_name"))
     p = lowest.select("chr", F.col("pos").alias("_at"), F.lit(0).alias("_q"), F.struct("pos", "_name").alias("_p"), F.lit(None).cast(df.schema[key].dataType).alias(key))
     q = df.select("chr", at.cast("long").alias("_at"), F.lit(1).alias("_q"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), key)
-    order = Window.partitionBy("chr").orderBy("_at", "_q")
-    both = p.unionByName(q).withColumn("_left", F.last("_p", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_right", F.first("_p", True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("_q = 1")
+    both = p.unionByName(q).withColumn("_slab", F.floor(F.col("_at") / slab))
+    slabs = both.groupBy("chr", "_slab").agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+    line = Window.partitionBy("chr").orderBy("_slab")
+    slabs = slabs.select(
+        "chr", "_slab",
+        F.last("_hi", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_lo", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    order = Window.partitionBy("chr", "_slab").orderBy("_at", "_q")
+    both = both.withColumn("_l", F.last("_p", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("_r", F.first("_p", True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("_q = 1").join(slabs, ["chr", "_slab"])
+    both = both.withColumn("_left", F.coalesce("_l", "_before")).withColumn("_right", F.coalesce("_r", "_after"))
     dl, dr = F.col("_at") - F.col("_left.pos"), F.col("_right.pos") - F.col("_at")
     use_left = F.col("_right").isNull() | (dl <= dr)
     near = both.select(key, F.when(use_left, dl).otherwise(dr).cast("long").alias("distance"), F.when(use_left, F.col("_left._name")).otherwise(F.col("_right._name")).alias(name))
@@ -133,10 +139,14 @@ def non_overlapping(df: DataFrame, score: str = "score", ties: list[str] | None
     taken at once (these can't overlap each other), and its neighbours go: the same
     result as one by one, in far fewer rounds.  Equal scores are decided by position, then ``ties``.
     """
-    order = ["start_pos", "end_pos", *(ties or [])]
-    rows = materialise(df.withColumn("_id", F.row_number().over(Window.partitionBy("chr").orderBy(F.col(score).desc(), *order))), "overlap")
-    pairs = overlap_pairs(rows.select("chr", "start_pos", "end_pos", "_id"), rows.select("chr", "start_pos", "end_pos", "_id"))
-    links = materialise(pairs.where(F.col("a._id") > F.col("b._id")).select(F.col("a.chr").alias("chr"), F.col("a._id").alias("u"), F.col("b._id").alias("v")), "links")
+    order = ["start_pos", "end_pos", *(ties or []), "_id"]
+    rows = materialise(df.withColumn("_id", F.monotonically_increasing_id()), "overlap")  # written, so the numbers stay
+    side = rows.select("chr", score, *order)
+    beats = lambda v, u: (F.col(f"{v}.{score}") > F.col(f"{u}.{score}")) | (
+        (F.col(f"{v}.{score}") == F.col(f"{u}.{score}")) & (F.struct(*[F.col(f"{v}.{c}") for c in order]) < F.struct(*[F.col(f"{u}.{c}") for c in order]))
+    )
+    pairs = overlap_pairs(side, side).where(F.col("a._id") != F.col("b._id"))
+    links = materialise(pairs.where(beats("b", "a")).select(F.col("a.chr").alias("chr"), F.col("a._id").alias("u"), F.col("b._id").alias("v")), "links")
     rest, kept = rows.select("chr", "_id"), None
     for _ in range(rounds):
         if not rest.limit(1).count():

@@ -12,22 +12,31 @@ from pyspark.sql import functions as F
 from tessera.session import materialise
 
 
-def tf_idf(matrix: DataFrame, method: int = 2, scale: float = 1e4) -> DataFrame:
-    """Weighted entries of the binarised matrix.
+def fit_idf(matrix: DataFrame) -> tuple[DataFrame, int]:
+    """(feature, df) and the number of cells: what weighting needs to know of the cells it was fitted on."""
+    ones = matrix.where(F.col("value") != 0).select("feature", "cell").distinct()
+    return ones.groupBy("feature").agg(F.count(F.lit(1)).alias("df")), ones.select("cell").distinct().count()
+
+
+def weigh(matrix: DataFrame, df: DataFrame, n: int, method: int = 2, scale: float = 1e4) -> DataFrame:
+    """Weighted entries of the binarised matrix, by the document frequencies ``df`` (feature, df) of ``n`` cells.
 
     1: tf * log(1 + n / df); 2: log(1 + tf * n / df * scale); 3: log(1 + tf) * log(1 + n / df),
-    with tf the share of the cell's features, df the feature's cells, n all cells.
+    with tf one share of the cell's features. Features without a df are left out.
     """
     ones = matrix.where(F.col("value") != 0).select("feature", "cell").distinct()
     depth = ones.groupBy("cell").agg(F.count(F.lit(1)).alias("_depth"))
-    df = ones.groupBy("feature").agg(F.count(F.lit(1)).alias("_df"))
-    n = depth.agg(F.count(F.lit(1)).alias("_n"))
-    out = ones.join(depth, "cell").join(df, "feature").crossJoin(F.broadcast(n))
-    tf, ratio = 1.0 / F.col("_depth"), F.col("_n") / F.col("_df")
+    out = ones.join(depth, "cell").join(df, "feature")
+    tf, ratio = 1.0 / F.col("_depth"), F.lit(float(n)) / F.col("df")
     value = {1: tf * F.log1p(ratio), 2: F.log1p(tf * ratio * scale), 3: F.log1p(tf) * F.log1p(ratio)}[method]
     return out.select("feature", "cell", value.alias("value"))
 
 
+def tf_idf(matrix: DataFrame, method: int = 2, scale: float = 1e4) -> DataFrame:
+    """Entries weighted by the frequencies of the matrix itself; see :func:`weigh`."""
+    return weigh(matrix, *fit_idf(matrix), method, scale)
+
+
 def svd(weighted: DataFrame, k: int = 30, oversample: int = 10, power: int = 3, seed: int = 1) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """Truncated SVD by randomised subspace iteration: singular values, cell scores (V D) and feature loadings (U).
 

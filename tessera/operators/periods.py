@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from tessera.session import materialise
 
 
-def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", slab: int = 1 << 24) -> DataFrame:
+def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", slab: int = 1 << 24, touching: bool = True) -> DataFrame:
     """Covered periods and the gaps between successive ones, per combination of ``keys``.
 
     Intervals include both ends.  Those that share a position, or follow each
     other with no position between, make one ``period``; a ``gap`` holds the
     positions between two successive periods.  Result: keys, kind, start, end.
+    With ``touching`` false, intervals must share a position to be merged, and
+    periods that only touch have no gap between them.
 
     Rows with a null end or key, or with the end before the start, are left
     out.  Repeated and nested rows change nothing.  Extra columns are ignored;
@@ -32,7 +34,9 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_pos", e
         *keys, F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e")
     )
     rows = rows.withColumn("_slab", F.floor(F.col("_s") / F.lit(slab)))
-    session = F.session_window(F.timestamp_seconds("_s"), F.expr("make_interval(0, 0, 0, 0, 0, 0, _e - _s + 1)"))
+    # Two seconds a position, so that a session can end between the last position and the one after it.
+    length = F.expr(f"make_interval(0, 0, 0, 0, 0, 0, 2 * (_e - _s) + {2 if touching else 1})")
+    session = F.session_window(F.timestamp_seconds(2 * F.col("_s")), length)
     merged = rows.groupBy(*keys, "_slab", session.alias("_w")).agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")).drop("_w")
     merged = materialise(merged, "periods")
 
@@ -48,7 +52,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_pos", e
         merged.withColumn("_seen", seen)
         .join(slabs, [*keys, "_slab"])
         .withColumn("_seen", F.greatest("_seen", "_carry"))  # greatest skips nulls
-        .where(F.col("_seen").isNull() | (F.col("_s") > F.col("_seen") + 1))  # touching ones go on
+        .where(F.col("_seen").isNull() | (F.col("_s") > F.col("_seen") + int(touching)))
     )
     # A period ends where its successor found the reach before it; across slabs by the first head of the next slab that has one.
     firsts = heads.groupBy(*keys, "_slab").agg(F.min_by("_seen", "_s").alias("_next_seen"))
@@ -65,5 +69,5 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_pos", e
     return (
         out.select(*keys, F.explode(kinds).alias("_k"))
         .select(*keys, "_k.kind", f"_k.{start}", f"_k.{end}")
-        .where(F.col(start).isNotNull())
+        .where(F.col(start) <= F.col(end))
     )

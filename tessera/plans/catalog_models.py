@@ -389,3 +389,100 @@ def deviations(spark: SparkSession, root: str) -> DataFrame:
     totals = counts.groupBy("peak_id").agg(F.sum("value").alias("total"))
     background = X.background_features(totals, "peak_id", ["total"], 10)
     return X.deviations(counts, A.annotation(spark, root), background)
+
+
+@R.query()
+def doublet_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Simulated doublets among the neighbours of every cell."""
+    from tessera.operators.simulate import doublet_scores as score
+
+    return score(_tf(spark, root), 5, 2, 5)
+
+
+@R.query()
+def bulk_projection(spark: SparkSession, root: str) -> DataFrame:
+    """Pseudo-cells of clusters taken for bulk samples, on the cells' loadings."""
+    from tessera.operators.simulate import project_bulk
+
+    m = _tf(spark, root)
+    bulk = M.group_matrix(m, ["feature"], _groups(spark, root)).withColumnRenamed("group", "sample")
+    return project_bulk(m, bulk, 5, n=20, depth=1000)
+
+
+@R.query()
+def pseudotime(spark: SparkSession, root: str) -> DataFrame:
+    """Pseudotime of vectors through five labels in order."""
+    from tessera.operators.trajectory import trajectory
+
+    e = table(spark, root, "embeddings").select(F.col("vec_id").alias("cell"), F.concat(F.lit("L"), "label").alias("group"), F.col("embedding").alias("v"))
+    return trajectory(e, [f"L{k}" for k in range(5)], 64)
+
+
+@R.query()
+def trajectory_heatmap(spark: SparkSession, root: str) -> DataFrame:
+    """Features that vary along pseudotime, by where they peak."""
+    from tessera.operators.trajectory import heatmap
+
+    return heatmap(trajectory_matrix(spark, root))
+
+
+@R.query()
+def trajectory_correlation(spark: SparkSession, root: str) -> DataFrame:
+    """A series with one of the same names whose bins are shifted by one."""
+    from tessera.operators.trajectory import correlate
+
+    a = trajectory_matrix(spark, root).select(F.concat(F.lit("x:f"), "feature").alias("feature"), "bin", "value")
+    b = a.select(F.regexp_replace("feature", "x:", "y:").alias("feature"), (F.pmod(F.col("bin"), F.lit(20)) + 1).alias("bin"), "value")
+    return correlate(a, b, 20, -1.0).select("match_name", "correlation", "fdr")
+
+
+@R.query(sql_with("genes", """
+SELECT gene_id, greatest(start_pos, 200000) AS start_pos, least(end_pos, 500000) AS end_pos FROM genes WHERE chr = 'chr2' AND start_pos <= 500000 AND end_pos >= 200000"""))
+def gene_track(spark: SparkSession, root: str) -> DataFrame:
+    """Genes of a region, clipped to it."""
+    from tessera.operators.displays import clip_to_region
+
+    return clip_to_region(A.genes(spark, root), "chr2", 200000, 500000).select("gene_id", "start_pos", "end_pos")
+
+
+@R.query("""WITH g AS (SELECT grp AS "group", 'M' || (length(peaks) % 7) AS motif, max(mlog10p) AS mlog10p FROM grouppeaks WHERE grp IS NOT NULL AND peaks IS NOT NULL AND mlog10p IS NOT NULL AND NOT isnan(mlog10p) AND NOT isinf(mlog10p) GROUP BY ALL),
+t AS (SELECT DISTINCT motif FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY mlog10p DESC, motif) AS r FROM g WHERE mlog10p >= 15) WHERE r <= 2)
+SELECT motif, "group", mlog10p, round(mlog10p * 100 / nullif(max(mlog10p) OVER (PARTITION BY motif), 0), 6) AS scaled FROM g WHERE motif IN (SELECT motif FROM t)""")
+def enrichment_heatmap(spark: SparkSession, root: str) -> DataFrame:
+    """Scaled scores of the best motifs of any group."""
+    from tessera.operators.displays import enrichment_heatmap as heat
+
+    rows = table(spark, root, "grouppeaks").where(F.col("grp").isNotNull() & F.col("peaks").isNotNull() & (F.abs("mlog10p") < float("inf")) & ~F.isnan("mlog10p"))
+    scores = rows.groupBy(F.col("grp").alias("group"), F.concat(F.lit("M"), F.length("peaks") % 7).alias("motif")).agg(F.max("mlog10p").alias("mlog10p"))
+    return heat(scores, 2, 15.0).withColumn("scaled", F.round("scaled", 6))
+
+
+@R.query(f"""WITH {_CUR} SELECT sample_name, count(nfrags) AS n, round(quantile_cont(nfrags, 0.025), 6) AS q25, round(quantile_cont(nfrags, 0.25), 6) AS q250, round(quantile_cont(nfrags, 0.5), 6) AS q500,
+ round(quantile_cont(nfrags, 0.75), 6) AS q750, round(quantile_cont(nfrags, 0.975), 6) AS q975 FROM cur GROUP BY sample_name""")
+def group_distributions(spark: SparkSession, root: str) -> DataFrame:
+    """Quantiles of depth per sample."""
+    from tessera.operators.displays import distributions
+
+    rows = latest(table(spark, root, "cellcoldata"), "cell_id", "loaded_at").select("sample_name", F.col("nfrags").cast("double").alias("nfrags"))
+    out = distributions(rows, "sample_name", "nfrags")
+    return out.select("sample_name", "n", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith("q")])
+
+
+@R.query(f"""WITH {_CUR}, v AS (SELECT nfrags AS x, readsintss AS y FROM cur WHERE nfrags IS NOT NULL AND readsintss IS NOT NULL),
+r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM v)
+SELECT count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r""")
+def agreement(spark: SparkSession, root: str) -> DataFrame:
+    """Correlation of depth and reads at gene starts, by value and by rank."""
+    from tessera.operators.displays import agreement as agree
+
+    rows = latest(table(spark, root, "cellcoldata"), "cell_id", "loaded_at")
+    return agree(rows, "cell_id", "nfrags", "readsintss").withColumn("pearson", F.round("pearson", 6)).withColumn("spearman", F.round("spearman", 6))
+
+
+@R.query()
+def hexagons(spark: SparkSession, root: str) -> DataFrame:
+    """Cells by hexagon of depth and enrichment."""
+    from tessera.operators.displays import hexagons as hexagon
+
+    rows = latest(table(spark, root, "cellcoldata"), "cell_id", "loaded_at").where(F.col("nfrags").isNotNull() & ~F.isnan("tssenrichment"))
+    return rows.groupBy(hexagon(F.log10(F.col("nfrags") + 1.0), F.col("tssenrichment") / 10, 0.25).alias("h")).agg(F.count(F.lit(1)).alias("n")).select("h.x", "h.y", "n")
