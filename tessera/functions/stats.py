@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialise
+
 
 #: Value buckets into which a running sum is cut, so that no order over all rows is one task.
 BUCKETS = 64
@@ -21,7 +23,8 @@ def _bucketed(df: DataFrame, value: str) -> DataFrame:
 def running_sums(df: DataFrame, value: str, sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
     """Sums of columns over the rows of lower ``value`` in the group; ``sums`` maps an output to a column. Values must be distinct in a group.
 
-    Partial sums per bucket become offsets of the sums within buckets.
+    Partial sums per bucket become offsets of the sums within buckets.  ``df``
+    is read three times, so it should be a table.
     """
     by = by or []
     rows = _bucketed(df, value)
@@ -37,7 +40,7 @@ def running_sums(df: DataFrame, value: str, sums: dict[str, str], by: list[str]
 def average_rank(df: DataFrame, value: str, out: str = "rank", by: list[str] | None = None) -> DataFrame:
     """Rank from 1 with ties at their mean: distinct values are counted first, so windows run over values, not rows."""
     by = by or []
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
     ranks = running_sums(counts, value, {"_below": "_n"}, by)
     ranks = ranks.select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
@@ -69,11 +72,12 @@ def adjust_bh(df: DataFrame, p: str, by: list[str] | None = None, out: str = "fd
     Works on distinct p by buckets: ranks are running sums, and the least of later buckets is carried to earlier ones.
     """
     by = by or []
-    counts = df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
+    counts = materialise(df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    n = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
     ranked = running_sums(counts, p, {"_below": "_n"}, by)
     ranked = ranked.join(n, by) if by else ranked.crossJoin(F.broadcast(n))  # one row
-    ranked = _bucketed(ranked.withColumn("_q", F.col(p) * F.col("_all") / (F.col("_below") + F.col("_n"))), p)
+    ranked = materialise(ranked.withColumn("_q", F.col(p) * F.col("_all") / (F.col("_below") + F.col("_n"))), "ranked")
+    ranked = _bucketed(ranked, p)
     later = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a group
     least = ranked.groupBy(*by, "_b").agg(F.min("_q").alias("_l")).select(*by, "_b", F.min("_l").over(later).alias("_later"))
     down = Window.partitionBy(*by, "_b").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -119,10 +123,12 @@ def normalise_columns(df: DataFrame, value: str, column: list[str], scale: float
 def roc(df: DataFrame, score: str, label: str) -> DataFrame:
     """False and true positive rates down the distinct scores, with the area so far by trapezoids."""
     counts = df.groupBy(score).agg(F.sum(F.col(label).cast("int")).alias("_p"), F.sum(1 - F.col(label).cast("int")).alias("_n"))
+    counts = materialise(counts, "counts")
     total = counts.agg(F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
     below = running_sums(counts, score, {"_pb": "_p", "_nb": "_n"}).crossJoin(F.broadcast(total))  # one row
     tpr, before = (F.col("_tp") - F.col("_pb")) / F.col("_tp"), (F.col("_tp") - F.col("_pb") - F.col("_p")) / F.col("_tp")
     rates = below.select(score, ((F.col("_tn") - F.col("_nb")) / F.col("_tn")).alias("fpr"), tpr.alias("tpr"), (F.col("_n") / F.col("_tn") * (tpr + before) / 2).alias("_step"))
+    rates = materialise(rates, "rates")
     area = rates.agg(F.sum("_step").alias("_area"))
     out = running_sums(rates, score, {"_below": "_step"}).crossJoin(F.broadcast(area))
     return out.select(score, "fpr", "tpr", (F.col("_area") - F.col("_below")).alias("area"))
@@ -132,8 +138,8 @@ def ecdf_at(sample: DataFrame, value: str, at: DataFrame, x: str, out: str = "ec
     """Share of ``sample`` not above each ``x``: both are ordered together and the count is carried along."""
     s = sample.groupBy(F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
     points = at.select(F.col(x).alias("_x")).distinct().select("_x", F.lit(0).cast("long").alias("_n"))
-    both = s.unionByName(points).groupBy("_x").agg(F.sum("_n").alias("_n"))
-    total = s.agg(F.sum("_n").alias("_all"))
+    both = materialise(s.unionByName(points).groupBy("_x").agg(F.sum("_n").alias("_n")), "counts")
+    total = both.agg(F.sum("_n").alias("_all"))
     seen = running_sums(both, "_x", {"_below": "_n"}).crossJoin(F.broadcast(total))  # one row
     return at.join(seen.select(F.col("_x").alias(x), ((F.col("_below") + F.col("_n")) / F.col("_all")).alias(out)), x)
 

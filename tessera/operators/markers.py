@@ -105,7 +105,7 @@ def marker_features(matrix: DataFrame, cells: DataFrame, group: str, bias: list[
     for g in groups:
         mine = background.where(F.col("group") == g)
         sides = mine.select("cell", F.lit(1).alias("side")).unionByName(mine.select(F.col("matched").alias("cell"), F.lit(2).alias("side")))
-        part = adjust_bh(run(matrix, sides), "p").withColumn("group", F.lit(g))
+        part = adjust_bh(materialise(run(matrix, sides), "tested"), "p").withColumn("group", F.lit(g))
         out = part if out is None else out.unionByName(part)
     return out
 

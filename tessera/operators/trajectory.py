@@ -61,6 +61,7 @@ def trajectory(cells: DataFrame, order: list[str], dim: int, trim: float = 0.95,
 
 def heatmap(series: DataFrame, share: float = 0.9, clip: float = 2.0) -> DataFrame:
     """(feature, bin, z, peak_bin) of the features whose variance along the bins lies above the quantile ``share``, ordered by where they peak."""
+    series = materialise(series, "series")
     variance = series.groupBy("feature").agg(F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("_v"))
     top = rank_quantile(variance, "_v", "_q").where(F.col("_q") >= share).select("feature")
     z = row_zscore(series.join(top, "feature", "left_semi"), "value", ["feature"], clip)

@@ -15,6 +15,7 @@ from tessera.operators import matrix as M
 from tessera.operators import motifs as X
 from tessera.operators import qc
 from tessera.plans.registry import Registry
+from tessera.session import materialise
 from tessera.sources import adapters as A
 from tessera.sources.adapters import sql_with
 from tessera.sources.tables import latest, table
@@ -431,7 +432,7 @@ def trajectory_correlation(spark: SparkSession, root: str) -> DataFrame:
     """A series with one of the same names whose bins are shifted by one."""
     from tessera.operators.trajectory import correlate
 
-    a = trajectory_matrix(spark, root).select(F.concat(F.lit("x:f"), "feature").alias("feature"), "bin", "value")
+    a = materialise(trajectory_matrix(spark, root).select(F.concat(F.lit("x:f"), "feature").alias("feature"), "bin", "value"), "series")
     b = a.select(F.regexp_replace("feature", "x:", "y:").alias("feature"), (F.pmod(F.col("bin"), F.lit(20)) + 1).alias("bin"), "value")
     return correlate(a, b, 20, -1.0).select("match_name", "correlation", "fdr")
 
