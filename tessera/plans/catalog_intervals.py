@@ -138,7 +138,7 @@ def peak_pairs(spark: SparkSession, root: str) -> DataFrame:
 @R.query("""
 WITH p AS (SELECT DISTINCT seqnames, idx, CAST(floor((start_pos + end_pos) / 2) AS BIGINT) AS c FROM peakset WHERE start_pos IS NOT NULL AND end_pos >= start_pos),
 l AS (SELECT c.seqnames AS chr, a.c // 1000 * 1000 + 500 AS x, b.c // 1000 * 1000 + 500 AS y, correlation FROM coaccessibility c
-      JOIN p a ON c.seqnames = a.seqnames AND c.idx1 = a.idx JOIN p b ON c.seqnames = b.seqnames AND c.idx2 = b.idx WHERE correlation BETWEEN 0.5 AND 1)
+      JOIN p a ON c.seqnames = a.seqnames AND c.idx1 = a.idx JOIN p b ON c.seqnames = b.seqnames AND c.idx2 = b.idx WHERE correlation BETWEEN 0.5 AND 1 AND NOT isnan(correlation))
 SELECT chr, CAST(least(x, y) AS BIGINT) AS start_pos, CAST(greatest(x, y) AS BIGINT) AS end_pos, max(correlation) AS correlation FROM l WHERE x <> y GROUP BY ALL""")
 def coaccessibility_loops(spark: SparkSession, root: str) -> DataFrame:
     """Loops between the centres of correlated peaks, on a grid of 1,000."""
