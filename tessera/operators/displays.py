@@ -52,3 +52,18 @@ def agreement(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """One row: Pearson and Spearman correlation of two columns."""
     ranks = average_rank(average_rank(df.select(key, x, y).dropna(), x, "_rx"), y, "_ry")
     return ranks.agg(F.count(F.lit(1)).alias("n"), F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+
+
+def row_clusters(values: DataFrame, n_groups: int, k: int = 25, clip: float = 2.0, seed: int = 1) -> DataFrame:
+    """(feature, cluster) of rows (feature, group, value) with like profiles: k-means of their clipped standard scores.
+
+    Groups are numbered in their order; a row has one entry per group, so it stays small.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    z = row_zscore(values, "value", ["feature"], clip)
+    row = z.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("group", F.coalesce("z", F.lit(0.0)).alias("z")))).alias("_r"))
+    vectors = row.where(F.size("_r") == n_groups).select("feature", array_to_vector(F.transform("_r", lambda x: x["z"])).alias("features"))
+    model = KMeans(k=k, seed=seed, maxIter=20).fit(vectors)
+    return model.transform(vectors).select("feature", F.col("prediction").alias("cluster"))

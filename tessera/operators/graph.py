@@ -200,3 +200,22 @@ def module_score(matrix: DataFrame, features: DataFrame, totals: DataFrame, n_ce
     sums = matrix.join(both.join(counts, ["module", "sign"]), "feature").groupBy("module", "cell").agg(F.sum(F.col("value") * F.col("sign") / F.col("_n")).alias("score"))
     cells = n_cells_of.select("cell").distinct().crossJoin(F.broadcast(features.select("module").distinct()))  # a score for each cell and module
     return cells.join(sums, ["module", "cell"], "left").select("module", "cell", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def merge_clusters(groups: DataFrame, vectors: DataFrame, dim: int, most: int) -> DataFrame:
+    """(id, group) with at most ``most`` groups: those whose mean vectors are closest are merged, by complete linkage.
+
+    Only the means come to the driver, one row per group. A merged group bears its smallest name.
+    """
+    means = vectors.join(groups, "id").groupBy("group").agg(*[F.avg(F.col("v")[j].cast("double")).alias(f"m{j}") for j in range(dim)]).orderBy("group").toPandas()
+    x = means[[f"m{j}" for j in range(dim)]].to_numpy(float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    sets = [[i] for i in range(len(x))]
+    while len(sets) > max(most, 1):
+        a, b = min(((a, b) for b in range(len(sets)) for a in range(b)), key=lambda ab: d[np.ix_(sets[ab[0]], sets[ab[1]])].max())
+        sets[a] += sets.pop(b)
+    names = means["group"].tolist()
+    rows = [(names[i], min(names[j] for j in s)) for s in sets for i in s]
+    kind = groups.schema["group"].dataType.simpleString()
+    mapped = groups.sparkSession.createDataFrame(rows, f"group {kind}, _to {kind}")
+    return groups.join(F.broadcast(mapped), "group").select("id", F.col("_to").alias("group"))  # one row a group

@@ -96,35 +96,40 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", bin_widt
     return left.join(keys, ["chr", "start_pos", "end_pos"], f"left_{how}").select(*left.columns)
 
 
-def point_join(points: DataFrame, ranges: DataFrame, bin_width: int = 4096, pos: str = "pos") -> DataFrame:
-    """Points (chr, pos, ...) with every interval that holds them; columns of both sides, of intervals those without chr."""
+def point_join(points: DataFrame, ranges: DataFrame, bin_width: int = 512, pos: str = "pos") -> DataFrame:
+    """Points (chr, pos, ...) with every interval that holds them; columns of both sides, of intervals those without chr.
+
+    ``bin_width`` should be near the usual width of the intervals: a point meets all intervals of its bin.
+    """
     rest = [c for c in ranges.columns if c != "chr"]
     r = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_pos") / bin_width), F.floor(F.col("end_pos") / bin_width))))
     p = points.withColumn("_bin", F.floor(F.col(pos) / bin_width))
     return p.join(r.select("chr", "_bin", *rest), ["chr", "_bin"]).where(F.col(pos).between(F.col("start_pos"), F.col("end_pos"))).drop("_bin")
 
 
-def nearest_point(df: DataFrame, points: DataFrame, key: str, at: Column, name: str, slab: int = 1 << 20) -> DataFrame:
+def nearest_point(df: DataFrame, points: DataFrame, key: str, at: Column, name: str, slab: int = 1 << 18) -> DataFrame:
     """``df`` with ``distance`` to the nearest of ``points`` (chr, pos, ``name``) from ``at``, and its name; ties go to the smaller position, then name.
 
     An as-of join in both directions: within slabs of each chromosome points and queries are ordered
     together and the last and next point are carried by a window; the last point before and the first
-    after a slab come from one summary row per slab.  No pair is ever enumerated.
+    after a slab come from one summary row per slab.  No pair is ever enumerated, and
+    both windows run from their start, which Spark does in one pass.
     """
     lowest = points.groupBy("chr", "pos").agg(F.min(name).alias("_name"))
     p = lowest.select("chr", F.col("pos").alias("_at"), F.lit(0).alias("_q"), F.struct("pos", "_name").alias("_p"), F.lit(None).cast(df.schema[key].dataType).alias(key))
     q = df.select("chr", at.cast("long").alias("_at"), F.lit(1).alias("_q"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), key)
     both = p.unionByName(q).withColumn("_slab", F.floor(F.col("_at") / slab))
     slabs = both.groupBy("chr", "_slab").agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    line = Window.partitionBy("chr").orderBy("_slab")
+    up, down = Window.partitionBy("chr").orderBy("_slab"), Window.partitionBy("chr").orderBy(F.col("_slab").desc())
     slabs = slabs.select(
         "chr", "_slab",
-        F.last("_hi", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_lo", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("_hi", True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.last("_lo", True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
     )
-    order = Window.partitionBy("chr", "_slab").orderBy("_at", "_q")
-    both = both.withColumn("_l", F.last("_p", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_r", F.first("_p", True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("_q = 1").join(slabs, ["chr", "_slab"])
+    upward = Window.partitionBy("chr", "_slab").orderBy("_at", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    downward = Window.partitionBy("chr", "_slab").orderBy(F.col("_at").desc(), "_q").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_l", F.last("_p", True).over(upward)).withColumn("_r", F.last("_p", True).over(downward))
+    both = both.where("_q = 1").join(slabs, ["chr", "_slab"])
     both = both.withColumn("_left", F.coalesce("_l", "_before")).withColumn("_right", F.coalesce("_r", "_after"))
     dl, dr = F.col("_at") - F.col("_left.pos"), F.col("_right.pos") - F.col("_at")
     use_left = F.col("_right").isNull() | (dl <= dr)

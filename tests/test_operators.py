@@ -223,3 +223,22 @@ def test_pseudobulk_replicates(spark):
     got = groups.pseudobulk(cells, "cluster", "sample", least=20, most=40).groupBy("group", "replicate").count().collect()
     n = {(r["group"], r["replicate"]): r["count"] for r in got}
     assert n["A", "s0"] == n["A", "s1"] == 40 and n["A", "pooled"] == 7 and n["B", "half1"] + n["B", "half2"] == 11
+
+
+def test_merging_clusters(spark):
+    v = spark.createDataFrame([(k, [float(c), 0.0]) for k, c in enumerate((0, 0, 1, 10, 11, 30))], "id int, v array<double>")
+    g = spark.createDataFrame([(k, f"C{c}") for k, c in enumerate((1, 1, 2, 3, 4, 5))], "id int, group string")
+    assert {r["id"]: r["group"] for r in graph.merge_clusters(g, v, 2, 3).collect()} == {0: "C1", 1: "C1", 2: "C1", 3: "C3", 4: "C3", 5: "C5"}
+
+
+def test_displays(spark, rows):
+    from tessera.operators import displays
+
+    v = spark.createDataFrame([(f, g, float(x)) for f, r in (("a", (1, 2, 9)), ("b", (9, 2, 1)), ("c", (2, 4, 18))) for g, x in zip("xyz", r)], "feature string, group string, value double")
+    got = {r["feature"]: r["cluster"] for r in displays.row_clusters(v, 3, 2).collect()}
+    assert got["a"] == got["c"] != got["b"]
+    top = {r["feature"]: r["top_group"] for r in displays.marker_heatmap(v, v.where("feature <> 'c'")).collect()}
+    assert top == {"a": "z", "b": "x"}
+    loops = ranges(spark, [("c", 10, 20), ("c", 5, 15), ("d", 10, 20)])
+    assert rows(displays.within_region(loops, "c", 8, 30)) == [("c", 10, 20)]
+    assert rows(displays.clip_to_region(loops, "c", 8, 12)) == [("c", 10, 12), ("c", 8, 12)]
