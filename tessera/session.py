@@ -7,7 +7,9 @@ executors, so a lost executor costs nothing but the tasks it was running.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,10 +38,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, m
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, a folder of this machine."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset, a folder of this machine that goes when the program ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "tessera-scratch")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
