@@ -1,7 +1,8 @@
 """Grouping vectors into populations by Markov clustering of a similarity graph.
 
-The nodes of the graph are micro-clusters: the rows around each of a bounded
-number of centroids.  A row between several centroids makes their nodes similar.
+The nodes of the graph are micro-clusters: the rows around each of a number of
+centroids, fitted on a sample and then completed from all rows that lie far from
+every one of them.  A row between several centroids makes their nodes similar.
 On this sparse matrix, expansion (squaring, as a join and a sum), inflation and pruning
 of small entries alternate until the flow stands still; the attractor in which a
 node's flow ends is its cluster, and the rows of the nodes of strongest flow represent it.
@@ -20,7 +21,7 @@ from tessera.llm.centroids import distances2, fit, sample, sound_vectors
 from tessera.session import discard, materialise
 from tessera.sources.tables import latest, table
 
-#: Rows for each centroid, least and greatest number of centroids, and rows of the sample they are fitted on.
+#: Rows for each centroid, least and greatest number of centroids, and rows of the sample they are fitted on; ``added_nodes`` adds to them without a limit.
 ROWS_PER_NODE, LEAST_NODES, MOST_NODES, SAMPLE = 150, 48, 1024, 20_000
 #: A row is near a centroid if it is at most so many times as far from it as from the nearest one.
 NEAR = 1.5
@@ -28,6 +29,10 @@ NEAR = 1.5
 NEIGHBOURS = 8
 #: A row farther from its centroid than so many times the median of all rows belongs to no population.
 FAR = 3.0
+#: A row farther from its centroid than so many times the median may be of a population without a node.
+COVER = 1.5
+#: How many of these rows are tried as centroids at once, and how often a trial is moved to the mean of what is near it.
+TRIALS, MOVES = 4096, 4
 #: Rows closer to their centroid than this share of the median are taken for copies of it, and a population has some that aren't.
 COPY, LEAST_ROWS = 0.1, 8
 #: Inflation of the flow; entries below this share of the largest of their column are pruned.
@@ -37,7 +42,7 @@ ROUNDS = 40
 
 def nearest_nodes(rows: DataFrame, key: str, centroids: np.ndarray) -> DataFrame:
     """``key``, ``node`` (nearest centroid), ``d`` (distance to it), and the other near nodes with weights from 1 to 0."""
-    shared = rows.sparkSession.sparkContext.broadcast(centroids)  # at most MOST_NODES vectors
+    shared = rows.sparkSession.sparkContext.broadcast(centroids)  # a vector a node
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
@@ -64,6 +69,71 @@ def nearest_nodes(rows: DataFrame, key: str, centroids: np.ndarray) -> DataFrame
     return rows.select(key, "v").mapInArrow(run, f"`{key}` {kind}, node int, d double, others array<int>, weights array<float>")
 
 
+def _apart(x: np.ndarray, radius: float, taken: np.ndarray) -> np.ndarray:
+    """The rows of ``x``, in their order, that are farther than ``radius`` from all of ``taken`` and from those before them."""
+    left = np.ones(len(x), bool)
+    for a in range(0, len(taken), 1024):
+        left &= distances2(x, taken[a : a + 1024]).min(1) > radius**2
+    picked = []
+    for i in range(len(x)):
+        if left[i]:
+            picked.append(i)
+            left &= ((x - x[i]) ** 2).sum(1) > radius**2
+    return x[picked]
+
+
+def _around(far: DataFrame, centroids: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the centroids that have rows of ``far`` within ``radius``, each row counting for the nearest one: the mean of these and their number."""
+    shared = far.sparkSession.sparkContext.broadcast(centroids)  # at most TRIALS vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32)
+            d2 = distances2(x, c)
+            keep = pa.array(d2.min(1) <= radius**2)
+            yield pa.RecordBatch.from_arrays([pa.array(d2.argmin(1).astype(np.int32)), batch.column(0)], names=["node", "v"]).filter(keep)
+
+    means = [F.avg(F.col("v")[j].cast("double")).alias(f"m{j}") for j in range(centroids.shape[1])]
+    found = far.select("v").mapInArrow(run, "node int, v array<float>").groupBy("node").agg(F.count(F.lit(1)).alias("n"), *means).orderBy("node").toPandas()
+    return found[[f"m{j}" for j in range(centroids.shape[1])]].to_numpy(np.float32), found["n"].to_numpy(np.int64)
+
+
+def added_nodes(far: DataFrame, radius: float, like: float) -> np.ndarray:
+    """Centroids of the populations among ``far`` (v), the distinct vectors far from every centroid, of which any may lie in one.
+
+    All vectors are tried as centroids, TRIALS at a time in order of their hash, unless one
+    before them lies within ``radius``.  A trial moves to the mean of the vectors around it; trials that have
+    come closer than ``like`` are one, and those with LEAST_ROWS vectors around them are taken.
+    The others are strays, which stay with the nearest node there is.
+    """
+    hashed = materialise(far.select("v", F.xxhash64("v").alias("h")), "far")
+    dim, last = len(hashed.first()["v"]) if hashed.limit(1).count() else 1, None
+    taken = np.zeros((0, dim), np.float32)
+    while True:
+        todo = hashed if last is None else hashed.where(F.col("h") > last)
+        drawn = todo.orderBy("h", "v").limit(TRIALS).toPandas()
+        if not len(drawn):
+            break
+        last = int(drawn["h"].iloc[-1])
+        c = _apart(np.array(list(drawn["v"]), np.float32), radius, taken)
+        count = np.zeros(0, np.int64)
+        for _ in range(MOVES):
+            if not len(c):
+                break
+            c, count = _around(hashed, c, radius)
+            if len(c):
+                order = np.argsort(-count, kind="stable")
+                c = _apart(c[order], like, taken)
+        if len(c):
+            c, count = _around(hashed, c, radius)
+            taken = np.concatenate([taken, c[count >= LEAST_ROWS]])
+    discard(hashed)
+    return taken
+
+
 def _normalise(m: DataFrame) -> DataFrame:
     """Entries as shares of their column."""
     return m.withColumn("x", F.col("x") / F.sum("x").over(Window.partitionBy("j")))
@@ -110,19 +180,28 @@ def populations(df: DataFrame, key: str, vector: str, dim: int = 30) -> DataFram
     rows = materialise(sound_vectors(df, key, vector, dim), "vectors")
     n = rows.count()
     nodes = max(1, min(max(LEAST_NODES, n // ROWS_PER_NODE), MOST_NODES, n // 4))
-    seen = sample(rows, "v", SAMPLE, n)
+    distinct = rows.agg(F.countDistinct(F.xxhash64("v"))).first()[0]
+    seen = sample(rows.select("v").distinct(), "v", SAMPLE, distinct)
     centroids = fit(seen, nodes) if len(seen) else np.zeros((1, dim), np.float32)
     near = materialise(nearest_nodes(rows, key, centroids), "near")
+    middle = lambda: near.select("node", "d").distinct().agg(F.percentile_approx("d", 0.5, 1000)).first()[0] or 0.0
+    median = middle()
+    far = rows.join(near.where(F.col("d") > COVER * median).select(key), key, "left_semi").select("v").distinct()
+    more = added_nodes(far, COVER * median, median)
+    if len(more):
+        discard(near)
+        near = materialise(nearest_nodes(rows, key, np.concatenate([centroids, more])), "near")
+        median = middle()
     discard(rows)
-    median = near.agg(F.percentile_approx("d", 0.5, 1000)).first()[0] or 0.0
     core = near.where(F.col("d") <= FAR * median)
     pairs = core.select("node", F.explode(F.arrays_zip("others", "weights")).alias("_o"))
     one_way = pairs.select(F.col("node").alias("i"), F.col("_o.others").alias("j"), F.col("_o.weights").cast("double").alias("x"))
     one_way = one_way.groupBy("i", "j").agg(F.sum("x").alias("x"))
     lone = core.select("node").distinct().select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.0).alias("x"))
+    one_way = one_way.join(lone.select("j"), "j", "left_semi").select("i", "j", "x")  # a node that no row is nearest to joins nothing
     graph = one_way.unionByName(one_way.select(F.col("j").alias("i"), F.col("i").alias("j"), "x")).unionByName(lone)
     flow = markov_clusters(materialise(graph.groupBy("i", "j").agg(F.sum("x").alias("x")), "graph"))
-    # One row a node, so at most MOST_NODES rows.
+    # One row a node.
     flow = F.broadcast(materialise(flow, "ends"))
     placed = core.select(key, "node", "d").join(flow, "node")
     big = placed.where(F.col("d") > COPY * median).groupBy("attractor").count().where(F.col("count") >= LEAST_ROWS).select("attractor")
@@ -148,7 +227,7 @@ def _commonest(labelled: DataFrame) -> DataFrame:
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Cells of a population whose label is missing or not the population's commonest."""
     labelled = _labelled(spark, root)
-    best = F.broadcast(_commonest(labelled))  # one row a cluster, at most MOST_NODES
+    best = F.broadcast(_commonest(labelled))  # one row a cluster
     wrong = F.col("label").isNull() | (F.col("label") != F.col("clusters"))
     return labelled.join(best, "cluster").where(wrong).select("cell_id", "clusters")
 

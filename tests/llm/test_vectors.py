@@ -112,3 +112,19 @@ def test_copies_alone_are_no_population(spark):
 
 def test_labels(spark, root):
     assert clusters.p1_found(spark, root).columns == ["cell_id", "clusters"]
+
+
+def test_populations_without_a_row_in_the_sample_have_nodes_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "SAMPLE", 300)
+    rng = np.random.default_rng(4)
+    size = [900] * 4 + [10, 20, 40, 60] * 10
+    which = np.repeat(np.arange(len(size)), size)
+    c = rng.normal(0, 3, (len(size), 30))
+    x = (c[which] + rng.normal(0, 1, (len(which), 30))).astype(np.float32)
+    found = {r["id"]: r["cluster"] for r in populations(table(spark, x), "id", "v", dim=30).collect()}
+    owner = {}
+    for k in range(len(x)):
+        owner.setdefault(found.get(k), set()).add(int(which[k]))
+    whole = [w for w in range(len(size)) if len({found.get(k) for k in np.flatnonzero(which == w)}) == 1]
+    assert None not in owner and all(len(v) == 1 for v in owner.values())
+    assert set(range(4, len(size))) <= set(whole)
