@@ -13,6 +13,8 @@ from tessera.session import discard, materialise
 
 #: Queries compared with the data in one block.
 QUERY_BLOCK = 4096
+#: Rows of a shared member that are paired under one key.
+HUB_ROWS = 500
 
 
 def exact_neighbours(data: DataFrame, queries: DataFrame, key: str, vector: str, k: int, keep_self: bool = False) -> DataFrame:
@@ -68,16 +70,19 @@ def vote(neighbours: DataFrame, labels: DataFrame, label: str = "label") -> Data
 def shared_neighbours(neighbours: DataFrame, prune: float = 1 / 15) -> DataFrame:
     """(a, b, weight): Jaccard index of the neighbour sets of rows that share a neighbour, if above ``prune``.
 
-    Each set has k members, so a member that is shared by m rows would give m squared pairs;
-    members in more than 50 times k sets are split off and matched only along direct links.
+    Every pair of rows with a member in common is counted. A member that is shared by m rows gives m squared
+    pairs, so its rows are dealt to salts of at most HUB_ROWS rows, and each pair of salts is a key of its own.
     """
     sets = neighbours.select(F.col("query").alias("a"), F.col("neighbour").alias("m"))
     own = sets.select("a", F.col("a").alias("m")).distinct()
-    sets = sets.unionByName(own).distinct()
-    links = neighbours.select(F.least("query", "neighbour").alias("a"), F.greatest("query", "neighbour").alias("b")).distinct()
+    sets = materialise(sets.unionByName(own).distinct(), "sets")
     size = sets.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
-    left = links.join(sets, "a").select("a", "b", "m")
-    common = left.join(sets.select(F.col("a").alias("b"), "m"), ["b", "m"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c"))
+    salts = sets.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).alias("_salts"))
+    salted = sets.join(salts, "m").withColumn("_s", F.pmod(F.xxhash64("a"), F.col("_salts")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))
+    left = salted.withColumn("_t", every).select("m", "_s", "_t", "a")
+    right = salted.withColumnRenamed("_s", "_t").withColumn("_s", every).select("m", "_s", "_t", F.col("a").alias("b"))
+    common = left.join(right, ["m", "_s", "_t"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c"))
     sized = common.join(size.withColumnRenamed("_n", "_na"), "a").join(size.select(F.col("a").alias("b"), F.col("_n").alias("_nb")), "b")
     weight = F.col("_c") / (F.col("_na") + F.col("_nb") - F.col("_c"))
     return sized.select("a", "b", weight.alias("weight")).where(F.col("weight") > prune)

@@ -145,7 +145,7 @@ l AS (SELECT DISTINCT least(query, neighbour) AS a, greatest(query, neighbour) A
 c AS (SELECT l.a, l.b, count(*) AS c FROM l JOIN s x ON x.a = l.a JOIN s y ON y.a = l.b AND y.m = x.m GROUP BY ALL)
 SELECT a, b, round(c / (22.0 - c), 9) AS weight FROM c WHERE c / (22.0 - c) > 1.0 / 15""")
 def shared_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    """Jaccard index of the neighbourhoods of linked vectors."""
+    """Jaccard index of the neighbourhoods of vectors that share a neighbour."""
     e = table(spark, root, "embeddings")
     return N.shared_neighbours(N.exact_neighbours(e, e, "vec_id", "embedding", 10)).withColumn("weight", F.round("weight", 9))
 
