@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,9 @@ from tessera.functions.tails import binomial_upper_p, hypergeometric_mlog10p, no
 from tessera.operators.graph import exact_neighbours
 from tessera.session import materialise
 
+#: Background cells that a cell claims in the first search and at most in a later one, for each that it wants.
+CLAIMS, MOST_CLAIMS = 25, 400
+
 
 def _two_sides(matrix: DataFrame, sides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries with their side (1 foreground, 2 background) and the sizes of both sides, in one row."""
@@ -76,10 +80,30 @@ def binomial_test(matrix: DataFrame, sides: DataFrame) -> DataFrame:
     return k.select("feature", "k1", "k2", F.least(F.lit(1.0), 2 * F.least("_up", 1 - F.col("_above"))).alias("p"))
 
 
+def _closest_first(claims: DataFrame) -> DataFrame:
+    """(cell, matched) of the claims (query, neighbour, distance, _want) of one group, granted in order of distance; its cells are decided in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["distance", "query", "neighbour"])
+        want = dict(zip(pdf["query"], pdf["_want"]))
+        used, granted = set(), []
+        for query, neighbour in zip(pdf["query"], pdf["neighbour"]):
+            if want[query] and neighbour not in used:
+                want[query] -= 1
+                used.add(neighbour)
+                granted.append((query, neighbour))
+        return pd.DataFrame(granted, columns=["cell", "matched"])
+
+    kind = claims.schema["query"].dataType.simpleString()
+    return claims.groupBy(F.lit(1).alias("_all")).applyInPandas(run, f"cell {kind}, matched {kind}")
+
+
 def matched_background(cells: DataFrame, group: str, bias: list[str], k: int = 1) -> DataFrame:
     """(cell, group, matched): for every cell of a group the nearest cells of other groups by rank quantiles of ``bias``.
 
-    Each background cell serves a group at most once; of several claims the closest wins.
+    Each background cell serves a group at most once; of several claims the closest wins.  Only cells of
+    other groups are searched; cells that have lost a claim search again among those not yet claimed,
+    until every cell has ``k`` or the background of its group is used up.
     """
     from tessera.functions.stats import rank_quantile
 
@@ -87,13 +111,24 @@ def matched_background(cells: DataFrame, group: str, bias: list[str], k: int = 1
     for i, b in enumerate(bias):
         ranked = rank_quantile(ranked, b, f"_q{i}")
     ranked = materialise(ranked.select("cell", F.col(group).alias("group"), F.array(*[F.col(f"_q{i}").cast("double") for i in range(len(bias))]).alias("v")), "ranked")
-    near = exact_neighbours(ranked.select("cell", "v"), ranked.select("cell", "v"), "cell", "v", 25 * k)
-    named = near.join(ranked.select(F.col("cell").alias("query"), "group"), "query").join(ranked.select(F.col("cell").alias("neighbour"), F.col("group").alias("_other")), "neighbour")
-    ok = named.where(F.col("group") != F.col("_other"))
-    claim = Window.partitionBy("group", "neighbour").orderBy("distance", "query")
-    mine = Window.partitionBy("group", "query").orderBy("distance", "neighbour")
-    won = ok.withColumn("_c", F.row_number().over(claim)).where(F.col("_c") == 1).withColumn("_r", F.row_number().over(mine)).where(F.col("_r") <= k)
-    return won.select(F.col("query").alias("cell"), "group", F.col("neighbour").alias("matched"))
+    groups = [r[0] for r in ranked.select("group").distinct().orderBy("group").collect() if r[0] is not None]  # one value a group
+    out: DataFrame | None = None
+    for g in groups:
+        todo, free = ranked.where(F.col("group") == g).withColumn("_want", F.lit(k)), ranked.where(F.col("group") != g)
+        claims = CLAIMS * k
+        while todo.limit(1).count() and free.limit(1).count():
+            near = exact_neighbours(free.select("cell", "v"), todo.select("cell", "v"), "cell", "v", claims)
+            won = _closest_first(near.join(todo.select(F.col("cell").alias("query"), "_want"), "query"))
+            won = materialise(won.select("cell", F.lit(g).alias("group"), "matched"), "won")
+            claims = min(2 * claims, MOST_CLAIMS * k)
+            out = won if out is None else out.unionByName(won)
+            has = won.groupBy("cell").agg(F.count(F.lit(1)).alias("_has"))
+            rest = todo.join(has, "cell", "left").withColumn("_want", (F.col("_want") - F.coalesce("_has", F.lit(0))).cast("int")).where(F.col("_want") > 0).drop("_has")
+            todo = materialise(rest, "unmatched")
+            free = materialise(free.join(won.select(F.col("matched").alias("cell")), "cell", "left_anti"), "free")
+    if out is None:
+        return ranked.select("cell", "group", F.col("cell").alias("matched")).limit(0)
+    return out
 
 
 def marker_features(matrix: DataFrame, cells: DataFrame, group: str, bias: list[str], test: str = "wilcoxon") -> DataFrame:

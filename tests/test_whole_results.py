@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import graph
+from tessera.operators import graph, markers
 
 def test_rows_that_share_a_neighbour_without_a_link(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB_ROWS", 3)
@@ -13,3 +13,11 @@ def test_rows_that_share_a_neighbour_without_a_link(spark, monkeypatch):
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(30) for b in range(a + 1, 30)}
     found = graph.shared_neighbours(spark.createDataFrame(sorted(pairs), "query long, neighbour long"), 0.2).collect()
     assert {(r["a"], r["b"]): pytest.approx(r["weight"]) for r in found} == {p: w for p, w in want.items() if w > 0.2}
+
+def test_every_cell_has_a_background_cell_while_there_are_any(spark):
+    # The 40 cells of x have depths next to each other, so that their nearest cells are of their own group.
+    data = [(f"x{i}", "x", 100 + i) for i in range(40)] + [(f"y{i}", "y", i) for i in range(50)]
+    found = markers.matched_background(spark.createDataFrame(data, "cell string, group string, depth int"), "group", ["depth"]).toPandas()
+    assert (found.cell.str[0] == found.group).all() and (found.matched.str[0] != found.group).all()
+    assert not found.duplicated(["group", "matched"]).any() and not found.duplicated(["group", "cell"]).any()
+    assert found.groupby("group").size().to_dict() == {"x": 40, "y": 40}
