@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,12 +138,46 @@ def nearest_point(df: DataFrame, points: DataFrame, key: str, at: Column, name:
     return df.join(near, key, "left")
 
 
+def _unbeaten(rest: DataFrame, links: DataFrame) -> DataFrame:
+    """(chr, _id) of ``rest`` that are beaten (``links``: u by v) by none that is kept, decided in order within each run of overlapping intervals."""
+    before = Window.partitionBy("chr").orderBy("start_pos", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("chr").orderBy("start_pos", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.when(F.col("start_pos") <= F.max("end_pos").over(before), 0).otherwise(1)
+    runs = rest.withColumn("_new", new).withColumn("_run", F.sum("_new").over(upto)).select("chr", "_run", F.col("_id").alias("u"))
+    # A row that nothing beats has a link from no one, so that every row is there.
+    placed = runs.join(links, ["chr", "u"], "left")
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        beaten_by: dict[int, list[int]] = {}
+        beats: dict[int, list[int]] = {}
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            mine = beaten_by.setdefault(u, [])
+            if v == v and v is not None:
+                mine.append(int(v))
+                beats.setdefault(int(v), []).append(u)
+        waits = {u: len(v) for u, v in beaten_by.items()}
+        ready, kept = [u for u, n in waits.items() if not n], set()
+        while ready:
+            v = ready.pop()
+            if not any(b in kept for b in beaten_by[v]):
+                kept.add(v)
+            for u in beats.get(v, []):
+                waits[u] -= 1
+                if not waits[u]:
+                    ready.append(u)
+        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "_id": sorted(kept)})
+
+    kind = rest.schema["chr"].dataType.simpleString()
+    return placed.groupBy("chr", "_run").applyInPandas(decide, f"chr {kind}, _id long")
+
+
 def non_overlapping(df: DataFrame, score: str = "score", ties: list[str] | None = None, rounds: int = 100) -> DataFrame:
     """The intervals kept by taking the best score again and again and dropping what overlaps it.
 
     In every round each interval that beats all intervals overlapping it is
     taken at once (these can't overlap each other), and its neighbours go: the same
     result as one by one, in far fewer rounds.  Equal scores are decided by position, then ``ties``.
+    What is left after ``rounds`` rounds, such as long chains of equal scores, is decided one by one in each run of overlapping intervals.
     """
     order = ["start_pos", "end_pos", *(ties or []), "_id"]
     rows = materialise(df.withColumn("_id", F.monotonically_increasing_id()), "overlap")  # written, so the numbers stay
@@ -165,6 +200,9 @@ def non_overlapping(df: DataFrame, score: str = "score", ties: list[str] | None
         left = links.join(gone.withColumnRenamed("_id", "u"), ["chr", "u"], "left_anti").join(gone.withColumnRenamed("_id", "v"), ["chr", "v"], "left_anti")
         old, links = links, materialise(left, "links")
         discard(old)
+    if rest.limit(1).count():
+        one_by_one = materialise(_unbeaten(rows.join(rest, ["chr", "_id"], "left_semi"), links), "best")
+        kept = one_by_one if kept is None else kept.unionByName(one_by_one)
     return rows.join(kept, ["chr", "_id"], "left_semi").select(*df.columns) if kept is not None else df.limit(0)
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import graph, markers
+from tessera.operators import graph, intervals, markers
 
 def test_rows_that_share_a_neighbour_without_a_link(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB_ROWS", 3)
@@ -21,3 +21,9 @@ def test_every_cell_has_a_background_cell_while_there_are_any(spark):
     assert (found.cell.str[0] == found.group).all() and (found.matched.str[0] != found.group).all()
     assert not found.duplicated(["group", "matched"]).any() and not found.duplicated(["group", "cell"]).any()
     assert found.groupby("group").size().to_dict() == {"x": 40, "y": 40}
+
+def test_long_chain_of_equal_scores(spark):
+    data = [("chr1", 10 * i, 10 * i + 12, 1, i) for i in range(31)]
+    df = spark.createDataFrame(data, "chr string, start_pos long, end_pos long, score int, id int")
+    found = intervals.non_overlapping(df, "score", ["id"], rounds=2).collect()
+    assert sorted(r["id"] for r in found) == list(range(0, 31, 2))
