@@ -325,7 +325,7 @@ def trajectory_matrix(spark: SparkSession, root: str) -> DataFrame:
     """Smoothed signal of features along pseudotime."""
     m = _tf(spark, root)
     timed = S.rank_quantile(m.groupBy("cell").agg(F.sum("value").alias("d")), "d").withColumn("t", F.col("quantile") * 100)
-    return L.trajectory_matrix(m.where(F.col("feature") % 10 == 0), L.trajectory_bins(timed, "t", 5))
+    return L.trajectory_matrix(m, L.trajectory_bins(timed, "t", 5))
 
 
 @R.query(sql_with("sequences", """

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from tessera.operators import graph, intervals, markers
+from tessera.plans import catalog_models
 
 def test_rows_that_share_a_neighbour_without_a_link(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB_ROWS", 3)
@@ -27,3 +29,7 @@ def test_long_chain_of_equal_scores(spark):
     df = spark.createDataFrame(data, "chr string, start_pos long, end_pos long, score int, id int")
     found = intervals.non_overlapping(df, "score", ["id"], rounds=2).collect()
     assert sorted(r["id"] for r in found) == list(range(0, 31, 2))
+
+def test_trajectory_of_all_features(spark, root):
+    found = entry.queries()["trajectory_matrix"](spark, root).select("feature").distinct()
+    assert found.count() == catalog_models._tf(spark, root).select("feature").distinct().count()
