@@ -363,7 +363,7 @@ def motif_scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _centers(spark: SparkSession, root: str) -> DataFrame:
-    return A.peaks(spark, root).where(F.col("peak_id") % 5 == 0).select("chr", F.floor((F.col("start_pos") + F.col("end_pos")) / 2).cast("long").alias("pos"), F.when(F.col("peak_id") % 2 == 0, "+").otherwise("-").alias("strand"))
+    return A.peaks(spark, root).select("chr", F.floor((F.col("start_pos") + F.col("end_pos")) / 2).cast("long").alias("pos"), F.when(F.col("peak_id") % 2 == 0, "+").otherwise("-").alias("strand"))
 
 
 @R.query(sql_with("fragments insertions peaks", """

@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from tessera.operators import graph, intervals, markers
 from tessera.plans import catalog_models
+from tessera.sources import adapters as A
 
 def test_rows_that_share_a_neighbour_without_a_link(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB_ROWS", 3)
@@ -33,3 +34,6 @@ def test_long_chain_of_equal_scores(spark):
 def test_trajectory_of_all_features(spark, root):
     found = entry.queries()["trajectory_matrix"](spark, root).select("feature").distinct()
     assert found.count() == catalog_models._tf(spark, root).select("feature").distinct().count()
+
+def test_all_peaks_are_centres(spark, root):
+    assert catalog_models._centers(spark, root).count() == A.peaks(spark, root).count()
