@@ -333,7 +333,7 @@ def trajectory_matrix(spark: SparkSession, root: str) -> DataFrame:
 SELECT substr(seq, position, 4) AS kmer, position, count(*) AS n FROM p WHERE position <= 200 GROUP BY ALL"""))
 def kmer_position(spark: SparkSession, root: str) -> DataFrame:
     """k-mers of four by position in the letters of documents."""
-    return X.kmer_counts(A.sequences(spark, root), "doc_id", 4).where(F.col("position") <= 200)
+    return X.kmer_counts(A.sequences(spark, root), "doc_id", 4)
 
 
 @R.query(sql_with("sequences", """
@@ -349,10 +349,10 @@ def kmer_bias(spark: SparkSession, root: str) -> DataFrame:
 
 @R.query(sql_with("sequences", "SELECT doc_id, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / CAST(nullif(length(seq), 0) AS DOUBLE), 9) AS gc, reverse(translate(substr(seq, 1, 8), 'ACGT', 'TGCA')) AS rc FROM sequences"))
 def gc_content(spark: SparkSession, root: str) -> DataFrame:
-    """Share of G and C, and the first letters' reverse complement."""
+    """Share of G and C, and the reverse complement."""
     s = A.sequences(spark, root)
     gc, _ = X.gc_content()
-    return s.withColumn("_h", F.substring("seq", 1, 8)).select("doc_id", F.round(gc, 9).alias("gc"), X.reverse_complement("_h").alias("rc"))
+    return s.select("doc_id", F.round(gc, 9).alias("gc"), X.reverse_complement("seq").alias("rc"))
 
 
 @R.query()

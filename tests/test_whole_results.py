@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.operators import graph, intervals, markers
@@ -37,3 +38,10 @@ def test_trajectory_of_all_features(spark, root):
 
 def test_all_peaks_are_centres(spark, root):
     assert catalog_models._centers(spark, root).count() == A.peaks(spark, root).count()
+
+def test_kmers_and_complements_of_whole_texts(spark, root):
+    texts = {r["doc_id"]: r["seq"] for r in A.sequences(spark, root).collect()}
+    found = entry.queries()["kmer_position"](spark, root).agg(F.sum("n")).first()[0]
+    assert found == sum(max(len(s) - 3, 0) for s in texts.values())
+    rc = {r["doc_id"]: r["rc"] for r in entry.queries()["gc_content"](spark, root).collect()}
+    assert rc == {k: s[::-1].translate(str.maketrans("ACGT", "TGCA")) for k, s in texts.items()}
