@@ -1,11 +1,18 @@
-"""Grouping vectors into populations by Markov clustering of a similarity graph.
-
-The nodes of the graph are micro-clusters: the rows around each of a number of
-centroids, fitted on a sample and then completed from all rows that lie far from
-every one of them.  A row between several centroids makes their nodes similar.
-On this sparse matrix, expansion (squaring, as a join and a sum), inflation and pruning
-of small entries alternate until the flow stands still; the attractor in which a
-node's flow ends is its cluster, and the rows of the nodes of strongest flow represent it.
+"""Grouping vectors into populations by Markov clustering of a similarity graph of all records.
+
+Records that lie close together are contracted first: all distinct vectors are dealt
+to cells of space, and each cell is halved again and again until its leaves hold at most
+LEAF rows, no row lies far from the middle of its leaf, and no leaf has a gap through it.
+So every record is in a leaf, the number of leaves grows with the records, and two populations
+that a gap parts are never in one leaf.  A leaf is linked to the leaves beside it (found by the
+neighbour index) by its rows that are about as near to them.
+
+On this sparse matrix expansion (squaring, as a join and a sum), inflation and pruning of small
+entries alternate until the flow stands still; the attractor in which a leaf's flow ends is its
+cluster.  Clusters that keep a good share of their links to each other are the nodes of a next, smaller matrix,
+until no such links are left, so that large populations come out whole (but a thread-like one, whose leaves
+follow each other in a row, in pieces).
+The rows of the leaves of strongest flow represent a cluster.
 """
 
 from __future__ import annotations
@@ -18,120 +25,223 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.centroids import distances2, fit, sample, sound_vectors
+from tessera.llm.neighbours import between_distinct, distinct_vectors
 from tessera.session import discard, materialise
 from tessera.sources.tables import latest, table
 
-#: Rows for each centroid, least and greatest number of centroids, and rows of the sample they are fitted on; ``added_nodes`` adds to them without a limit.
-ROWS_PER_NODE, LEAST_NODES, MOST_NODES, SAMPLE = 150, 48, 1024, 20_000
-#: A row is near a centroid if it is at most so many times as far from it as from the nearest one.
+#: Rows for each cell of space, rows of the sample that the cells' centroids are fitted on, and rows of a cell that one task halves; larger cells are cut by hash.
+CELL_ROWS, SAMPLE, BLOCK = 4000, 50_000, 8192
+#: Rows of a leaf, and leaves beside it that it may be linked to.
+LEAF, BESIDE = 64, 8
+#: A leaf is split if its halves lie further apart than GAP times the spread of both along the line between them; fewer than GAP_ROWS rows only if they lie APART times the radius of the wider half apart.
+GAP, GAP_ROWS, APART = 1.0, 16, 1.8
+#: A row is near a leaf if it is at most so many times as far from it as from its own.
 NEAR = 1.5
-#: How many centroids a row may be near to: what follows them is farther than all of these.
-NEIGHBOURS = 8
-#: A row farther from its centroid than so many times the median of all rows belongs to no population.
+#: A row farther from every leaf of a population than so many times the median distance of a row to its leaf belongs to none.
 FAR = 3.0
-#: A row farther from its centroid than so many times the median may be of a population without a node.
-COVER = 1.5
-#: How many of these rows are tried as centroids at once, and how often a trial is moved to the mean of what is near it.
-TRIALS, MOVES = 4096, 4
-#: Rows closer to their centroid than this share of the median are taken for copies of it, and a population has some that aren't.
+#: Rows closer to each other than this share of their leaf's median are taken for copies; a population has LEAST_ROWS rows that aren't.
 COPY, LEAST_ROWS = 0.1, 8
 #: Inflation of the flow; entries below this share of the largest of their column are pruned.
-INFLATION, PRUNE = 1.4, 0.02
-ROUNDS = 40
-
-
-def nearest_nodes(rows: DataFrame, key: str, centroids: np.ndarray) -> DataFrame:
-    """``key``, ``node`` (nearest centroid), ``d`` (distance to it), and the other near nodes with weights from 1 to 0."""
-    shared = rows.sparkSession.sparkContext.broadcast(centroids)  # a vector a node
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        m = min(NEIGHBOURS, len(c))
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float32)
-            d2 = distances2(x, c)
-            near = np.argpartition(d2, m - 1, 1)[:, :m]
-            d = np.sqrt(np.take_along_axis(d2, near, 1))
-            order = d.argsort(1)
-            near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
-            weight = (NEAR - d[:, 1:] / np.maximum(d[:, :1], 1e-9)) / (NEAR - 1)
-            keep = weight > 0
-            ends = np.concatenate([[0], keep.sum(1).cumsum()]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(z[keep])) for z in (near[:, 1:].astype(np.int32), weight.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(near[:, 0].astype(np.int32)), pa.array(d[:, 0].astype(np.float64)), *lists], names=[key, "node", "d", "others", "weights"]
-            )
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "v").mapInArrow(run, f"`{key}` {kind}, node int, d double, others array<int>, weights array<float>")
-
-
-def _apart(x: np.ndarray, radius: float, taken: np.ndarray) -> np.ndarray:
-    """The rows of ``x``, in their order, that are farther than ``radius`` from all of ``taken`` and from those before them."""
-    left = np.ones(len(x), bool)
-    for a in range(0, len(taken), 1024):
-        left &= distances2(x, taken[a : a + 1024]).min(1) > radius**2
-    picked = []
+INFLATION, PRUNE = 2.0, 0.05
+#: Links between clusters count if they are this share of all links of either of them.
+CUT = 0.02
+#: The flow has stood still long before; if not, that is an error.
+MOST_ROUNDS = 500
+
+
+def _halves(x: np.ndarray, rounds: int = 8) -> np.ndarray | None:
+    """Side of each row of ``x`` when it is cut in two around two means, begun from rows far apart; None if it can't be cut."""
+    a = x[((x - x.mean(0)) ** 2).sum(1).argmax()]
+    b = x[((x - a) ** 2).sum(1).argmax()]
+    side = None
+    for _ in range(rounds):
+        new = x @ (b - a) > (a + b) @ (b - a) / 2
+        if new.all() or not new.any():
+            return side
+        if side is not None and (new == side).all():
+            break
+        side = new
+        b, a = x[side].mean(0), x[~side].mean(0)
+    return side
+
+
+def _parted(x: np.ndarray, side: np.ndarray) -> bool:
+    """Whether a gap lies between the two sides of ``x``."""
+    a, b = x[~side].mean(0), x[side].mean(0)
+    between = np.sqrt(((b - a) ** 2).sum())
+    along = x @ ((b - a) / max(between, 1e-12))
+    low, high = along[~side], along[side]
+    if high.min() - low.max() <= GAP * (low.std() + high.std()):
+        return False
+    if len(x) >= GAP_ROWS:
+        return True
+    wide = max(((x[side] - b) ** 2).sum(1).mean(), ((x[~side] - a) ** 2).sum(1).mean())
+    return between > APART * np.sqrt(wide)
+
+
+def without_copies(x: np.ndarray, radius: float) -> np.ndarray:
+    """Rows of ``x`` in order, less those within ``radius`` of one before them."""
+    d2 = distances2(x, x) if len(x) > 1 else np.zeros((len(x), len(x)))
+    left, out = np.ones(len(x), bool), []
     for i in range(len(x)):
         if left[i]:
-            picked.append(i)
-            left &= ((x - x[i]) ** 2).sum(1) > radius**2
-    return x[picked]
+            out.append(i)
+            left &= d2[i] > radius * radius
+    return np.array(out, np.int64)
+
+
+def leaves(x: np.ndarray) -> list[np.ndarray]:
+    """The leaves of a cell, each the numbers of its rows of ``x``."""
+    x = x.astype(np.float64)
+    x = x - x.mean(0)
+    todo, done = [np.arange(len(x))], []
+    while todo:
+        rows = todo.pop()
+        side = _halves(x[rows]) if len(rows) > LEAF else None
+        if side is not None:
+            todo += [rows[side], rows[~side]]
+        else:
+            done += [rows[a : a + LEAF] for a in range(0, len(rows), LEAF)]  # more than LEAF are equal but for rounding
+    for _ in range(2):  # a row that was cut off from its like goes back to it
+        c = np.stack([x[r].mean(0) for r in done])
+        near = np.concatenate([distances2(x[a : a + 2048], c).argmin(1) for a in range(0, len(x), 2048)])
+        order = near.argsort(kind="stable")
+        ends = np.searchsorted(near[order], np.arange(len(c) + 1))
+        done = [order[a:b] for a, b in zip(ends, ends[1:]) if b > a]
+    todo, done = done, []
+    median = np.median(np.concatenate([np.sqrt(((x[r] - x[r].mean(0)) ** 2).sum(1)) for r in todo]))
+    while todo:
+        rows = todo.pop()
+        y = x[rows]
+        d = np.sqrt(((y - y.mean(0)) ** 2).sum(1))
+        wide = len(rows) > 1 and d.max() > (FAR if len(rows) >= GAP_ROWS else NEAR) * median
+        some = np.arange(len(rows)) if wide else without_copies(y, COPY * np.median(d)) if len(rows) >= 4 else np.zeros(0, np.int64)
+        side = _halves(y[some]) if wide or len(some) >= 4 else None
+        if side is not None and (wide or _parted(y[some], side)):
+            a, b = y[some][side].mean(0), y[some][~side].mean(0)
+            of_a = ((y - a) ** 2).sum(1) < ((y - b) ** 2).sum(1)
+            if of_a.any() and not of_a.all():
+                todo += [rows[of_a], rows[~of_a]]
+                continue
+        done.append(rows)
+    return done
 
 
-def _around(far: DataFrame, centroids: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of the centroids that have rows of ``far`` within ``radius``, each row counting for the nearest one: the mean of these and their number."""
-    shared = far.sparkSession.sparkContext.broadcast(centroids)  # at most TRIALS vectors
+def _in_cells(vectors: DataFrame, n: int, dim: int) -> DataFrame:
+    """``vectors`` (vid, v) as (cell, vid, v), v being the vector's bytes: cells of space with about CELL_ROWS rows, those with more than BLOCK cut by hash."""
+    seen = sample(vectors, "v", SAMPLE, n)
+    cells = max(1, min(n // CELL_ROWS, len(seen) // 8))
+    centroids = fit(seen, cells, rounds=4, largest=3 / cells if cells > 1 else None) if len(seen) else np.zeros((1, dim), np.float32)
+    share = np.zeros(len(centroids))
+    for a in range(0, len(seen), 8192):
+        share += np.bincount(distances2(seen[a : a + 8192], centroids).argmin(1), minlength=len(centroids))
+    parts = np.maximum(1, np.ceil(share / max(len(seen), 1) * n / BLOCK)).astype(np.int64)
+    shared = vectors.sparkSession.sparkContext.broadcast((centroids, parts))  # a vector a cell, at most two for eight of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
+        c, cut = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32)
-            d2 = distances2(x, c)
-            keep = pa.array(d2.min(1) <= radius**2)
-            yield pa.RecordBatch.from_arrays([pa.array(d2.argmin(1).astype(np.int32)), batch.column(0)], names=["node", "v"]).filter(keep)
-
-    means = [F.avg(F.col("v")[j].cast("double")).alias(f"m{j}") for j in range(centroids.shape[1])]
-    found = far.select("v").mapInArrow(run, "node int, v array<float>").groupBy("node").agg(F.count(F.lit(1)).alias("n"), *means).orderBy("node").toPandas()
-    return found[[f"m{j}" for j in range(centroids.shape[1])]].to_numpy(np.float32), found["n"].to_numpy(np.int64)
-
-
-def added_nodes(far: DataFrame, radius: float, like: float) -> np.ndarray:
-    """Centroids of the populations among ``far`` (v), the distinct vectors far from every centroid, of which any may lie in one.
-
-    All vectors are tried as centroids, TRIALS at a time in order of their hash, unless one
-    before them lies within ``radius``.  A trial moves to the mean of the vectors around it; trials that have
-    come closer than ``like`` are one, and those with LEAST_ROWS vectors around them are taken.
-    The others are strays, which stay with the nearest node there is.
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32)
+            near = np.concatenate([distances2(x[a : a + 2048], c).argmin(1) for a in range(0, len(x), 2048)])
+            part = batch.column(1).to_numpy(zero_copy_only=False) % cut[near]
+            ends = np.arange(len(x) + 1, dtype=np.int32) * (x.itemsize * x.shape[1])
+            raw = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([pa.array((near.astype(np.int64) << 20) + part), batch.column(0), raw], names=["cell", "vid", "v"])
+
+    kind = vectors.schema["vid"].dataType.simpleString()
+    return vectors.select("vid", F.pmod(F.xxhash64("v"), F.lit(1 << 30)).alias("h"), "v").mapInArrow(run, f"cell bigint, vid {kind}, v binary")
+
+
+def _as_vectors(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(rows, -1)
+
+
+def leaf_table(vectors: DataFrame, n: int, dim: int) -> DataFrame:
+    """One row a leaf of the ``n`` distinct ``vectors`` (vid, v): node, centroid, median distance to it, and its rows (vids, distances, bytes of their vectors)."""
+    kind = vectors.schema["vid"].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        vids, x = group.column("vid").combine_chunks(), _as_vectors(group.column("v"), group.num_rows)
+        cell = group.column("cell")[0].as_py()
+        order = np.lexsort(x.T[::-1])  # the same leaves in whatever order the rows arrive
+        x, vids = x[order], vids.take(pa.array(order))
+        found = leaves(x)
+        c = np.stack([x[r].mean(0, dtype=np.float64) for r in found]).astype(np.float32)
+        d = [np.sqrt(((x[r].astype(np.float64) - m) ** 2).sum(1)) for r, m in zip(found, c)]
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in found])]).astype(np.int32))
+        return pa.table(
+            {
+                "node": (np.int64(cell) << 20) + np.arange(len(found)),
+                "centroid": pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * x.shape[1]), pa.array(c.ravel())),
+                "median": np.array([np.median(z) for z in d]),
+                "vids": pa.ListArray.from_arrays(ends, vids.take(pa.array(np.concatenate(found)))),
+                "ds": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(d))),
+                "vs": pa.array([np.ascontiguousarray(x[r]).tobytes() for r in found], pa.binary()),
+            }
+        )
+
+    cells = _in_cells(vectors, n, dim)
+    schema = f"node bigint, centroid array<float>, median double, vids array<{kind}>, ds array<double>, vs binary"
+    return materialise(cells.groupBy("cell").applyInArrow(run, schema), "leaves")
+
+
+def linked(nodes: DataFrame, near: DataFrame, median: float) -> tuple[DataFrame, DataFrame]:
+    """The rows that are not far from every leaf (vid, node: the leaf nearest to the row, d, fresh: whether it is no copy of another), and the graph of the leaves (i, j, x).
+
+    ``near`` (vid, nid, d) holds the leaves beside each.  A row makes the leaf nearest to it similar to those that are less than
+    NEAR times as far, the more the nearer.  No row counts as nearer to its leaf than is usual
+    around there, so that a leaf of copies is linked like any other.
     """
-    hashed = materialise(far.select("v", F.xxhash64("v").alias("h")), "far")
-    dim, last = len(hashed.first()["v"]) if hashed.limit(1).count() else 1, None
-    taken = np.zeros((0, dim), np.float32)
-    while True:
-        todo = hashed if last is None else hashed.where(F.col("h") > last)
-        drawn = todo.orderBy("h", "v").limit(TRIALS).toPandas()
-        if not len(drawn):
-            break
-        last = int(drawn["h"].iloc[-1])
-        c = _apart(np.array(list(drawn["v"]), np.float32), radius, taken)
-        count = np.zeros(0, np.int64)
-        for _ in range(MOVES):
-            if not len(c):
-                break
-            c, count = _around(hashed, c, radius)
-            if len(c):
-                order = np.argsort(-count, kind="stable")
-                c = _apart(c[order], like, taken)
-        if len(c):
-            c, count = _around(hashed, c, radius)
-            taken = np.concatenate([taken, c[count >= LEAST_ROWS]])
-    discard(hashed)
-    return taken
+    other = nodes.select(F.col("node").alias("nid"), "centroid", "median", F.size("vids").alias("n"))
+    beside = near.join(other, "nid").groupBy(F.col("vid").alias("node")).agg(F.sort_array(F.collect_list(F.struct("d", "nid", "centroid", "median", "n"))).alias("beside"))  # BESIDE at most
+    full = nodes.join(beside, "node", "left").select("node", "centroid", "vids", "ds", "vs", "beside")
+    kind = nodes.schema["vids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vid_lists, homes, away, fresh, pairs = [], [], [], [], []
+            for node, centroid, vids, ds, vs, beside in zip(*[batch.column(k) for k in range(6)]):
+                x = np.frombuffer(vs.as_py(), np.float32).reshape(len(vids), -1).astype(np.float64)
+                beside = beside.as_py() or []
+                usual = [b["median"] for b in beside if b["n"] >= LEAST_ROWS]
+                radius = max(min(max(np.median(ds.values.to_numpy()), np.median(usual) if usual else median), FAR * median), 1e-12)
+                ids = np.array([node.as_py()] + [b["nid"] for b in beside])
+                centers = np.array([centroid.as_py()] + [b["centroid"] for b in beside], np.float64)
+                d = np.sqrt(((x[:, None] - centers[None]) ** 2).sum(2))
+                home = d.argmin(1)
+                nearest = d[np.arange(len(x)), home]
+                kept = nearest <= FAR * median
+                ratio = d / np.maximum(nearest, radius)[:, None]
+                weight = np.where(kept[:, None], np.maximum(0, (NEAR - ratio) / (NEAR - 1)), 0)
+                for h in np.unique(home[kept]):
+                    sums = weight[home == h].sum(0)
+                    pairs.append([(int(ids[h]), int(ids[o]), float(sums[o])) for o in np.flatnonzero(sums) if o != h])
+                new = np.zeros(len(x), bool)
+                new[np.flatnonzero(kept)[without_copies(x[kept], COPY * radius)]] = True
+                vid_lists.append(vids.values.filter(pa.array(kept)))
+                homes.append(ids[home[kept]])
+                away.append(nearest[kept])
+                fresh.append(new[kept])
+            vids = pa.concat_arrays(vid_lists) if vid_lists else pa.array([], batch.schema.field(2).type.value_type)
+            flat = [t for p in pairs for t in p]
+            rows = len(vids)
+            total = rows + len(flat)
+            columns = [
+                pa.concat_arrays([vids, pa.nulls(len(flat), vids.type)]),
+                pa.array(np.concatenate([*homes, [t[0] for t in flat]]).astype(np.int64) if total else [], pa.int64()),
+                pa.array([None] * rows + [t[1] for t in flat], pa.int64()),
+                pa.array(np.concatenate([*away, [t[2] for t in flat]]) if total else [], pa.float64()),
+                pa.array([bool(z) for f in fresh for z in f] + [None] * len(flat), pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["vid", "node", "other", "x", "fresh"])
+
+    both = materialise(full.mapInArrow(run, f"vid {kind}, node bigint, other bigint, x double, fresh boolean"), "linked")
+    rows = both.where(F.col("other").isNull()).select("vid", "node", F.col("x").alias("d"), "fresh")
+    one_way = both.where(F.col("other").isNotNull()).select(F.col("node").alias("i"), F.col("other").alias("j"), "x")
+    graph = one_way.unionByName(one_way.select(F.col("j").alias("i"), F.col("i").alias("j"), "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    return rows, graph
 
 
 def _normalise(m: DataFrame) -> DataFrame:
@@ -139,73 +249,116 @@ def _normalise(m: DataFrame) -> DataFrame:
     return m.withColumn("x", F.col("x") / F.sum("x").over(Window.partitionBy("j")))
 
 
-def markov_clusters(graph: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, rounds: int = ROUNDS) -> DataFrame:
+def markov_clusters(graph: DataFrame, inflation: float = INFLATION, prune: float = PRUNE) -> DataFrame:
     """``node``, ``attractor`` and ``flow`` of every node of a similarity graph (i, j, x).
 
-    The graph must hold both directions of each similarity and may lack
-    self-similarities, which are added.  Flow column j of the matrix holds where the
-    flow from j goes.  Each round is one join and two sums over the entries that
-    are left, written as a table.  The rounds end when no entry changes by more than a thousandth.
+    The graph must hold both directions of each similarity; nodes without a self-similarity get one as large as their largest.
+    Flow column j of the matrix holds where the flow from j goes.  Each round is one join and sums over the entries that
+    are left, written as a table.  The rounds end when the entries of every column are as good as equal twice running, that is when
+    squaring and inflation change nothing any more.
     """
-    loops = graph.groupBy("j").agg(F.greatest(F.max("x"), F.lit(1e-9)).alias("x")).select(F.col("j").alias("i"), "j", "x")
+    loops = graph.groupBy("j").agg(F.max("x").alias("_most"), F.max(F.when(F.col("i") == F.col("j"), F.col("x"))).alias("_own"))
+    loops = loops.select(F.col("j").alias("i"), "j", F.greatest(F.coalesce("_own", "_most"), F.lit(1e-9)).alias("x"))
     both = graph.where(F.col("i") != F.col("j")).unionByName(loops).groupBy("i", "j").agg(F.sum("x").alias("x"))
     m = materialise(_normalise(both), "flow")
-    column = Window.partitionBy("j")
-    for _ in range(rounds):
-        left = m.select(F.col("i").alias("i"), F.col("j").alias("k"), F.col("x").alias("a"))
+    column, calm = Window.partitionBy("j"), 0
+    for _ in range(MOST_ROUNDS):
+        left = m.select("i", F.col("j").alias("k"), F.col("x").alias("a"))
         right = m.select(F.col("i").alias("k"), "j", F.col("x").alias("b"))
         square = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("x"))
         inflated = square.withColumn("x", F.pow("x", F.lit(inflation))).withColumn("_most", F.max("x").over(column))
         new = materialise(_normalise(inflated.where(F.col("x") >= prune * F.col("_most")).drop("_most")), "flow")
-        old = m.select("i", "j", F.col("x").alias("_old"))
-        moved = new.join(old, ["i", "j"], "full").agg(F.max(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))))).first()[0]
+        unrest = new.groupBy("j").agg((F.max("x") - F.sum(F.col("x") * F.col("x"))).alias("_c")).agg(F.max("_c")).first()[0]
         discard(m)
         m = new
-        if moved is None or moved < 1e-3:
+        calm = calm + 1 if unrest is None or unrest < 1e-6 else 0
+        if calm == 2:  # once may be chance
             break
-    ends = m.groupBy("j").agg(F.max(F.struct(F.round("x", 9).alias("x"), (-F.col("i")).alias("i"))).alias("_top"))
-    return ends.select(F.col("j").alias("node"), (-F.col("_top.i")).alias("attractor"), F.col("_top.x").alias("flow"))
+    else:
+        raise RuntimeError(f"the flow has not stood still after {MOST_ROUNDS} rounds")
+    ends = m.groupBy("j").agg(F.max(F.struct(F.round("x", 4).alias("x"), (-F.col("i")).alias("i"))).alias("_top"))
+    ends = materialise(ends.select(F.col("j").alias("node"), (-F.col("_top.i")).alias("attractor"), F.col("_top.x").alias("flow")), "ends")
+    discard(m)
+    return ends
 
 
-def populations(df: DataFrame, key: str, vector: str, dim: int = 30) -> DataFrame:
-    """``key``, ``cluster`` (int), ``flow`` and ``d`` of the rows that belong to a population.
+def clusters_of_clusters(graph: DataFrame, rows: DataFrame) -> DataFrame:
+    """``node``, ``attractor`` and ``flow`` of the nodes with links, by Markov clustering of the graph (i, j, x), then of the clusters found, and so on.
 
-    Left out: rows without a sound vector of ``dim`` numbers, rows far from every
-    population, and rows of clusters of fewer than LEAST_ROWS rows, near-identical
-    ones counting as one.  Repeated rows of a key count once; ties of flow go to the
-    smaller node; extra columns are ignored; an empty table gives no rows.
-    ``flow`` is that of the row's node to the attractor of its cluster.
+    ``rows`` (j, x) is how much each node is like itself.  A link between two clusters counts if it is at least CUT of all
+    that either of them is linked to, itself included.  The levels end when no link counts or no clusters merge.
+    """
+    graph, inner = materialise(graph, "graph"), rows
+    placed: DataFrame | None = None
+    level = 0
+    while True:
+        outer = graph.groupBy("j").agg(F.sum("x").alias("_out"))
+        volume = materialise(outer.join(inner, "j", "left").select("j", (F.col("_out") + F.coalesce("x", F.lit(0.0))).alias("_v"), F.coalesce("x", F.lit(0.0)).alias("_in")), "volume")
+        sized = graph.join(volume.select("j", F.col("_v").alias("_vj")), "j").join(volume.select(F.col("j").alias("i"), F.col("_v").alias("_vi")), "i")
+        strong = materialise(sized.where(F.col("x") >= CUT * F.least("_vi", "_vj")).select("i", "j", "x"), "strong")
+        if not strong.limit(1).count():
+            break
+        if placed is None:  # the leaves' own rows; later levels are like themselves as much as like the nearest, so that they go on merging
+            own = volume.join(strong.select("j").distinct(), "j", "left_semi").select(F.col("j").alias("i"), "j", F.greatest("_in", F.lit(1e-9)).alias("x"))
+            ends = markov_clusters(strong.unionByName(own))
+        else:
+            ends = markov_clusters(strong)
+        merged = ends.where(F.col("node") != F.col("attractor")).limit(1).count()
+        if placed is None:
+            placed = ends
+        else:
+            onward = ends.select(F.col("node").alias("attractor"), F.col("attractor").alias("_to"), F.col("flow").alias("_f"))
+            moved = placed.join(onward, "attractor", "left")
+            old, placed = placed, materialise(moved.select("node", F.coalesce("_to", "attractor").alias("attractor"), (F.col("flow") * F.coalesce("_f", F.lit(1.0))).alias("flow")), "placed")
+            discard(old)
+        if not merged and level:
+            break
+        level += 1
+        to = ends.select("node", "attractor")
+        moved = graph.join(to.select(F.col("node").alias("i"), F.col("attractor").alias("_i")), "i", "left").join(to.select(F.col("node").alias("j"), F.col("attractor").alias("_j")), "j", "left")
+        moved = moved.groupBy(F.coalesce("_i", "i").alias("i"), F.coalesce("_j", "j").alias("j")).agg(F.sum("x").alias("x"))
+        moved = materialise(moved, "moved")
+        was = volume.join(to.select(F.col("node").alias("j"), F.col("attractor").alias("_j")), "j", "left").select(F.coalesce("_j", "j").alias("j"), F.col("_in").alias("x"))
+        inner = materialise(was.unionByName(moved.where(F.col("i") == F.col("j")).select("j", "x")).groupBy("j").agg(F.sum("x").alias("x")), "inner")
+        discard(graph)
+        graph = materialise(moved.where(F.col("i") != F.col("j")), "graph")
+        for t in (moved, strong, volume):
+            discard(t)
+    if placed is None:
+        placed = graph.select(F.col("j").alias("node"), F.col("j").alias("attractor"), F.lit(1.0).alias("flow")).distinct()
+    return placed
+
+
+def populations(df: DataFrame, key: str, vector: str, dim: int = 30) -> DataFrame:
+    """``key``, ``cluster``, ``flow`` and ``d`` of the rows that belong to a population.
+
+    Left out: rows without a sound vector of ``dim`` numbers, rows far from every population (more than FAR times the
+    distance that half of all rows have from the middle of their leaf), and clusters of fewer than LEAST_ROWS rows,
+    near-identical ones counting as one; but a small cluster no farther than that from a population joins it.
+    Repeated rows of a key count once; identical vectors are one record of the graph, whatever their
+    number; ties of flow go to the smaller leaf; extra columns are ignored; an empty table gives no rows.
+    ``flow`` is that of the leaf nearest to the row to the attractor of its cluster, ``d`` the row's distance to the middle of that leaf.
     """
-    spark = df.sparkSession
-    rows = materialise(sound_vectors(df, key, vector, dim), "vectors")
-    n = rows.count()
-    nodes = max(1, min(max(LEAST_NODES, n // ROWS_PER_NODE), MOST_NODES, n // 4))
-    distinct = rows.agg(F.countDistinct(F.xxhash64("v"))).first()[0]
-    seen = sample(rows.select("v").distinct(), "v", SAMPLE, distinct)
-    centroids = fit(seen, nodes) if len(seen) else np.zeros((1, dim), np.float32)
-    near = materialise(nearest_nodes(rows, key, centroids), "near")
-    middle = lambda: near.select("node", "d").distinct().agg(F.percentile_approx("d", 0.5, 1000)).first()[0] or 0.0
-    median = middle()
-    far = rows.join(near.where(F.col("d") > COVER * median).select(key), key, "left_semi").select("v").distinct()
-    more = added_nodes(far, COVER * median, median)
-    if len(more):
-        discard(near)
-        near = materialise(nearest_nodes(rows, key, np.concatenate([centroids, more])), "near")
-        median = middle()
-    discard(rows)
-    core = near.where(F.col("d") <= FAR * median)
-    pairs = core.select("node", F.explode(F.arrays_zip("others", "weights")).alias("_o"))
-    one_way = pairs.select(F.col("node").alias("i"), F.col("_o.others").alias("j"), F.col("_o.weights").cast("double").alias("x"))
-    one_way = one_way.groupBy("i", "j").agg(F.sum("x").alias("x"))
-    lone = core.select("node").distinct().select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.0).alias("x"))
-    one_way = one_way.join(lone.select("j"), "j", "left_semi").select("i", "j", "x")  # a node that no row is nearest to joins nothing
-    graph = one_way.unionByName(one_way.select(F.col("j").alias("i"), F.col("i").alias("j"), "x")).unionByName(lone)
-    flow = markov_clusters(materialise(graph.groupBy("i", "j").agg(F.sum("x").alias("x")), "graph"))
-    # One row a node.
-    flow = F.broadcast(materialise(flow, "ends"))
-    placed = core.select(key, "node", "d").join(flow, "node")
-    big = placed.where(F.col("d") > COPY * median).groupBy("attractor").count().where(F.col("count") >= LEAST_ROWS).select("attractor")
-    return placed.join(F.broadcast(big), "attractor", "left_semi").select(key, F.col("attractor").alias("cluster"), "flow", "d")
+    rows = materialise(sound_vectors(df, key, vector, dim).withColumnRenamed(key, "cell"), "vectors")
+    vectors, members = distinct_vectors(rows)
+    n = vectors.count()
+    nodes = leaf_table(vectors.select("vid", "v"), n, dim)
+    median = nodes.select(F.explode("ds").alias("d")).agg(F.percentile_approx("d", 0.5, 1000)).first()[0] or 0.0
+    near = between_distinct(nodes.select(F.col("node").alias("vid"), F.col("centroid").alias("v"), F.lit(True).alias("asks")), BESIDE)
+    members_of, graph = linked(nodes, near, median)
+    discard(nodes)
+    sizes = materialise(members_of.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("fresh"), 1)).alias("rows")), "sizes")
+    placed = clusters_of_clusters(graph, sizes.select(F.col("node").alias("j"), F.col("n").cast("double").alias("x")))
+    full = sizes.join(placed, "node", "left").select("node", "rows", F.coalesce("attractor", "node").alias("cluster"), F.coalesce("flow", F.lit(1.0)).alias("flow"))
+    full = materialise(full, "clusters")
+    big = full.groupBy("cluster").agg(F.sum("rows").alias("_rows")).where(F.col("_rows") >= LEAST_ROWS).select("cluster")
+    whole = materialise(full.join(big, "cluster", "left_semi").select("node", "cluster", "flow"), "whole")
+    small = full.select("node").join(whole.select("node"), "node", "left_anti")
+    beside = near.where(F.col("d") <= FAR * median).select(F.col("vid").alias("node"), "nid", "d").join(small, "node").join(whole.select(F.col("node").alias("nid"), "cluster"), "nid")
+    joined = beside.groupBy("node").agg(F.min_by("cluster", F.struct("d", "nid")).alias("cluster")).select("node", "cluster", F.lit(0.0).alias("flow"))
+    of_vector = members_of.join(whole.unionByName(joined), "node").select("vid", "cluster", "flow", "d")
+    out = members(materialise(of_vector, "members"))
+    return out.select(F.col("cell").alias(key), "cluster", "flow", "d")
 
 
 def _labelled(spark: SparkSession, root: str) -> DataFrame:

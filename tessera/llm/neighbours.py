@@ -9,7 +9,7 @@ centroids that are not much farther than the nearest (distance-ratio pruning).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +167,7 @@ def _compare(k: int, radius: float | None):
     return run
 
 
-def _between_distinct(vectors: DataFrame, k: int, radius: float | None) -> DataFrame:
+def between_distinct(vectors: DataFrame, k: int, radius: float | None = None) -> DataFrame:
     """(vid, nid, d): the k nearest other vectors of every asked vector; ``vectors`` (vid, v, asks) are distinct."""
     n = vectors.count()
     lists = max(1, min(n // LIST_ROWS, MOST_LISTS))
@@ -195,6 +195,18 @@ def _between_distinct(vectors: DataFrame, k: int, radius: float | None) -> DataF
     return materialise(best, "nearest")
 
 
+def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """A table (vid, v, n) of the distinct vectors of the table ``rows`` (cell, v), and a function that brings rows by vid back to all cells, as ``cell``."""
+    groups = materialise(rows.groupBy("v").agg(F.min("cell").alias("vid"), F.count(F.lit(1)).alias("n")), "distinct")
+
+    def members(found: DataFrame) -> DataFrame:
+        alone = groups.where(F.col("n") == 1).select(F.col("vid").alias("cell"), "vid")
+        copies = skew_join(rows, groups.where(F.col("n") > 1).select("v", "vid"), ["v"]).select("cell", "vid")
+        return skew_join(materialise(alone.unionByName(copies), "copies"), found, ["vid"]).drop("vid")
+
+    return groups, members
+
+
 def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 30, radius: float | None = None, asked: Column | None = None) -> DataFrame:
     """``key``, ``neighbour``, ``distance`` and ``rnk`` (1 to k) of the k rows with the nearest vectors, for every row.
 
@@ -212,7 +224,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 30, rad
     rows = materialise(rows, "vectors")
     groups = rows.groupBy("v").agg(F.min("cell").alias("vid"), F.max("asks").alias("asks"), F.count(F.lit(1)).alias("n"))
     groups = materialise(groups, "distinct")
-    between = _between_distinct(groups.select("vid", "v", "asks"), k, radius)
+    between = between_distinct(groups.select("vid", "v", "asks"), k, radius)
 
     alone = groups.where(F.col("n") == 1).select(F.col("vid").alias("cell"), "vid", "asks")
     copied = groups.where(F.col("n") > 1).select("v", "vid")

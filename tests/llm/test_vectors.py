@@ -114,8 +114,31 @@ def test_labels(spark, root):
     assert clusters.p1_found(spark, root).columns == ["cell_id", "clusters"]
 
 
-def test_populations_without_a_row_in_the_sample_have_nodes_of_their_own(spark, monkeypatch):
+@pytest.mark.parametrize("pops, sizes, cell", [(10, (30, 301), 4000), (100, (30, 301), 700), (1000, (20, 40), 2500)])
+def test_planted_populations_come_back_one_to_one(spark, monkeypatch, pops, sizes, cell):
+    monkeypatch.setattr(clusters, "CELL_ROWS", cell)
+    rng = np.random.default_rng(pops)
+    size = rng.integers(*sizes, pops)
+    which = np.repeat(np.arange(pops), size)
+    c = rng.normal(0, 40, (pops, DIM))
+    x = c[which] + rng.normal(0, 1, (len(which), DIM))
+    strays = rng.uniform(-400, 400, (len(x) // 100, DIM))
+    order = rng.permutation(len(x) + len(strays))
+    x, which = np.concatenate([x, strays]).astype(np.float32)[order], np.concatenate([which, np.full(len(strays), -1)])[order]
+    found = {r["id"]: r["cluster"] for r in populations(table(spark, x), "id", "v", DIM).collect()}
+    owner, homes = {}, {}
+    for k, cluster in found.items():
+        owner.setdefault(cluster, set()).add(int(which[k]))
+        homes.setdefault(int(which[k]), set()).add(cluster)
+    assert all(len(v - {-1}) == 1 for v in owner.values())
+    one = sum(len(homes.get(w, ())) == 1 for w in range(pops))
+    assert one >= 0.99 * pops and len(owner) == pops
+    assert sum(which[k] >= 0 for k in found) >= 0.998 * (which >= 0).sum() and sum(which[k] < 0 for k in found) <= 0.02 * len(strays)
+
+
+def test_populations_that_no_row_of_the_sample_is_of(spark, monkeypatch):
     monkeypatch.setattr(clusters, "SAMPLE", 300)
+    monkeypatch.setattr(clusters, "CELL_ROWS", 600)
     rng = np.random.default_rng(4)
     size = [900] * 4 + [10, 20, 40, 60] * 10
     which = np.repeat(np.arange(len(size)), size)
@@ -128,3 +151,17 @@ def test_populations_without_a_row_in_the_sample_have_nodes_of_their_own(spark,
     whole = [w for w in range(len(size)) if len({found.get(k) for k in np.flatnonzero(which == w)}) == 1]
     assert None not in owner and all(len(v) == 1 for v in owner.values())
     assert set(range(4, len(size))) <= set(whole)
+
+
+def test_a_long_population_and_a_hot_vector(spark):
+    rng = np.random.default_rng(2)
+    line = np.zeros((3000, DIM))
+    line[:, 0] = rng.uniform(0, 300, 3000)
+    line += rng.normal(0, 0.3, line.shape)
+    long = rng.normal(0, 1, (3000, DIM)) * [25, 3, 2, 1, 1, 1] + np.array([0, -90] + [0] * (DIM - 2))
+    other = rng.normal(0, 1, (1500, DIM)) + np.array([0, 60] + [0] * (DIM - 2))
+    other[:700] = other[0]
+    found = {r["id"]: r["cluster"] for r in populations(table(spark, np.concatenate([line, long, other]).astype(np.float32)), "id", "v", DIM).collect()}
+    parts = [{found[k] for k in range(*ends) if k in found} for ends in ((0, 3000), (3000, 6000), (6000, 7500))]
+    assert len(found) >= 7400 and not parts[0] & parts[1] and not parts[0] & parts[2] and not parts[1] & parts[2]
+    assert len(parts[2]) == 1 and len(parts[1]) <= 2  # the thread-like one may come in pieces
