@@ -1,7 +1,7 @@
 """The N highest-scoring items of every group, by descending score bands.
 
-All rows are cut into range-partitioned score bands, which are taken from the
-top.  Groups that already have their N items are anti-joined away before a band
+All rows are dealt to range-partitioned score bands, which are taken from the top; only a
+band's own rows are shuffled.  Groups that already have their N items are anti-joined away before a band
 is looked at, so a group of millions of rows is decided in its first band; the
 band in which a group is completed is finished by exact ranking of its ties.
 """
@@ -19,62 +19,62 @@ from tessera.sources.tables import table, with_intervals
 BANDS = (0.95, 0.6, 0.3)
 
 
-def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 5, bands: tuple[float, ...] = BANDS) -> DataFrame:
+def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 5, bands: tuple[float, ...] = BANDS, scores: DataFrame | None = None) -> DataFrame:
     """Columns group, item, score and ``rnk`` (int, 1 to n) of the n best items of every group.
 
     Order: score downwards, then item upwards by bytes.  Items of a group that
     are equal count once, with their best score.  Rows count whose group, item
     and score are not null and whose score is neither NaN nor infinite; an
-    empty table gives no rows.  Extra columns are ignored.
+    empty table gives no rows.  Extra columns are ignored.  ``scores`` may name a table with the
+    same column ``score`` that is cheaper to read, from which the bands' edges are taken; they bear only on speed.
     """
-    sound = F.col(group).isNotNull() & F.col(item).isNotNull() & (F.abs(F.col(score)) < float("inf")) & ~F.isnan(F.col(score))
-    rows = df.where(sound).select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.col(score).cast("double").alias("_x"))
-    cuts = rows.agg(F.percentile_approx("_x", [float(b) for b in bands], 1000)).first()[0] or []
+    finite = (F.abs(F.col(score)) < float("inf")) & ~F.isnan(F.col(score))
+    sound = F.col(group).isNotNull() & F.col(item).isNotNull() & finite
+    x = F.col(score).cast("double")
+    cuts = (df if scores is None else scores).where(finite).agg(F.percentile_approx(x, [float(b) for b in bands], 1000)).first()[0] or []
     edges = sorted(set(cuts), reverse=True)
     band = F.lit(len(edges))
     for k in reversed(range(len(edges))):
         band = F.when(F.col("_x") >= edges[k], k).otherwise(band)
-
-    best = rows.groupBy("_g", "_i").agg(F.max("_x").alias("_x"))
-    banded = materialise(best.withColumn("_band", band.cast("int")), "bands", ["_band"])
+    rows = df.where(sound).select(F.col(group).alias("_g"), F.col(item).alias("_i"), x.alias("_x"))
+    banded = materialise(rows.withColumn("_band", band.cast("int")), "bands", ["_band"])
     heavy = materialise(heavy_keys(banded, ["_g"]).select("_g"), "heavy")
 
-    order = Window.partitionBy("_g").orderBy(F.col("_x").desc(), F.col("_i").asc())
-    done: DataFrame | None = None  # group, number of items it has so far
-    taken: list[DataFrame] = []
+    of_group = Window.partitionBy("_g")
+    order = of_group.orderBy(F.col("_x").desc(), F.col("_i").asc())
+
+    def best(candidates: DataFrame) -> DataFrame:
+        """The first n of each group, equal items once; Spark keeps n of a group in every task before it shuffles by group."""
+        once = candidates.groupBy("_g", "_i").agg(F.max("_x").alias("_x"))
+        return once.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= n)
+
+    found: list[DataFrame] = []  # of each band, the best so far of the groups that have rows in it or were open before it
     for k in range(len(edges) + 1):
         rows_k = banded.where(F.col("_band") == k).drop("_band")
-        if done is None:
-            # Spark keeps the first n of a group in every map task before it shuffles the rest.
-            ranked = rows_k.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
-            kept = ranked.withColumn("rnk", F.col("_r"))
+        if not found:
+            ranked = best(rows_k)
         else:
-            filled = done.where(F.col("_have") >= n).select("_g")
-            hot = rows_k.join(F.broadcast(heavy), "_g", "left_semi").join(F.broadcast(filled.join(F.broadcast(heavy), "_g", "left_semi")), "_g", "left_anti")
-            cold = rows_k.join(F.broadcast(heavy), "_g", "left_anti").join(filled, "_g", "left_anti")
-            parts = [x.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).join(done, "_g", "left") for x in (hot, cold)]
-            ranked = parts[0].unionByName(parts[1])
-            kept = ranked.withColumn("rnk", F.col("_r") + F.coalesce("_have", F.lit(0))).where(F.col("rnk") <= n)
-        kept = materialise(kept.select("_g", "_i", "_x", F.col("rnk").cast("int").alias("rnk")), "taken")
-        taken.append(kept)
-        if k < len(edges):
-            new = kept.groupBy("_g").agg(F.count(F.lit(1)).cast("int").alias("_have"))
-            if done is not None:
-                new = done.unionByName(new).groupBy("_g").agg(F.sum("_have").cast("int").alias("_have"))
-            old, done = done, materialise(new, "filled")
-            discard(old)
-    discard(done)
-    discard(banded)
-    out = taken[0]
-    for part in taken[1:]:
-        out = out.unionByName(part)
-    return out.select(F.col("_g").alias(group), F.col("_i").alias(item), F.col("_x").alias(score), "rnk")
+            filled = found[0].where(F.col("rnk") == n).select("_g")
+            for t in found[1:]:
+                filled = filled.unionByName(t.where(F.col("rnk") == n).select("_g"))
+            open_ = found[-1].where(~F.col("_full")).select("_g", "_i", "_x")
+            hot_filled = F.broadcast(filled.join(F.broadcast(heavy), "_g", "left_semi"))  # both bounded by the number of heavy groups
+            hot = rows_k.join(F.broadcast(heavy), "_g", "left_semi").join(hot_filled, "_g", "left_anti").unionByName(open_.join(F.broadcast(heavy), "_g", "left_semi"))
+            cold = rows_k.join(F.broadcast(heavy), "_g", "left_anti").join(filled, "_g", "left_anti").unionByName(open_.join(F.broadcast(heavy), "_g", "left_anti"))
+            ranked = best(hot).unionByName(best(cold))
+        found.append(materialise(ranked.withColumn("_full", F.max("rnk").over(of_group) == n), "best"))
+    for t in (banded, heavy):
+        discard(t)
+    out = found[-1]
+    for t in found[:-1]:
+        out = out.unionByName(t.where("_full"))
+    return out.select(F.col("_g").alias(group), F.col("_i").alias(item), F.col("_x").alias(score), F.col("rnk").cast("int").alias("rnk"))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """The five peaks of highest mlog10p of every grp."""
-    rows = with_intervals(table(spark, root, "grouppeaks").select("grp", "peaks", "mlog10p"), "peaks")
-    return top_n_per_group(rows, "grp", "peaks", "mlog10p", 5).select("grp", "peaks", "rnk")
+    stored = table(spark, root, "grouppeaks").select("grp", "peaks", "mlog10p")
+    return top_n_per_group(with_intervals(stored, "peaks"), "grp", "peaks", "mlog10p", 5, scores=stored).select("grp", "peaks", "rnk")
 
 
 QUERIES = {"p2_found": p2_found}
