@@ -5,6 +5,9 @@ jumped until they reach a root; then every link is carried over to the roots of
 its ends, and what remains (far fewer, distinct links) goes into the next round.  Each round
 is a written table, and the rounds end when no link between two roots is left,
 that is when no label changes any more.
+
+A root to which very many nodes point is a hot key of the joins; adaptive execution splits
+its partition, which it finds by its size after the shuffle, so that nothing is counted for it beforehand.
 """
 
 from __future__ import annotations
@@ -12,17 +15,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.skew import skew_join
 from tessera.session import discard, materialise
 from tessera.sources.tables import table
 
 
 def _jump(parents: DataFrame, scope: list[str]) -> DataFrame:
-    """Let every pointer (u -> p, p < u) point to its root."""
+    """Let every pointer (u -> p, p < u) point to its root; each step follows two pointers one after the other."""
     while True:
         up = parents.select(*scope, F.col("u").alias("p"), F.col("p").alias("pp"))
-        stepped = skew_join(parents, up, [*scope, "p"], "left")
-        stepped = stepped.select(*scope, "u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("_moved"))
+        up2 = parents.select(*scope, F.col("u").alias("pp"), F.col("p").alias("ppp"))
+        stepped = parents.join(up.join(up2, [*scope, "pp"], "left"), [*scope, "p"], "left")
+        stepped = stepped.select(*scope, "u", F.coalesce("ppp", "pp", "p").alias("p"), F.col("ppp").isNotNull().alias("_moved"))
         new = materialise(stepped, "pointers")
         moved = new.where("_moved").limit(1).count()
         discard(parents)
@@ -52,15 +55,14 @@ def components(links: DataFrame, scope: list[str], a: str, b: str, out: str = "g
         parents = _jump(parents, scope)
         at_u = parents.select(*scope, "u", F.col("p").alias("_pu"))
         at_v = parents.select(*scope, F.col("u").alias("v"), F.col("p").alias("_pv"))
-        moved = materialise(skew_join(edges, at_u, [*scope, "u"], "left"), "half")
-        moved2 = skew_join(moved, at_v, [*scope, "v"], "left")
+        moved2 = edges.join(at_u, [*scope, "u"], "left").join(at_v, [*scope, "v"], "left")
         x, y = F.coalesce("_pu", "u"), F.coalesce("_pv", "v")
         rest = moved2.where(x != y).select(*scope, F.least(x, y).alias("v"), F.greatest(x, y).alias("u")).distinct()
         old_edges, edges = edges, materialise(rest, "links")
         at_root = parents.select(*scope, F.col("u").alias("root"), F.col("p").alias("_p"))
-        relabelled = skew_join(labels, at_root, [*scope, "root"], "left")
+        relabelled = labels.join(at_root, [*scope, "root"], "left")
         old_labels, labels = labels, materialise(relabelled.select(*scope, "node", F.coalesce("_p", "root").alias("root")), "labels")
-        for t in (old_edges, old_labels, moved, parents):
+        for t in (old_edges, old_labels, parents):
             discard(t)
     discard(edges)
     return labels.select(*scope, "node", F.col("root").alias(out))
