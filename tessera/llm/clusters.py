@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.centroids import distances2, fit, sample, sound_vectors
@@ -254,30 +254,37 @@ def markov_clusters(graph: DataFrame, inflation: float = INFLATION, prune: float
 
     The graph must hold both directions of each similarity; nodes without a self-similarity get one as large as their largest.
     Flow column j of the matrix holds where the flow from j goes.  Each round is one join and sums over the entries that
-    are left, written as a table.  The rounds end when the entries of every column are as good as equal twice running, that is when
+    are left; every other round is written as a table.  The rounds end when the entries of every column are as good as equal, that is when
     squaring and inflation change nothing any more.
     """
     loops = graph.groupBy("j").agg(F.max("x").alias("_most"), F.max(F.when(F.col("i") == F.col("j"), F.col("x"))).alias("_own"))
     loops = loops.select(F.col("j").alias("i"), "j", F.greatest(F.coalesce("_own", "_most"), F.lit(1e-9)).alias("x"))
     both = graph.where(F.col("i") != F.col("j")).unionByName(loops).groupBy("i", "j").agg(F.sum("x").alias("x"))
     m = materialise(_normalise(both), "flow")
-    column, calm = Window.partitionBy("j"), 0
-    for _ in range(MOST_ROUNDS):
-        left = m.select("i", F.col("j").alias("k"), F.col("x").alias("a"))
-        right = m.select(F.col("i").alias("k"), "j", F.col("x").alias("b"))
-        square = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("x"))
-        inflated = square.withColumn("x", F.pow("x", F.lit(inflation))).withColumn("_most", F.max("x").over(column))
-        new = materialise(_normalise(inflated.where(F.col("x") >= prune * F.col("_most")).drop("_most")), "flow")
-        unrest = new.groupBy("j").agg((F.max("x") - F.sum(F.col("x") * F.col("x"))).alias("_c")).agg(F.max("_c")).first()[0]
+    column = Window.partitionBy("j")
+    for _ in range(MOST_ROUNDS // 2):
+        new = m
+        for _ in range(2):  # rounds of one job
+            left = new.select("i", F.col("j").alias("k"), F.col("x").alias("a"))
+            right = new.select(F.col("i").alias("k"), "j", F.col("x").alias("b"))
+            square = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("x"))
+            inflated = square.withColumn("x", F.pow("x", F.lit(inflation))).withColumn("_most", F.max("x").over(column))
+            new = _normalise(inflated.where(F.col("x") >= prune * F.col("_most")).drop("_most"))
+        # What a column lacks to having equal entries only, taken while the round is written.
+        seen = Observation()
+        lacks = F.max("x").over(column) - F.sum(F.col("x") * F.col("x")).over(column)
+        new = new.withColumn("_lacks", lacks).observe(seen, F.max("_lacks").alias("unrest"))
+        new = materialise(new.drop("_lacks"), "flow")
         discard(m)
         m = new
-        calm = calm + 1 if unrest is None or unrest < 1e-6 else 0
-        if calm == 2:  # once may be chance
+        unrest = seen.get["unrest"]
+        if unrest is None or unrest < 1e-2:
             break
     else:
         raise RuntimeError(f"the flow has not stood still after {MOST_ROUNDS} rounds")
-    ends = m.groupBy("j").agg(F.max(F.struct(F.round("x", 4).alias("x"), (-F.col("i")).alias("i"))).alias("_top"))
-    ends = materialise(ends.select(F.col("j").alias("node"), (-F.col("_top.i")).alias("attractor"), F.col("_top.x").alias("flow")), "ends")
+    # Where flow ends in several nodes alike they are one cluster, named by the smallest.
+    ends = m.withColumn("_most", F.max("x").over(column)).where(F.col("x") >= 0.9 * F.col("_most")).groupBy("j").agg(F.min("i").alias("attractor"), F.max("x").alias("flow"))
+    ends = materialise(ends.select(F.col("j").alias("node"), "attractor", "flow"), "ends")
     discard(m)
     return ends
 
@@ -316,14 +323,11 @@ def clusters_of_clusters(graph: DataFrame, rows: DataFrame) -> DataFrame:
         level += 1
         to = ends.select("node", "attractor")
         moved = graph.join(to.select(F.col("node").alias("i"), F.col("attractor").alias("_i")), "i", "left").join(to.select(F.col("node").alias("j"), F.col("attractor").alias("_j")), "j", "left")
-        moved = moved.groupBy(F.coalesce("_i", "i").alias("i"), F.coalesce("_j", "j").alias("j")).agg(F.sum("x").alias("x"))
-        moved = materialise(moved, "moved")
+        moved = materialise(moved.groupBy(F.coalesce("_i", "i").alias("i"), F.coalesce("_j", "j").alias("j")).agg(F.sum("x").alias("x")), "graph")
         was = volume.join(to.select(F.col("node").alias("j"), F.col("attractor").alias("_j")), "j", "left").select(F.coalesce("_j", "j").alias("j"), F.col("_in").alias("x"))
-        inner = materialise(was.unionByName(moved.where(F.col("i") == F.col("j")).select("j", "x")).groupBy("j").agg(F.sum("x").alias("x")), "inner")
-        discard(graph)
-        graph = materialise(moved.where(F.col("i") != F.col("j")), "graph")
-        for t in (moved, strong, volume):
-            discard(t)
+        inner = was.unionByName(moved.where(F.col("i") == F.col("j")).select("j", "x")).groupBy("j").agg(F.sum("x").alias("x"))
+        graph = moved.where(F.col("i") != F.col("j"))
+        discard(strong)
     if placed is None:
         placed = graph.select(F.col("j").alias("node"), F.col("j").alias("attractor"), F.lit(1.0).alias("flow")).distinct()
     return placed
@@ -357,7 +361,7 @@ def populations(df: DataFrame, key: str, vector: str, dim: int = 30) -> DataFram
     beside = near.where(F.col("d") <= FAR * median).select(F.col("vid").alias("node"), "nid", "d").join(small, "node").join(whole.select(F.col("node").alias("nid"), "cluster"), "nid")
     joined = beside.groupBy("node").agg(F.min_by("cluster", F.struct("d", "nid")).alias("cluster")).select("node", "cluster", F.lit(0.0).alias("flow"))
     of_vector = members_of.join(whole.unionByName(joined), "node").select("vid", "cluster", "flow", "d")
-    out = members(materialise(of_vector, "members"))
+    out = members().join(materialise(of_vector, "placed"), "vid")
     return out.select(F.col("cell").alias(key), "cluster", "flow", "d")
 
 

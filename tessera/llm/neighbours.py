@@ -2,9 +2,13 @@
 
 Centroids are fitted on a bounded sample and those of crowded regions split, so
 that the lists around them are balanced.  A vector is posted in the list of its nearest
-centroid and, if it lies near a boundary, in those of the next ones too.  To find
-centroids, a graph over them is searched in memory.  A query reads the lists of all
+centroid and, if it lies near a boundary, in others too.  To find
+centroids, a graph over them is searched in memory.  A query reads the lists of the
 centroids that are not much farther than the nearest (distance-ratio pruning).
+
+How many lists are read is not guessed.  With a radius, a vector is posted in every list whose boundary lies within
+the radius, so that the nearest list of a query holds all it can find.  Without one, the nearest vectors of some queries are
+searched for among all vectors, and the cheapest limits are taken that find the wanted share of them.
 """
 
 from __future__ import annotations
@@ -17,16 +21,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.centroids import distances2, fit, sample, sound_vectors
-from tessera.operators.skew import skew_join
-from tessera.session import materialise
+from tessera.session import discard, materialise
 from tessera.sources.tables import table
 
-#: Distinct vectors for each list, greatest number of lists, and rows of the sample the centroids are fitted on.
-LIST_ROWS, MOST_LISTS, SAMPLE = 2000, 8192, 50_000
-#: A vector is posted in at most COPIES lists whose centroids are at most POST times as far as the nearest one.
+#: Distinct vectors for each list, greatest number of lists (their centroids are broadcast; lists grow beyond), rows of the sample the centroids are fitted on and least number of them for a list.
+LIST_ROWS, MOST_LISTS, SAMPLE, LIST_SAMPLE = 2000, 65_536, 50_000, 8
+#: Without a radius, a vector is posted in at most COPIES lists whose centroids are at most POST times as far as the nearest one.
 POST, COPIES = 1.1, 4
-#: A query reads at most PROBES lists whose centroids are at most READ times as far as the nearest one.
-READ, PROBES = 1.25, 6
+#: Queries that are answered exactly to find out how many lists must be read.
+TRIED = 512
+#: Centroids that are looked at for every vector; where more are wanted, all are.
+LOOKED_AT = 32
 #: Largest part of a list that one task compares with as many queries; longer lists are cut into such parts.
 BLOCK = 8192
 
@@ -82,24 +87,55 @@ class CentroidGraph:
         return out_ids[:, :want], np.sqrt(out_d[:, :want])
 
 
-def _posted(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
+def _flags(graph: CentroidGraph, x: np.ndarray, asks: np.ndarray, limits: tuple[int, float], radius: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of centroids near each row of ``x``, and for each 1 if its list holds the row, 2 if it is read for it, 3 for both."""
+    want = min(LOOKED_AT, len(graph.c))
+    ids, d = graph.search(x, want)
+    if radius is None:
+        probes, read = limits
+        if probes > want:
+            d = np.sqrt(distances2(x, graph.c))
+            ids = np.argsort(d, 1, kind="stable")[:, :probes]
+            d = np.take_along_axis(d, ids, 1)
+        ratio = d / np.maximum(d[:, :1], 1e-9)
+        ratio[:, 0] = 1
+        rank = np.arange(ids.shape[1])[None]
+        return ids, ((ratio <= POST) & (rank < COPIES)) + 2 * ((ratio <= read) & (rank < probes) & asks[:, None])
+
+    def reached(ids: np.ndarray, d: np.ndarray, first: np.ndarray) -> np.ndarray:
+        # How far beyond the plane midway between both centroids the row lies; what is within the radius of it may lie on the other side.
+        apart = np.sqrt(((graph.c[ids] - graph.c[first][:, None]) ** 2).sum(2))
+        return d**2 - d.min(1, keepdims=True) ** 2 <= 2 * radius * apart * (1 + 1e-4) + 1e-4
+
+    flags = reached(ids, d, ids[:, 0]).astype(np.int64)
+    more = np.flatnonzero(flags[:, -1]) if want < len(graph.c) else np.zeros(0, np.int64)
+    if len(more):  # perhaps in more lists than were looked at
+        d2 = np.sqrt(distances2(x[more], graph.c))
+        everywhere = np.argsort(d2, 1, kind="stable")
+        wide = reached(everywhere, np.take_along_axis(d2, everywhere, 1), everywhere[:, 0]).astype(np.int64)
+        width = max(want, int(wide.sum(1).max()) + 1)
+        grown_ids, grown = np.zeros((len(x), min(width, len(graph.c))), np.int64), np.zeros((len(x), min(width, len(graph.c))), np.int64)
+        grown_ids[:, :want], grown[:, :want] = ids, flags
+        order = np.argsort(-wide, 1, kind="stable")[:, : grown.shape[1]]
+        grown_ids[more], grown[more] = np.take_along_axis(everywhere, order, 1), np.take_along_axis(wide, order, 1)
+        ids, flags = grown_ids, grown
+    flags[:, 0] = 1 + 2 * asks
+    return ids, flags
+
+
+def _posted(rows: DataFrame, centroids: np.ndarray, limits: tuple[int, float], radius: float | None) -> DataFrame:
     """Rows (vid, v, asks) as (list, flags, vid, v), v being the vector's bytes: flag 1, the list holds the vector; flag 2, it is asked for its neighbours."""
     shared = rows.sparkSession.sparkContext.broadcast(centroids)  # at most MOST_LISTS vectors, before splits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = CentroidGraph(shared.value)
-        want = min(PROBES, len(graph.c))
         for whole in batches:
             for a in range(0, whole.num_rows, 2048):
                 batch = whole.slice(a, 2048)
                 n = batch.num_rows
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float32)
                 asks = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
-                ids, d = graph.search(x, want)
-                ratio = d / np.maximum(d[:, :1], 1e-9)
-                ratio[:, 0] = 1
-                rank = np.arange(ids.shape[1])[None]
-                flags = ((ratio <= POST) & (rank < COPIES)) + 2 * ((ratio <= READ) & asks[:, None])
+                ids, flags = _flags(graph, x, asks, limits, radius)
                 r, k = np.nonzero(flags)
                 ends = np.arange(len(r) + 1, dtype=np.int32) * (x.itemsize * x.shape[1])
                 raw = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x[r]))])
@@ -110,6 +146,59 @@ def _posted(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     return rows.select("vid", "v", "asks").mapInArrow(run, "list int, flags tinyint, vid bigint, v binary")
 
 
+def nearest_of_some(vectors: DataFrame, k: int, some: int = TRIED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of some queries, chosen by hash, and which of them the rows of a second array, their k nearest vectors, belong to; found in one pass over all vectors."""
+    drawn = vectors.orderBy(F.xxhash64("v", F.lit(11)), "vid").limit(some).select("vid", "v").toPandas()
+    q_id, q = drawn["vid"].to_numpy(np.int64), np.array(list(drawn["v"]), np.float32)
+    shared = vectors.sparkSession.sparkContext.broadcast((q_id, q))  # `some` vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).to_numpy()
+            y = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32)
+            d2 = distances2(x, y)
+            d2[ids[:, None] == names[None]] = np.inf
+            near = np.argpartition(d2, min(k, len(names)) - 1, 1)[:, : min(k, len(names))]
+            r, c = np.nonzero(np.take_along_axis(d2, near, 1) < np.inf)
+            c = near[r, c]
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), batch.column(1).take(pa.array(c)), pa.array(d2[r, c].astype(np.float64))], names=["q", "v", "d2"])
+
+    first = Window.partitionBy("q").orderBy("d2", "v")
+    found = vectors.select("vid", "v").mapInArrow(run, "q int, v array<float>, d2 double").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).select("q", "v").toPandas()
+    return q, found["q"].to_numpy(np.int64), np.array(list(found["v"]), np.float32)
+
+
+def read_limits(centroids: np.ndarray, q: np.ndarray, of: np.ndarray, near: np.ndarray, recall: float) -> tuple[int, float]:
+    """How many lists and to which distance ratio a query must read to find the share ``recall`` of its nearest vectors, at the least cost."""
+    graph = CentroidGraph(centroids)
+    d = np.sqrt(distances2(q, centroids))
+    order = np.argsort(d, 1, kind="stable")
+    rank_of = np.empty_like(order)
+    np.put_along_axis(rank_of, order, np.arange(len(centroids))[None], 1)
+    ratio = d / np.maximum(d.min(1, keepdims=True), 1e-9)
+    ids, flags = _flags(graph, near, np.zeros(len(near), bool), (1, 1.0), None)
+    rank = np.where(flags > 0, np.take_along_axis(rank_of[of], ids, 1), len(centroids))
+    at = rank.argmin(1)
+    rank, far = rank[np.arange(len(of)), at], ratio[of, ids[np.arange(len(of)), at]]
+    best = None
+    probes = 1
+    while best is None or probes < 2 * len(centroids):
+        probes = min(probes, len(centroids))
+        inside = rank < probes
+        if inside.mean() >= recall:
+            read = float(np.sort(np.where(inside, far, np.inf))[min(len(far) - 1, int(np.ceil(recall * len(far))) - 1)]) * 1.001
+            cost = float(((ratio <= read).sum(1).clip(1, probes)).mean())
+            if best is None or cost < best[0]:
+                best = (cost, probes, read)
+        if probes == len(centroids):
+            break
+        probes = max(probes + 1, probes * 5 // 4)
+    return best[1], best[2]
+
+
 def _with_norm(x: np.ndarray, first: bool) -> np.ndarray:
     """Two more columns, so that the product of a row with one of the other kind is minus half their squared distance."""
     half, one = -0.5 * (x * x).sum(1, keepdims=True), np.ones((len(x), 1), x.dtype)
@@ -167,15 +256,18 @@ def _compare(k: int, radius: float | None):
     return run
 
 
-def between_distinct(vectors: DataFrame, k: int, radius: float | None = None) -> DataFrame:
-    """(vid, nid, d): the k nearest other vectors of every asked vector; ``vectors`` (vid, v, asks) are distinct."""
+def between_distinct(vectors: DataFrame, k: int, radius: float | None = None, recall: float = 0.97) -> DataFrame:
+    """(vid, nid, d): the k nearest other vectors of every asked vector; ``vectors`` (vid, v, asks), a table, are distinct."""
     n = vectors.count()
     lists = max(1, min(n // LIST_ROWS, MOST_LISTS))
-    seen = sample(vectors, "v", SAMPLE, n)
+    seen = sample(vectors, "v", max(SAMPLE, LIST_SAMPLE * lists), n)
     if not len(seen):
         return vectors.select("vid", F.col("vid").alias("nid"), F.lit(0.0).alias("d")).limit(0)
     centroids = fit(seen, lists, rounds=4, largest=3 / lists if lists > 1 else None)
-    posted = materialise(_posted(vectors, centroids), "lists")
+    limits = (1, 1.0)
+    if radius is None and len(centroids) > 1:
+        limits = read_limits(centroids, *nearest_of_some(vectors, k), recall) if recall < 1 else (len(centroids), float("inf"))
+    posted = materialise(_posted(vectors, centroids, limits, radius), "lists")
     # One row a list, so its number is bounded: into how many parts the list and its queries are cut.
     size = posted.groupBy("list").agg(F.sum((F.col("flags").bitwiseAND(1) > 0).cast("long")).alias("held"), F.sum((F.col("flags").bitwiseAND(2) > 0).cast("long")).alias("asked"))
     cut = size.select("list", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(f"{c}_parts") for c in ("held", "asked")])
@@ -192,22 +284,31 @@ def between_distinct(vectors: DataFrame, k: int, radius: float | None = None) ->
     pairs = blocks.groupBy("list", "h", "a").applyInArrow(_compare(k, radius), "vid bigint, nid bigint, d double")
     first = Window.partitionBy("vid").orderBy("d", "nid")
     best = pairs.dropDuplicates(["vid", "nid"]).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r")
-    return materialise(best, "nearest")
+    best = materialise(best, "nearest")
+    discard(posted)
+    return best
+
+
+def _prints(v: str) -> list[Column]:
+    """128 bits that stand for a vector in joins, in place of its numbers."""
+    return [F.xxhash64(v).alias("_p1"), F.xxhash64(F.lit(1), v).alias("_p2")]
 
 
-def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """A table (vid, v, n) of the distinct vectors of the table ``rows`` (cell, v), and a function that brings rows by vid back to all cells, as ``cell``."""
-    groups = materialise(rows.groupBy("v").agg(F.min("cell").alias("vid"), F.count(F.lit(1)).alias("n")), "distinct")
+def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """A table (vid, v, n) of the distinct vectors of the table ``rows`` (cell, v, ...), and a function that gives the vid of every row in place of its vector."""
+    rest = [c for c in rows.columns if c not in ("cell", "v")]
+    groups = materialise(rows.groupBy("v").agg(F.min("cell").alias("vid"), *[F.max(c).alias(c) for c in rest], F.count(F.lit(1)).alias("n")), "distinct")
 
-    def members(found: DataFrame) -> DataFrame:
-        alone = groups.where(F.col("n") == 1).select(F.col("vid").alias("cell"), "vid")
-        copies = skew_join(rows, groups.where(F.col("n") > 1).select("v", "vid"), ["v"]).select("cell", "vid")
-        return skew_join(materialise(alone.unionByName(copies), "copies"), found, ["vid"]).drop("vid")
+    def members() -> DataFrame:
+        """A vector of very many copies is a hot key here; adaptive execution broadcasts the few that have copies, or splits the hot partition."""
+        copied = groups.where(F.col("n") > 1).select(*_prints("v"), F.col("vid").alias("_vid"))
+        marked = rows.select("cell", *rest, *_prints("v")).join(copied, ["_p1", "_p2"], "left")
+        return marked.select("cell", F.coalesce("_vid", "cell").alias("vid"), F.col("_vid").isNotNull().alias("copied"), *rest)
 
     return groups, members
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 30, radius: float | None = None, asked: Column | None = None) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 30, radius: float | None = None, asked: Column | None = None, recall: float = 0.97) -> DataFrame:
     """``key``, ``neighbour``, ``distance`` and ``rnk`` (1 to k) of the k rows with the nearest vectors, for every row.
 
     Distance is Euclidean, computed in double precision; of equal distances the
@@ -215,29 +316,27 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 30, rad
     left out.  With ``asked``, only rows for which it holds are given neighbours, which come from all rows.
     ``key`` is an integer.  Rows count that have a key and a vector of ``dim``
     finite numbers; each key counts once.  Identical vectors are indexed once, whatever their number, and
-    find each other exactly; between different vectors some neighbours may be
-    missed (see README for the measured share).  An empty table gives no rows;
+    find each other exactly.  Between different vectors nothing within a radius is missed, as far as the graph finds the nearest
+    centroid; without one the share ``recall`` of the neighbours is found, as measured on TRIED queries against all
+    vectors, and all of them with ``recall=1``, for which every list is read.  An empty table gives no rows;
     a single row has no neighbours.
     """
     asks = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
     rows = sound_vectors(df, key, vector, dim).select(F.col(key).alias("cell"), "v", asks.alias("asks"))
     rows = materialise(rows, "vectors")
-    groups = rows.groupBy("v").agg(F.min("cell").alias("vid"), F.max("asks").alias("asks"), F.count(F.lit(1)).alias("n"))
-    groups = materialise(groups, "distinct")
-    between = between_distinct(groups.select("vid", "v", "asks"), k, radius)
+    groups, members = distinct_vectors(rows)
+    between = between_distinct(groups.select("vid", "v", "asks"), k, radius, recall)
 
-    alone = groups.where(F.col("n") == 1).select(F.col("vid").alias("cell"), "vid", "asks")
-    copied = groups.where(F.col("n") > 1).select("v", "vid")
-    copies = materialise(skew_join(rows, copied, ["v"]).select("cell", "vid", "asks"), "copies")
+    named = materialise(members(), "members")
     by_key = Window.partitionBy("vid").orderBy("cell")
-    lowest = materialise(copies.withColumn("_r", F.row_number().over(by_key)).where(F.col("_r") <= k + 1).select("vid", "cell"), "lowest")
+    lowest = materialise(named.where("copied").withColumn("_r", F.row_number().over(by_key)).where(F.col("_r") <= k + 1).select("vid", "cell"), "lowest")
     of_group = lowest.groupBy(F.col("vid").alias("nid")).agg(F.collect_list("cell").alias("_ids"))  # k + 1 at most
     others = between.join(of_group, "nid", "left").select("vid", "d", F.explode(F.coalesce("_ids", F.array("nid"))).alias("id"))
     near = others.unionByName(lowest.select("vid", F.lit(0.0).alias("d"), F.col("cell").alias("id")))
     first = Window.partitionBy("vid").orderBy("d", "id")
     near = near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
     near = materialise(near.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("_near")), "near")
-    found = skew_join(materialise(alone.unionByName(copies).where("asks"), "asked"), near, ["vid"])
+    found = named.where("asks").join(near, "vid")
     own = F.slice(F.filter("_near", lambda x: x["id"] != F.col("cell")), 1, k)
     out = found.select("cell", F.posexplode(own).alias("_p", "_x"))
     return out.select(F.col("cell").alias(key), F.col("_x.id").alias("neighbour"), F.col("_x.d").alias("distance"), (F.col("_p") + 1).cast("int").alias("rnk"))

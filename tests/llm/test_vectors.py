@@ -165,3 +165,30 @@ def test_a_long_population_and_a_hot_vector(spark):
     parts = [{found[k] for k in range(*ends) if k in found} for ends in ((0, 3000), (3000, 6000), (6000, 7500))]
     assert len(found) >= 7400 and not parts[0] & parts[1] and not parts[0] & parts[2] and not parts[1] & parts[2]
     assert len(parts[2]) == 1 and len(parts[1]) <= 2  # the thread-like one may come in pieces
+
+
+@pytest.mark.parametrize("dim", [4, 16])
+def test_many_lists_of_vectors_without_structure(spark, monkeypatch, dim):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 30)
+    n = 6000
+    x = np.random.default_rng(dim).normal(0, 1, (n, dim)).astype(np.float32)
+    d = np.sqrt(np.maximum((x.astype(float) ** 2).sum(1)[:, None] + (x.astype(float) ** 2).sum(1)[None] - 2 * x.astype(float) @ x.T.astype(float), 0))
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, 1)[:, :5]
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "id long, v array<float>").repartition(4)
+    found = got(nearest(df, "id", "v", 5, dim=dim, asked=F.col("id") % 20 == 0))
+    asked = range(0, n, 20)
+    hit = sum(len(set(want[k].tolist()) & {i for i, _ in found[k]}) for k in asked)
+    assert hit / (5 * len(asked)) >= 0.93
+    radius = float(np.quantile(d.min(1), 0.5))
+    within = {k: [j for j in want[k].tolist() if d[k, j] <= radius * 0.9999] for k in range(n)}
+    found = got(nearest(df, "id", "v", 5, dim=dim, radius=radius))
+    missed = sum(len(set(v) - {i for i, _ in found.get(k, ())}) for k, v in within.items())
+    assert missed <= 0.001 * sum(map(len, within.values()))
+
+
+def test_everything_is_found_if_every_list_is_read(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 30)
+    x = np.random.default_rng(9).normal(0, 1, (600, 12)).astype(np.float32)
+    want = brute(x, list(range(600)), 4)
+    assert got(nearest(table(spark, x), "id", "v", 4, dim=12, recall=1)) == want
