@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,12 @@ SEED_WORDS, SEED_CHARS = 4, 8
 SHARE, VERBATIM = 0.5, 0.6
 #: Words of a shard; longer documents make a longer shard.
 SHARD = 1_000_000
-#: Items are broadcast only up to this many characters.
+#: Characters of items that are broadcast at once; more are searched in parts.
 MAX_ITEM_CHARS = 50_000_000
+#: Places of shared stretches that are held at once; a shard with more (a stock phrase of many items and documents) is searched in halves.
+MOST_PLACES = 4_000_000
+#: Two verbatim stretches belong to one passage if at most so many words of the item or of the document lie between them; so many altered words in a row may end a passage.
+GAP_ITEM, GAP_DOC, ALTERED = 30, 40, 3
 
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{N}\p{M}--[\p{Han}\p{Hiragana}\p{Katakana}]]+", regex.V1)
 _CHARS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -112,8 +117,8 @@ class Items:
         self.start, self.of, self.need = (np.array(z, np.int64) for z in (starts, of, seeds))
 
 
-def seeds(items: Items, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Item, place in the item and place in ``x`` of every stretch of seed length shared by both."""
+def seeds(items: Items, x: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Item, place in the item and place in ``x`` of every stretch of seed length shared by both; None if they are more than ``most``."""
     sa = suffix_array(x, int(items.need.max()))
     lo, hi = np.zeros(len(items.start), np.int64), np.full(len(items.start), len(x), np.int64)
     active = np.arange(len(items.start))
@@ -123,24 +128,26 @@ def seeds(items: Items, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
             break
         lo[active], hi[active] = _narrow(x, sa, lo[active], hi[active], depth, items.flat[items.start[active] + depth])
     many = np.maximum(hi - lo, 0)
+    if most is not None and many.sum() > most:
+        return None
     which = np.repeat(np.arange(len(many)), many)
     within = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
     return items.of[which], items.start[which] - items.offset[items.of[which]], sa[lo[which] + within]
 
 
-def _held(runs: list[tuple[int, int, int]], item: np.ndarray, doc: np.ndarray) -> float:
-    """The greatest share of ``item`` that stands in one place of ``doc``.
+def _held(runs: list[tuple[int, int, int]], item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
+    """The longest stretch of ``item`` that stands in one place of ``doc``: its first word and the one after its last, in the item and in the document.
 
     ``runs`` are verbatim matches (place in item, place in doc, length).  A run may
     follow another if it lies behind it in both, at nearly the same distance.
-    The share is that from the first to the last word matched; 0 if too little of it is verbatim.
+    The stretch goes from the first to the last word matched; it is empty if too little of it is verbatim.
     """
     runs.sort()
     n = len(item)
-    best = 0.0
-    states: list[tuple[float, int, int, int]] = []  # score, start in item, verbatim, index
+    best = (0, 0, 0, 0)
+    states: list[tuple[float, int, int, int]] = []  # score, index of the first run, verbatim, index
     for i, (a, d, length) in enumerate(runs):
-        top = (float(length), a, length)
+        top = (float(length), i, length)
         for score, start, same, j in states:
             a0, d0, l0 = runs[j]
             overlap = max(0, a0 + l0 - a, d0 + l0 - d)
@@ -148,45 +155,44 @@ def _held(runs: list[tuple[int, int, int]], item: np.ndarray, doc: np.ndarray) -
                 continue
             gap_a, gap_d = a + overlap - a0 - l0, d + overlap - d0 - l0
             skew = abs(gap_a - gap_d)
-            if gap_a > 30 or gap_d > 40 or skew > 3 + 0.4 * max(gap_a, gap_d):
+            if gap_a > GAP_ITEM or gap_d > GAP_DOC or skew > 3 + 0.4 * max(gap_a, gap_d):
                 continue
             new = score + length - overlap - 0.5 * skew - 0.15 * min(gap_a, gap_d)
             if new > top[0]:
                 top = (new, start, same + length - overlap)
         states.append((*top, i))
-        start, end = top[1], a + length
-        if (end - start) < SHARE * n - 6 or best >= end - start:
+        begin, end = runs[top[1]][0], a + length
+        if (end - begin) < SHARE * n - 2 * ALTERED or best[1] - best[0] >= end - begin:
             continue
-        best = max(best, _reach(top[1], end, top[2], runs, i, item, doc))
-    return best / n
-
-
-def _reach(start: int, end: int, same: int, runs: list, last: int, item: np.ndarray, doc: np.ndarray) -> int:
-    """Length of the stretch, lengthened at its end over single altered words; 0 if too little is verbatim."""
-    a, d, length = runs[last]
-    i, j, verbatim, miss = a + length, d + length, same, 0
-    while i < len(item) and j < len(doc) and miss < 3:
-        for di, dj in ((0, 0), (1, 1), (0, 1), (1, 0), (2, 2)):
-            if i + di < len(item) and j + dj < len(doc) and item[i + di] == doc[j + dj]:
-                i, j, verbatim, miss, end = i + di + 1, j + dj + 1, verbatim + 1, miss + (di or dj) * 1, i + di + 1
+        reach = _reach(top[2], runs[top[1]], runs[i], item, doc)
+        if reach[1] - reach[0] > best[1] - best[0]:
+            best = reach
+    return best
+
+
+def _reach(verbatim: int, first: tuple[int, int, int], last: tuple[int, int, int], item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
+    """The stretch from one run to another, lengthened at its ends over single altered words; empty if too little is verbatim."""
+    ends = []
+    for way, i, j in ((1, last[0] + last[2], last[1] + last[2]), (-1, first[0] - 1, first[1] - 1)):
+        end, miss = (i, j) if way > 0 else (i + 1, j + 1), 0
+        inside = lambda p, q: 0 <= p < len(item) and 0 <= q < len(doc)
+        while inside(i, j) and miss < ALTERED:
+            for di, dj in ((0, 0), (1, 1), (0, 1), (1, 0), (2, 2)):
+                p, q = i + way * di, j + way * dj
+                if inside(p, q) and item[p] == doc[q]:
+                    verbatim, miss = verbatim + 1, miss + bool(di or dj)
+                    end = (p + 1, q + 1) if way > 0 else (p, q)
+                    i, j = p + way, q + way
+                    break
+            else:
                 break
-        else:
-            break
-    first = next((r for r in runs if r[0] == start), runs[last])
-    i, j, miss = start - 1, first[1] - 1, 0
-    while i >= 0 and j >= 0 and miss < 3:
-        for di, dj in ((0, 0), (1, 1), (0, 1), (1, 0), (2, 2)):
-            if i - di >= 0 and j - dj >= 0 and item[i - di] == doc[j - dj]:
-                start, verbatim, miss = i - di, verbatim + 1, miss + (di or dj) * 1
-                i, j = i - di - 1, j - dj - 1
-                break
-        else:
-            break
-    return end - start if verbatim >= VERBATIM * (end - start) else 0
+        ends.append(end)
+    (stop_a, stop_d), (start_a, start_d) = ends
+    return (start_a, stop_a, start_d, stop_d) if verbatim >= VERBATIM * (stop_a - start_a) else (0, 0, 0, 0)
 
 
 def search(items: Items, keys: list, texts: list[list[int]]) -> list[tuple]:
-    """(key, item id, share held) for the documents of one shard, whose words are numbers of the items' vocabulary."""
+    """(key, item id, share held, first word in the item, the one after the last, and both in the document) for the documents of one shard, whose words are numbers of the items' vocabulary."""
     if not items.ids or not texts:
         return []
     lengths = np.array([len(t) + 1 for t in texts])
@@ -195,7 +201,11 @@ def search(items: Items, keys: list, texts: list[list[int]]) -> list[tuple]:
     for t, b in zip(texts, begins):
         x[b : b + len(t)] = t
         x[b + len(t)] = 0  # a word of no item, so nothing runs over the end of a document
-    item, at, place = seeds(items, x)
+    found = seeds(items, x, MOST_PLACES if len(texts) > 1 else None)
+    if found is None:
+        half = len(texts) // 2
+        return search(items, keys[:half], texts[:half]) + search(items, keys[half:], texts[half:])
+    item, at, place = found
     if not len(item):
         return []
     doc = np.searchsorted(begins, place, side="right") - 1
@@ -223,30 +233,37 @@ def search(items: Items, keys: list, texts: list[list[int]]) -> list[tuple]:
         k, d = int(run_item[s.start]), int(run_doc[s.start])
         base = int(begins[d])
         runs = [(int(a), int(b) - base, int(n)) for a, b, n in zip(at[run[s]], place[run[s]], run_len[s])]
-        share = _held(runs, items.tokens[k], x[base : base + lengths[d] - 1])
+        stretch = _held(runs, items.tokens[k], x[base : base + lengths[d] - 1])
+        share = (stretch[1] - stretch[0]) / len(items.tokens[k])
         if share >= SHARE:
-            out.append((keys[d], items.ids[k], share))
+            out.append((keys[d], items.ids[k], share, *stretch))
     return out
 
 
 def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str = "item_id", item_text: str = "text", lang: str = "lang") -> DataFrame:
-    """``key``, ``item_key`` and ``share`` of every document that holds half or more of an item in one place and in order.
+    """``key``, ``item_key``, ``share``, and where it stands, of every document that holds half or more of an item in one place and in order.
 
-    The documents are read once and not shuffled.  The items, a fixed test set,
-    are broadcast after a check of their size.  Null, empty and blank texts
-    hold nothing and items without words are held by nothing.  Very long
+    item_from and item_to are the first word of the item that the document holds and the one after the last, doc_from and doc_to
+    the same in the document; words are those of :func:`words`, counted from 0.
+    The documents are read once and not shuffled.  The items, a fixed test set, are indexed once and
+    broadcast; more than MAX_ITEM_CHARS characters of them are searched in parts, each a pass over the documents.
+    Null, empty and blank texts hold nothing and items without words are held by nothing.  Very long
     documents are searched whole; repeated documents are reported each.
     Documents with a null key are reported with a null key.
     """
-    spark = documents.sparkSession
     chars = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
-    if chars > MAX_ITEM_CHARS:
-        raise ValueError(f"{chars} characters of items are too many to broadcast; search them in parts of at most {MAX_ITEM_CHARS}")
-    rows = [tuple(r) for r in items.select(item_key, lang, item_text).orderBy(item_key).collect()]
-    shared = spark.sparkContext.broadcast(rows)
+    parts = max(1, -(-chars // MAX_ITEM_CHARS))
+    placed = items.withColumn("_part", F.pmod(F.xxhash64(item_key, item_text), F.lit(parts)))
+    found = [_leaked(documents, key, text, placed.where(F.col("_part") == p), item_key, item_text, lang) for p in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, lang: str) -> DataFrame:
+    rows = [tuple(r) for r in items.select(item_key, lang, item_text).orderBy(item_key).collect()]  # about MAX_ITEM_CHARS at most
+    shared = documents.sparkSession.sparkContext.broadcast(Items(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = Items(shared.value)
+        tests = shared.value
         known = tests.vocabulary.get
         keys: list = []
         texts: list[list[int]] = []
@@ -254,10 +271,10 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
 
         def flush() -> pa.RecordBatch:
             found = search(tests, keys, texts)
-            columns = [pa.array([f[0] for f in found], key_type), pa.array([f[1] for f in found], item_type), pa.array([f[2] for f in found], pa.float64())]
-            return pa.RecordBatch.from_arrays(columns, names=[key, item_key, "share"])
+            kinds = [key_type, pa.int64(), pa.float64(), *[pa.int32()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names=names)
 
-        key_type = item_type = pa.int64()
+        key_type, names = pa.int64(), [key, item_key, "share", "item_from", "item_to", "doc_from", "doc_to"]
         for batch in batches:
             key_type = batch.schema.field(0).type
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -275,7 +292,13 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
 
     docs = documents.select(key, text)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.mapInArrow(run, f"`{key}` {kind}, `{item_key}` bigint, share double")
+    return docs.mapInArrow(run, f"`{key}` {kind}, `{item_key}` bigint, share double, item_from int, item_to int, doc_from int, doc_to int")
+
+
+def without_leaked(documents: DataFrame, key: str, text: str, items: DataFrame, **names: str) -> DataFrame:
+    """``documents`` less those that hold an item; every row of a key that holds one goes. Rows with a null key stay unless any such row holds one."""
+    found = leaked_items(documents, key, text, items, **names).select(F.col(key).alias("_held")).distinct()
+    return documents.join(found, documents[key].eqNullSafe(F.col("_held")), "left_anti")
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
@@ -284,6 +307,12 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p9_found": p9_found}
+def p9_kept(spark: SparkSession, root: str) -> DataFrame:
+    """Number of documents, by source, that are left when those that hold an evaluation item are removed."""
+    kept = without_leaked(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "evalitems"))
+    return kept.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_kept": p9_kept}
 
 SQL: dict[str, str] = {}

@@ -42,6 +42,8 @@ SMALL_WORDS = set("y e o u a à и а в с к о у")
 CJK_GOES_ON = ("然后", "说", "問", "问", "的", "地", "并", "と", "って", "という", "の", "を", "は", "が", "に", "も", "で", "、", "，", ",")
 
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“", "‘": "’", '"': '"', "'": "'"}
+#: Characters before a full stop that are looked at: more than twice the longest abbreviation, German article or number.
+LOOK_BACK = 48
 BRACKETS = set("([{（［【")
 CLOSERS = set(PAIRS.values()) | {"”"}
 STOPS = ".!?。！？．｡।॥؟…"
@@ -122,7 +124,7 @@ def _full_stop(text: str, start: int, dot: int, after: int, end: int) -> bool:
             return False
     if blank(prev):  # ".016", or a French stop after a blank
         return not glued and not c.isdigit()
-    tail = text[max(start, dot - 16) : dot]
+    tail = text[max(start, dot - LOOK_BACK) : dot]
     if "\xad" in tail or not tail.isascii():
         tail = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", tail).translate(_DROP))
     tail = tail.lower()
@@ -142,7 +144,7 @@ def _full_stop(text: str, start: int, dot: int, after: int, end: int) -> bool:
         return bool(_CJK.match(last))  # an initial or a piece of an abbreviation
     if last.isdigit() and len(last) <= 2 and not glued:
         word = _WORD.match(text, follow, end).group().strip(".,;:!?").lower()
-        before = text[max(start, dot - 24) : dot - len(last)].split()
+        before = text[max(start, dot - LOOK_BACK) : dot - len(last)].split()
         if word in MONTHS or before and before[-1].lower() in ARTICLES:
             return False
     return True
@@ -168,6 +170,7 @@ def _pairs(text: str, events: list, end: int) -> dict[int, int]:
     """For each opening mark that is closed again, and for its closing mark, the place of the other."""
     out: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, list[int]] = {}  # closing mark -> heights of the stack at which it is waited for, so that no mark searches the stack
     for m in events:
         c, at = m.group(), m.start()
         if c[0] in STOPS or blank(c[0]):
@@ -176,12 +179,13 @@ def _pairs(text: str, events: list, end: int) -> dict[int, int]:
         after = text[at + 1] if at + 1 < end else " "
         if c in "'’" and before.isalnum() and after.isalnum():
             continue  # an apostrophe
-        closes = [k for k in range(len(stack)) if stack[k][0] == c or c == "”" and stack[k][0] == "“"]
-        if closes:
-            k = closes[-1]
+        k = max((waiting[w][-1] for w in (c, "“" if c == "”" else c) if waiting.get(w)), default=-1)
+        if k >= 0:
             out[at], out[stack[k][1]] = stack[k][1], at
-            del stack[k:]
+            while len(stack) > k:
+                waiting[stack.pop()[0]].pop()
         elif c in PAIRS and not (c == "'" and (before.isalnum() or blank(after))):
+            waiting.setdefault(PAIRS[c], []).append(len(stack))
             stack.append((PAIRS[c], at))
     return out
 
@@ -236,7 +240,7 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
                 inner = at - 1
                 while inner > opened and blank(text[inner]):
                     inner -= 1
-                if text[inner] in STOPS and not (text[opened] in BRACKETS and text[begin:opened].strip().strip("﻿")):
+                if text[inner] in STOPS and not (text[opened] in BRACKETS and _next(text, begin, opened) < opened):
                     if _after_closer(text, after, end):
                         close(after)
     close(end)

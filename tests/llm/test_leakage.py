@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from tessera.llm.leakage import leaked_items, suffix_array, words
+from tessera.llm import leakage
+from tessera.llm.leakage import leaked_items, suffix_array, without_leaked, words
 
 ITEMS = [
     (1, "en", "The quick auditor measured seven copper pipes before noon. Each pipe leaked twice under the old pressure rule. Nobody recorded which valve had failed first. The report was filed on a rainy Tuesday in March."),
@@ -44,6 +45,23 @@ def test_whole_half_and_altered(spark):
     assert run(spark, docs) == [(10, 1), (11, 1), (13, 1), (14, 3), (16, 1), (20, 1), (20, 1), (22, 1), (22, 2)]
 
 
+def test_place_removal_and_parts(spark, monkeypatch):
+    whole = ITEMS[0][2]
+    docs = [(1, FILLER + whole + FILLER, ""), (2, FILLER, ""), (3, FILLER * 2 + ". ".join(ITEMS[1][2].split(". ")[1:]), ""), (None, FILLER, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, share string")
+    i = spark.createDataFrame(ITEMS, "item_id long, lang string, text string")
+    for chars, places in ((50_000_000, 4_000_000), (150, 3)):
+        monkeypatch.setattr(leakage, "MAX_ITEM_CHARS", chars)
+        monkeypatch.setattr(leakage, "MOST_PLACES", places)
+        found = {(r["doc_id"], r["item_id"]): r for r in leaked_items(d, "doc_id", "text", i).collect()}
+        assert set(found) == {(1, 1), (3, 2)}
+        for (doc, item), r in found.items():
+            mine, theirs = words(dict((k, t) for k, t, _ in docs)[doc]), words(dict((k, t) for k, _, t in ITEMS)[item])
+            assert mine[r["doc_from"] : r["doc_to"]] == theirs[r["item_from"] : r["item_to"]] and r["share"] == (r["item_to"] - r["item_from"]) / len(theirs)
+        assert found[1, 1]["share"] == 1 and found[1, 1]["doc_from"] == len(words(FILLER))
+        assert [r["doc_id"] for r in without_leaked(d, "doc_id", "text", i).orderBy("doc_id").collect()] == [None, 2]
+
+
 def test_very_long_document(spark):
     assert run(spark, [(1, FILLER * 20_000 + ITEMS[1][2] + FILLER * 100, "")]) == [(1, 2)]
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tessera.llm.sentences import sentences, split
@@ -60,6 +62,17 @@ def test_very_long_text():
     assert len(split('"' * 50_001 + "a. " * 1000)) >= 1
 
 
+@pytest.mark.parametrize("piece", ["( ab. ", "« ab. ", "(a.) ", '"a. ', "[x (y. "])
+def test_time_grows_with_length(piece):
+    def took(n):
+        began = time.process_time()
+        split(piece * n)
+        return time.process_time() - began
+
+    took(100)
+    assert took(100_000) < 20 * max(took(10_000), 0.05) + 2
+
+
 def test_empty_table_and_null_key(spark):
     df = spark.createDataFrame([(None, "One. Two.", 1)], "id long, text string, sent_no int")
     assert [tuple(r) for r in sentences(df, "id", "text").collect()] == [(None, 1, 0, 4), (None, 2, 5, 9)]
