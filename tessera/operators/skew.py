@@ -58,7 +58,9 @@ def salted_aggregate(df: DataFrame, keys: list[str], measures: dict[str, tuple[s
     plain = {n: m for n, m in measures.items() if m[0] != "distinct"}
     pieces: list[DataFrame] = []
     if plain or not measures:
-        row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in keys]), F.lit(salts))
+        # Equal rows of a partition are combined before the shuffle; those of different partitions get different salts. A task that is
+        # run again gives its rows the same salts in whatever order they come, which random numbers would not.
+        row_salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns if c not in keys]), F.lit(salts))
         spread = with_salt(df, keys, row_salt, **kw)
         first, second = [], []
         for name, (kind, column) in plain.items():

@@ -38,12 +38,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, m
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, a folder of this machine that goes when the program ends."""
+    """The shared folder of ``spark.checkpoint.dir``, or else the one set with ``setCheckpointDir``.
+
+    Only on a single machine, and where neither is set, it is a folder of this machine that goes when the program
+    ends; on a cluster that is an error, since executors would not see each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = "file://" + folder
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            root = given.get()
+        elif spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        else:
+            folder = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            root = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
