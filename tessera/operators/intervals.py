@@ -6,9 +6,11 @@ AQE splits; no plan holds a nested loop, and no side is assumed to be small.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,72 +140,83 @@ def nearest_point(df: DataFrame, points: DataFrame, key: str, at: Column, name:
     return df.join(near, key, "left")
 
 
-def _unbeaten(rest: DataFrame, links: DataFrame) -> DataFrame:
-    """(chr, _id) of ``rest`` that are beaten (``links``: u by v) by none that is kept, decided in order within each run of overlapping intervals."""
-    before = Window.partitionBy("chr").orderBy("start_pos", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("chr").orderBy("start_pos", "_id").rowsBetween(Window.unboundedPreceding, 0)
-    new = F.when(F.col("start_pos") <= F.max("end_pos").over(before), 0).otherwise(1)
-    runs = rest.withColumn("_new", new).withColumn("_run", F.sum("_new").over(upto)).select("chr", "_run", F.col("_id").alias("u"))
-    # A row that nothing beats has a link from no one, so that every row is there.
-    placed = runs.join(links, ["chr", "u"], "left")
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        beaten_by: dict[int, list[int]] = {}
-        beats: dict[int, list[int]] = {}
-        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-            mine = beaten_by.setdefault(u, [])
-            if v == v and v is not None:
-                mine.append(int(v))
-                beats.setdefault(int(v), []).append(u)
-        waits = {u: len(v) for u, v in beaten_by.items()}
-        ready, kept = [u for u, n in waits.items() if not n], set()
-        while ready:
-            v = ready.pop()
-            if not any(b in kept for b in beaten_by[v]):
-                kept.add(v)
-            for u in beats.get(v, []):
-                waits[u] -= 1
-                if not waits[u]:
-                    ready.append(u)
-        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "_id": sorted(kept)})
-
-    kind = rest.schema["chr"].dataType.simpleString()
-    return placed.groupBy("chr", "_run").applyInPandas(decide, f"chr {kind}, _id long")
-
-
-def non_overlapping(df: DataFrame, score: str = "score", ties: list[str] | None = None, rounds: int = 100) -> DataFrame:
+def overlap_runs(df: DataFrame, slab: int = 1 << 24) -> DataFrame:
+    """``df`` with ``_run``: the first position of the run of overlapping intervals that a row is in.
+
+    The line of a chromosome is cut into slabs, so that no chromosome is one task; how far the slabs before
+    reach, and which run was the last to begin there, comes from one summary row a slab.
+    """
+    rows = df.withColumn("_slab", F.floor(F.col("start_pos") / F.lit(slab)))
+    earlier = Window.partitionBy("chr").orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy("chr", "_slab").agg(F.max("end_pos").alias("_reach")).withColumn("_reach", F.max("_reach").over(earlier))
+    inside = Window.partitionBy("chr", "_slab").orderBy("start_pos", "end_pos")
+    seen = F.max("end_pos").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_seen", seen).join(reach, ["chr", "_slab"])
+    head = F.greatest("_seen", "_reach")  # greatest skips nulls
+    rows = rows.withColumn("_head", F.when(head.isNull() | (F.col("start_pos") > head), F.col("start_pos"))).drop("_seen", "_reach")
+    rows = materialise(rows, "heads")
+    begun = rows.groupBy("chr", "_slab").agg(F.max("_head").alias("_begun")).withColumn("_begun", F.max("_begun").over(earlier))
+    run = F.coalesce(F.max("_head").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_begun"))
+    return rows.join(begun, ["chr", "_slab"]).withColumn("_run", run).drop("_head", "_begun", "_slab")
+
+
+def _first_come(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``_id`` of the intervals of each run that are taken when its rows come in ``order`` and those that overlap one taken are dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, starts, ends = None, [], []
+        for batch in batches:
+            kept = []
+            for key, start, end, number in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), *[batch.column(k).to_pylist() for k in (2, 3, 4)]):
+                if key != at:
+                    at, starts, ends = key, [], []
+                k = bisect_right(starts, end)  # the last one taken that begins before this one ends
+                if k == 0 or ends[k - 1] < start:
+                    starts.insert(k, start)
+                    ends.insert(k, end)
+                    kept.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["_id"])
+
+    sorted_ = rows.repartition("chr", "_run").sortWithinPartitions("chr", "_run", *order)
+    return sorted_.select("chr", "_run", "start_pos", "end_pos", "_id").mapInArrow(run, "_id bigint")
+
+
+def non_overlapping(df: DataFrame, score: str = "score", ties: list[str] | None = None, run_rows: int = 500_000, rounds: int = 20) -> DataFrame:
     """The intervals kept by taking the best score again and again and dropping what overlaps it.
 
-    In every round each interval that beats all intervals overlapping it is
-    taken at once (these can't overlap each other), and its neighbours go: the same
-    result as one by one, in far fewer rounds.  Equal scores are decided by position, then ``ties``.
-    What is left after ``rounds`` rounds, such as long chains of equal scores, is decided one by one in each run of overlapping intervals.
+    Equal scores are decided by position, then ``ties``; null scores come last.  The intervals are cut into runs of overlapping
+    ones, which don't touch each other, and each run is gone through once in order of score; intervals that are a run by themselves are kept at once.
+    A run of more than ``run_rows`` intervals is thinned out first: those that beat everything they overlap
+    are taken, all at once, and what they overlap goes, which breaks the run up; after ``rounds`` rounds what is left of it is
+    gone through whatever its length, in one task, which holds only the intervals taken.
     """
-    order = ["start_pos", "end_pos", *(ties or []), "_id"]
     rows = materialise(df.withColumn("_id", F.monotonically_increasing_id()), "overlap")  # written, so the numbers stay
-    side = rows.select("chr", score, *order)
-    beats = lambda v, u: (F.col(f"{v}.{score}") > F.col(f"{u}.{score}")) | (
-        (F.col(f"{v}.{score}") == F.col(f"{u}.{score}")) & (F.struct(*[F.col(f"{v}.{c}") for c in order]) < F.struct(*[F.col(f"{u}.{c}") for c in order]))
-    )
-    pairs = overlap_pairs(side, side).where(F.col("a._id") != F.col("b._id"))
-    links = materialise(pairs.where(beats("b", "a")).select(F.col("a.chr").alias("chr"), F.col("a._id").alias("u"), F.col("b._id").alias("v")), "links")
-    rest, kept = rows.select("chr", "_id"), None
-    for _ in range(rounds):
-        if not rest.limit(1).count():
+    names = ["start_pos", "end_pos", *(ties or [])]
+    rest = rows.select("chr", F.col(score).alias("_score"), *dict.fromkeys(names), "_id").where(F.col("chr").isNotNull() & (F.col("end_pos") >= F.col("start_pos")))
+    order = [F.col("_score").desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in [*names, "_id"]]]
+    kept: DataFrame | None = None
+    add = lambda found: found if kept is None else kept.unionByName(found)
+    for k in range(rounds + 1):
+        placed = materialise(overlap_runs(rest), "runs")
+        size = materialise(placed.groupBy("chr", "_run").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+        alone = placed.join(size.where(F.col("_n") == 1), ["chr", "_run"], "left_semi").select("_id")
+        some = placed.join(size.where((F.col("_n") > 1) & ((F.col("_n") <= run_rows) | F.lit(k == rounds))), ["chr", "_run"], "left_semi")
+        kept = add(materialise(alone.unionByName(_first_come(some, order)), "kept"))
+        long = size.where(F.col("_n") > run_rows)
+        if k == rounds or not long.limit(1).count():
             break
-        beaten = links.select("chr", F.col("u").alias("_id")).distinct()
-        best = materialise(rest.join(beaten, ["chr", "_id"], "left_anti"), "best")
-        kept = best if kept is None else kept.unionByName(best)
-        gone = links.join(best.withColumnRenamed("_id", "v"), ["chr", "v"], "left_semi").select("chr", F.col("u").alias("_id")).distinct()
-        gone = materialise(gone.unionByName(best).distinct(), "gone")
-        rest = materialise(rest.join(gone, ["chr", "_id"], "left_anti"), "rest")
-        left = links.join(gone.withColumnRenamed("_id", "u"), ["chr", "u"], "left_anti").join(gone.withColumnRenamed("_id", "v"), ["chr", "v"], "left_anti")
-        old, links = links, materialise(left, "links")
-        discard(old)
-    if rest.limit(1).count():
-        one_by_one = materialise(_unbeaten(rows.join(rest, ["chr", "_id"], "left_semi"), links), "best")
-        kept = one_by_one if kept is None else kept.unionByName(one_by_one)
-    return rows.join(kept, ["chr", "_id"], "left_semi").select(*df.columns) if kept is not None else df.limit(0)
+        side = placed.join(long, ["chr", "_run"], "left_semi").drop("_run")
+        rank = F.struct((-F.col("_score")).isNull().alias("n"), (-F.col("_score")).alias("s"), *[F.col(c).alias(f"t{i}") for i, c in enumerate([*names, "_id"])])
+        side = materialise(side.withColumn("_rank", rank), "long")
+        pairs = overlap_pairs(side.select("chr", "start_pos", "end_pos", "_rank", "_id"), side.select("chr", "start_pos", "end_pos", "_rank", "_id"))
+        beaten = pairs.where(F.col("b._rank") < F.col("a._rank")).select(F.col("a._id").alias("_id")).distinct()
+        best = materialise(side.join(beaten, "_id", "left_anti").select("chr", "start_pos", "end_pos", "_id"), "best")
+        kept = add(best.select("_id"))
+        gone = overlap_pairs(side.select("chr", "start_pos", "end_pos", "_id"), best).select("a._id").distinct()
+        rest = materialise(side.join(gone, "_id", "left_anti").drop("_rank"), "rest")
+        for t in (side, placed, size):
+            discard(t)
+    return rows.join(kept, "_id", "left_semi").select(*df.columns)
 
 
 def pairs_within(df: DataFrame, key: str, distance: int, at: str = "center") -> DataFrame:
