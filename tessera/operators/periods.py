@@ -16,12 +16,22 @@ from pyspark.sql import functions as F
 from tessera.session import materialise
 
 
-def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", slab: int = 1 << 24, touching: bool = True) -> DataFrame:
+#: Widest and narrowest slab, the extent of positions that is reckoned with, and the rows that a slab of one entity should hold if it held all rows of the table.
+WIDEST, NARROWEST, EXTENT, SLAB_ROWS = 1 << 24, 1 << 12, 1 << 28, 1_000_000
+
+
+def slab_width(rows: int) -> int:
+    """The slab of a table of ``rows`` rows: narrower for more, so that an entity with a third of them is still cut small."""
+    return max(NARROWEST, min(WIDEST, EXTENT * SLAB_ROWS // max(rows, 1)))
+
+
+def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", slab: int = WIDEST, touching: bool = True) -> DataFrame:
     """Covered periods and the gaps between successive ones, per combination of ``keys``.
 
     Intervals include both ends.  Those that share a position, or follow each
     other with no position between, make one ``period``; a ``gap`` holds the
     positions between two successive periods.  Result: keys, kind, start, end.
+    ``slab`` bears only on how the work is cut up; see :func:`slab_width`.
     With ``touching`` false, intervals must share a position to be merged, and
     periods that only touch have no gap between them.
 

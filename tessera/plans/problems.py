@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.periods import periods_and_gaps
+from tessera.operators.periods import periods_and_gaps, slab_width
 from tessera.operators.skew import salted_aggregate, salted_rank
 from tessera.sources.tables import latest, table, with_intervals
 
@@ -70,7 +70,8 @@ def _intervals(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Covered periods and gaps of every groupreplicate of peakset and every grp of grouppeaks."""
-    return periods_and_gaps(_intervals(spark, root), ["src", "entity", "seqnames"])
+    rows = table(spark, root, "peakset").count() + table(spark, root, "grouppeaks").count()  # from the files' own counts
+    return periods_and_gaps(_intervals(spark, root), ["src", "entity", "seqnames"], slab=slab_width(rows))
 
 
 QUERIES = {"p4_found": p4_found, "p4_sample_totals": p4_sample_totals, "p4_seqname_totals": p4_seqname_totals, "p7_found": p7_found}
