@@ -55,14 +55,34 @@ def rank_quantile(df: DataFrame, value: str, out: str = "quantile", by: list[str
     return ranked.withColumn(out, F.floor("_r") / F.col("_all")).drop("_r", "_all")
 
 
+def quantiles(df: DataFrame, value: str, at: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Interpolated quantiles per group, exactly: one row a group, a column for each name of ``at``. Nulls are no values.
+
+    Distinct values are counted and the counts summed up in buckets, so no group is held by one task.
+    """
+    by = by or []
+    counts = materialise(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    n = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    ranked = running_sums(counts, value, {"_below": "_n"}, by)
+    ranked = ranked.join(n, by) if by else ranked.crossJoin(F.broadcast(n))  # one row
+    x = F.col(value).cast("double")
+    sums = [F.max("_all").alias("_all")]
+    for i, p in enumerate(at.values()):
+        place = F.lit(p) * (F.col("_all") - 1)
+        for end, f in (("lo", F.floor), ("hi", F.ceil)):
+            sums.append(F.max(F.when(F.col("_below") <= f(place), x)).alias(f"_{end}{i}"))
+    out = ranked.groupBy(*by).agg(*sums)
+    part = lambda p: F.lit(p) * (F.col("_all") - 1) - F.floor(F.lit(p) * (F.col("_all") - 1))
+    mixed = lambda i, p: F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise(F.col(f"_lo{i}") * (1 - part(p)) + F.col(f"_hi{i}") * part(p))
+    return out.select(*by, *[mixed(i, p).alias(name) for i, (name, p) in enumerate(at.items())])
+
+
 def winsorise(df: DataFrame, value: str, low: float, high: float, by: list[str] | None = None) -> DataFrame:
     """Clip ``value`` at its interpolated quantiles; a high limit of 0 is replaced by the maximum."""
     by = by or []
-    limits = df.groupBy(*by).agg(
-        F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"), F.max(value).alias("_max")
-    )
+    limits = quantiles(df, value, {"_lo": low, "_hi": high, "_max": 1.0}, by)
     limits = limits.withColumn("_hi", F.when(F.col("_hi") == 0, F.col("_max")).otherwise(F.col("_hi")))
-    joined = df.join(limits, by) if by else df.crossJoin(F.broadcast(limits))
+    joined = df.join(limits, by) if by else df.crossJoin(F.broadcast(limits))  # one row
     return joined.withColumn(value, F.least("_hi", F.greatest("_lo", value))).drop("_lo", "_hi", "_max")
 
 

@@ -6,58 +6,152 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import discard, materialise
 
-#: Queries compared with the data in one block.
-QUERY_BLOCK = 4096
+#: Rows for each cell of space, greatest number of cells (their middles are broadcast), and rows of either side that one task compares.
+CELL_ROWS, MOST_CELLS, BLOCK = 2000, 4096, 4096
 #: Rows of a shared member that are paired under one key.
 HUB_ROWS = 500
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    middle = y.mean(0)
+    x, y = x - middle, y - middle
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+
+
+def _as_array(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def _compared(data: DataFrame, asked: DataFrame, k: int, keep_self: bool, kind: str) -> DataFrame:
+    """(query, neighbour, distance): the k nearest in each block of the rows (cell, key, v) for the queries (cell, q, qv, reach) that ask that cell, none beyond ``reach``.
+
+    Cells with more than BLOCK rows on a side are cut by hash, and every part of one side meets every part of the other.
+    """
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+
+    cut = parts(data, "_dp").join(parts(asked, "_qp"), "cell")
+    d = data.join(F.broadcast(cut), "cell")  # one row a cell
+    d = d.select("cell", F.pmod(F.xxhash64("key"), F.col("_dp")).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.col("_qp") - 1)).alias("a"), "key", "v")
+    q = asked.join(F.broadcast(cut), "cell")
+    q = q.select("cell", F.explode(F.sequence(F.lit(0), F.col("_dp") - 1)).alias("h"), F.pmod(F.xxhash64("q"), F.col("_qp")).cast("int").alias("a"), "q", "qv", "reach")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"query": right.column("q").slice(0, 0), "neighbour": left.column("key").slice(0, 0), "distance": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        names, ids = left.column("key").combine_chunks(), right.column("q").combine_chunks()
+        y, x = _as_array(left.column("v").combine_chunks()), _as_array(right.column("qv").combine_chunks())
+        reach = right.column("reach").to_numpy()
+        places = {z: i for i, z in enumerate(names.to_pylist())}
+        own = np.array([places.get(z, -1) for z in ids.to_pylist()])
+        rows, near, far = [], [], []
+        for at in range(0, len(x), 1024):
+            part = slice(at, at + 1024)
+            dist = _distances(x[part], y)
+            if not keep_self:
+                mine = np.flatnonzero(own[part] >= 0)
+                dist[mine, own[part][mine]] = np.inf
+            top = min(k + 3, len(y))
+            best = np.argpartition(dist, top - 1, 1)[:, :top]
+            if len(y) > top:  # ties beyond the last one kept are decided by key, so all of them are kept
+                edge = np.take_along_axis(dist, best, 1).max(1)
+                tied = np.flatnonzero((dist <= edge[:, None] * (1 + 1e-9) + 1e-9).sum(1) > top)
+            else:
+                tied = np.zeros(0, np.int64)
+            r, c = np.nonzero(np.isfinite(np.take_along_axis(dist, best, 1)))
+            keep = ~np.isin(r, tied)
+            r, c = r[keep], best[r[keep], c[keep]]
+            if len(tied):
+                edge = np.sort(np.take_along_axis(dist[tied], best[tied], 1), 1)[:, min(k, top) - 1]
+                tr, tc = np.nonzero(dist[tied] <= edge[:, None] * (1 + 1e-9) + 1e-9)
+                finite = np.isfinite(dist[tied][tr, tc])
+                r, c = np.concatenate([r, tied[tr[finite]]]), np.concatenate([c, tc[finite]])
+            exact = np.sqrt(((x[part][r] - y[c]) ** 2).sum(1))
+            keep = exact <= reach[part][r] * (1 + 1e-9) + 1e-9
+            rows.append(r[keep] + at)
+            near.append(c[keep])
+            far.append(exact[keep])
+        r, c = np.concatenate(rows), np.concatenate(near)
+        return pa.table({"query": ids.take(pa.array(r)), "neighbour": names.take(pa.array(c)), "distance": np.concatenate(far)})
+
+    return d.groupBy("cell", "h", "a").cogroup(q.groupBy("cell", "h", "a")).applyInArrow(run, f"query {kind}, neighbour {kind}, distance double")
+
+
 def exact_neighbours(data: DataFrame, queries: DataFrame, key: str, vector: str, k: int, keep_self: bool = False) -> DataFrame:
     """(query, neighbour, distance, rnk): the k nearest rows of ``data`` for each query, exactly; ties go to the smaller key.
 
-    The stated queries are cut into blocks of bounded size, and the data passes
-    each block once in Arrow batches that keep k per query; so no pair is ever written out.
+    The data lie in cells around middles drawn by hash.  A query first asks the nearest cells that hold k rows between them; the k-th
+    distance found bounds what can still be nearer, and only cells that reach within it are asked then.
+    Nothing but the middles and one row a cell comes to the driver, and no pair is written out but k a block.
+    Rows with a null key or vector are left out.
     """
-    spark = data.sparkSession
-    q = materialise(queries.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v")), "queries")
-    n = q.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    q = q.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    out: DataFrame | None = None
-    for b in range(blocks):
-        rows = q.where(F.col("_b") == b).select(key, "v").toPandas()  # about QUERY_BLOCK rows
-        if not len(rows):
-            continue
-        shared = spark.sparkContext.broadcast((rows[key].to_numpy(), np.array(list(rows["v"]), float)))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, x = shared.value
+    spark, kind = data.sparkSession, data.schema[key].dataType.simpleString()
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    sound = F.col(key).isNotNull() & F.col(vector).isNotNull()
+    d = materialise(data.where(sound).select(F.col(key).alias("key"), wide.alias("v")), "data")
+    q = materialise(queries.where(sound).select(F.col(key).alias("q"), wide.alias("qv")), "queries")
+    n = d.count()
+    empty = spark.createDataFrame([], f"query {kind}, neighbour {kind}, distance double, rnk int")
+    if not n or not q.limit(1).count():
+        return empty
+    cells = max(1, min(n // CELL_ROWS, MOST_CELLS))
+    middles = np.array(list(d.orderBy(F.xxhash64("v"), "key").limit(cells).toPandas()["v"]), float)
+    shared = spark.sparkContext.broadcast(middles)  # a vector a cell
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _as_array(batch.column(1))
+                near = np.concatenate([_distances(x[a : a + 2048], shared.value).argmin(1) for a in range(0, len(x), 2048)])
+                exact = np.sqrt(((x - shared.value[near]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns, pa.array(exact)], names=["cell", "key", "v", "d"])
+
+    placed = materialise(d.mapInArrow(deal, f"cell int, key {kind}, v array<double>, d double"), "cells")
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).toPandas()  # one row a cell
+    held, reach_of = np.zeros(len(middles)), np.full(len(middles), -np.inf)
+    held[sizes["cell"]], reach_of[sizes["cell"]] = sizes["n"], sizes["r"]
+    about = spark.sparkContext.broadcast((held, reach_of))
+
+    def ask(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, reach_of = about.value
             for batch in batches:
-                if not len(batch):
-                    continue
-                y, names = np.array(list(batch[vector]), float), batch[key].to_numpy()
-                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-                if not keep_self:
-                    d[ids[:, None] == names[None]] = np.inf
-                top = min(k + 3, len(names))
-                near = np.argpartition(d, top - 1, 1)[:, :top]
-                exact = np.sqrt(((x[:, None] - y[near]) ** 2).sum(2))
-                exact[~np.isfinite(np.take_along_axis(d, near, 1))] = np.inf
-                r, c = np.nonzero(np.isfinite(exact))
-                yield pd.DataFrame({"query": ids[r], "neighbour": names[near[r, c]], "distance": exact[r, c]})
-
-        kind = data.schema[key].dataType.simpleString()
-        found = data.select(key, vector).mapInPandas(run, f"query {kind}, neighbour {kind}, distance double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return data.select(F.col(key).alias("query"), F.col(key).alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("rnk")).limit(0)
-    first = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return out.withColumn("rnk", F.row_number().over(first)).where(F.col("rnk") <= k)
+                for a in range(0, batch.num_rows, 512):
+                    part = batch.slice(a, 512)
+                    dist = _distances(_as_array(part.column(1)), shared.value)
+                    order = dist.argsort(1, kind="stable")
+                    before = np.cumsum(held[order], 1) - held[order]
+                    asked = np.zeros(dist.shape, bool)
+                    np.put_along_axis(asked, order, before < k + (not keep_self), 1)  # until they hold k rows besides the query itself
+                    reach = np.full(len(dist), np.inf)
+                    if not first:
+                        bound = part.column(2).to_numpy(zero_copy_only=False).astype(float)
+                        reach = np.where(np.isnan(bound), np.inf, bound)
+                        asked = ~asked & (dist - reach_of[None] <= reach[:, None] * (1 + 1e-9) + 1e-6)
+                    r, c = np.nonzero(asked & (held > 0)[None])
+                    rows = pa.array(r)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), part.column(0).take(rows), part.column(1).take(rows), pa.array(reach[r])], names=["cell", "q", "qv", "reach"])
+
+        return run
+
+    schema = f"cell int, q {kind}, qv array<double>, reach double"
+    order = Window.partitionBy("query").orderBy("distance", "neighbour")
+    first = lambda df: df.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
+    rows = placed.select("cell", "key", "v")
+    found = first(_compared(rows, materialise(q.mapInArrow(ask(True), schema), "asked"), k, keep_self, kind))
+    if len(middles) == 1:
+        return found
+    found = materialise(found, "found")
+    bound = found.where(F.col("rnk") == k).select(F.col("query").alias("q"), F.col("distance").alias("bound"))
+    more = materialise(q.join(bound, "q", "left").select("q", "qv", "bound").mapInArrow(ask(False), schema), "asked")
+    return first(found.drop("rnk").unionByName(_compared(rows, more, k, keep_self, kind)))
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
@@ -91,7 +185,7 @@ def shared_neighbours(neighbours: DataFrame, prune: float = 1 / 15) -> DataFrame
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, group): communities of a weighted graph (a, b, weight): every node takes the label of greatest weight around it.
 
-    Nodes are updated by halves, by the parity of their hash, so that two labels don't swap forever; ties go to the smaller label.
+    It ends when no label changes, or after ``rounds`` rounds (a parameter; nodes on the border of two communities may change for ever). Nodes are updated by halves, by the parity of their hash, so that two labels don't swap forever; ties go to the smaller label.
     """
     both = materialise(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "edges")
     labels = materialise(both.select(F.col("a").alias("id")).distinct().withColumn("group", F.col("id")), "labels")
@@ -148,8 +242,8 @@ def knn_groups(neighbours: DataFrame, k: int, overlap: float = 0.8) -> DataFrame
     return members.join(kept.withColumnRenamed("g", "group"), "group", "left_semi") if kept is not None else members
 
 
-def impute_weights(df: DataFrame, key: str, vector: str, block_rows: int = 500, k: int = 15, ka: int = 4, t: int = 3, seed: int = 1) -> DataFrame:
-    """(block, a, b, weight): diffusion weights within random blocks; the weights of a row sum to 1.
+def impute_weights(df: DataFrame, key: str, vector: str, block_rows: int = 500, k: int = 15, ka: int = 4, t: int = 3, seed: int = 1, replicates: int = 2) -> DataFrame:
+    """(replicate, block, a, b, weight): diffusion weights within random blocks, dealt anew in every replicate; the weights of a row sum to 1 over all replicates.
 
     Within a block: Gaussian of the distance in units of the ka-th neighbour's,
     symmetrised, normalised and multiplied with itself t times. Blocks have about ``block_rows`` rows.
@@ -172,10 +266,11 @@ def impute_weights(df: DataFrame, key: str, vector: str, block_rows: int = 500,
         w = np.linalg.matrix_power(w, t)
         r, c = np.nonzero(w > 1e-9)
         names = pdf[key].to_numpy()
-        return pd.DataFrame({"block": int(pdf["block"].iloc[0]), "a": names[r], "b": names[c], "weight": w[r, c]})
+        return pd.DataFrame({"replicate": int(pdf["replicate"].iloc[0]), "block": int(pdf["block"].iloc[0]), "a": names[r], "b": names[c], "weight": w[r, c] / replicates})
 
-    placed = df.select(key, vector).withColumn("block", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(blocks)).cast("int"))
-    return placed.groupBy("block").applyInPandas(run, f"block int, a {kind}, b {kind}, weight double")
+    dealt = F.explode(F.array(*[F.struct(F.lit(r).alias("replicate"), F.pmod(F.xxhash64(F.col(key), F.lit(seed + r)), F.lit(blocks)).cast("int").alias("block")) for r in range(replicates)]))
+    placed = df.select(key, vector, dealt.alias("_d")).select(key, vector, "_d.*")
+    return placed.groupBy("replicate", "block").applyInPandas(run, f"replicate int, block int, a {kind}, b {kind}, weight double")
 
 
 def impute(matrix: DataFrame, weights: DataFrame) -> DataFrame:

@@ -12,12 +12,25 @@ from tessera.operators.intervals import non_overlapping, overlap_join, resize
 from tessera.session import materialise
 
 
-def pseudobulk(cells: DataFrame, group: str, sample: str, cell: str = "cell", least: int = 40, most: int = 500, replicates: int = 5, seed: int = 1) -> DataFrame:
+def least_overlap(rows: DataFrame, by: list[str], draws: int = 2, share: float = 0.8, seed: int = 1) -> DataFrame:
+    """``rows`` (by, cell) in ``draws`` draws (1, 2, ...) of ``share`` of each group that overlap as little as such draws can.
+
+    The cells of a group stand in a circle in the order of a seeded hash, and each draw takes a stretch of it, the draws beginning at equal distances.
+    """
+    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.col("cell"), F.lit(seed)), "cell")
+    placed = rows.withColumn("_at", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    begin = lambda k: F.floor(F.col("_n") * (k - 1) / draws)
+    inside = [F.when(F.pmod(F.col("_at") - begin(k), F.col("_n")) < F.ceil(F.round(F.col("_n") * share, 6)), F.lit(k)) for k in range(1, draws + 1)]
+    return placed.select(*[c for c in placed.columns if c not in ("_at", "_n")], F.explode(F.array_compact(F.array(*inside))).alias("draw"))
+
+
+def pseudobulk(cells: DataFrame, group: str, sample: str, cell: str = "cell", least: int = 40, most: int = 500, replicates: int = 5, seed: int = 1, share: float = 0.8) -> DataFrame:
     """(group, replicate, cell): a replicate per sample with ``least`` cells, the smaller samples pooled in one more.
 
     A replicate keeps at most ``most`` cells, chosen by a seeded hash; at most
     ``replicates`` of a group are kept, the largest first, ties by sample.
-    A group that has less than two replicates is split in two by hash.
+    A group that has less than two replicates gets two draws of its cells: halves, or if these would be smaller
+    than ``least``, draws of ``share`` of the cells that overlap as little as they can.
     """
     rows = materialise(cells.select(F.col(cell).alias("cell"), F.col(group).alias("group"), F.col(sample).alias("sample")), "cells")
     size = rows.groupBy("group", "sample").agg(F.count(F.lit(1)).alias("_n"))
@@ -25,13 +38,29 @@ def pseudobulk(cells: DataFrame, group: str, sample: str, cell: str = "cell", le
     kept = named.groupBy("group", "replicate").agg(F.count(F.lit(1)).alias("_size"))
     order = Window.partitionBy("group").orderBy(F.col("_size").desc(), "replicate")
     kept = kept.withColumn("_k", F.row_number().over(order)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("group"))).where(F.col("_k") <= replicates)
-    out = named.join(kept, ["group", "replicate"])
-    half = F.concat(F.lit("half"), F.pmod(F.xxhash64("cell"), F.lit(2)) + 1)
-    out = out.withColumn("replicate", F.when(F.col("_all") < 2, half).otherwise(F.col("replicate")))
+    out = materialise(named.join(kept, ["group", "replicate"]).select("group", "replicate", "cell", "_all", "_size"), "placed")
+    two = out.where(F.col("_all") < 2).select("group", "cell", "_size")
+    halves = least_overlap(two.where(F.col("_size") >= 2 * least).select("group", "cell"), ["group"], 2, 0.5, seed)
+    shared = least_overlap(two.where(F.col("_size") < 2 * least).select("group", "cell"), ["group"], 2, share, seed)
+    drawn = halves.unionByName(shared).select("group", F.concat(F.lit("half"), "draw").alias("replicate"), "cell")
+    out = out.where(F.col("_all") >= 2).select("group", "replicate", "cell").unionByName(drawn)
     pick = Window.partitionBy("group", "replicate").orderBy(F.xxhash64(F.col("cell"), F.lit(seed)), "cell")
     return out.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= most).select("group", "replicate", "cell")
 
 
+def peak_summary(called: DataFrame, by: list[str]) -> DataFrame:
+    """Number and share of called peaks by type: ``called`` (by, peak_type)."""
+    out = called.groupBy(*by, "peak_type").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))  # one row a type
+
+
+def cell_tracks(fragments: DataFrame, cells: DataFrame, chrom: str, start: int, end: int, tile: int = 100) -> DataFrame:
+    """(cell, group, tile, value): tiles of a region that single cells touch, for tracks with a line a cell; ``cells`` (cell, group)."""
+    inside = fragments.where((F.col("chr") == chrom) & (F.col("end_pos") >= start) & (F.col("start_pos") <= end)).join(cells.select("cell", "group"), "cell")
+    points = inside.select("cell", "group", F.explode(F.array("start_pos", "end_pos")).alias("pos")).where(F.col("pos").between(start, end))
+    return points.groupBy("cell", "group", F.floor((F.col("pos") - start) / tile).alias("tile")).agg(F.count(F.lit(1)).alias("value"))
+
+
 def cap_fragments(groups: DataFrame, depth: DataFrame, most: int) -> DataFrame:
     """Cells of each group in order of ascending depth while the sum of fragments stays within ``most``."""
     run = Window.partitionBy("group").orderBy("n_frags", "cell").rowsBetween(Window.unboundedPreceding, 0)

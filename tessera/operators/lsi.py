@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -152,3 +153,83 @@ def iterative_lsi(matrix: DataFrame, cluster, iterations: int = 2, n_features: i
             features = variable_features(matrix, cluster(scores), n_features).select("feature")
     return scores
 
+
+
+@dataclass
+class LSI:
+    """A fitted index: what later cells need to be projected, and the vectors of all cells."""
+
+    scores: DataFrame  # cell, v
+    loadings: DataFrame  # feature, v
+    df: DataFrame  # feature, df
+    n: int
+    singular: np.ndarray
+    depth_correlation: list[float]  # of each dimension with log10(depth + 1)
+    method: int
+    scale: float
+
+    def kept(self, cut_off: float | None = 0.75) -> list[int]:
+        """Dimensions whose correlation with depth stays within ``cut_off``."""
+        return [j for j, r in enumerate(self.depth_correlation) if cut_off is None or abs(r) <= cut_off]
+
+    def vectors(self, cut_off: float | None = 0.75, scaled: bool = False) -> DataFrame:
+        out = self.scores.withColumn("v", F.array(*[F.col("v")[j] for j in self.kept(cut_off)]))
+        return scale_dims(out) if scaled else out
+
+    def project(self, matrix: DataFrame) -> DataFrame:
+        """Scores of further cells, weighted by the frequencies of the fitted ones."""
+        return project(weigh(matrix, self.df, self.n, self.method, self.scale), self.loadings, len(self.singular))
+
+
+def depth_between(depth: DataFrame, quantiles: tuple[float, float]) -> DataFrame:
+    """Cells (cell, depth) whose depth lies between two quantiles of all, both included."""
+    low, high = depth.agg(F.percentile_approx("depth", [min(quantiles), max(quantiles)], 10_000)).first()[0] or (0, 0)
+    return depth.where(F.col("depth").between(low, high))
+
+
+def bounded_sample(cells: DataFrame, value: str, n: int, quantiles: tuple[float, float] | None = (0.02, 0.98), factor: float = 2.0, seed: int = 1) -> DataFrame:
+    """``n`` cells, by a seeded hash, of those within quantiles of ``value`` that are ``factor`` times as far out; of all, if those are fewer than ``n``."""
+    order = [F.xxhash64(F.col("cell"), F.lit(seed)), F.col("cell")]
+    if quantiles is None:
+        return cells.orderBy(*order).limit(n)
+    ends = [min(quantiles) / factor, 1 - (1 - max(quantiles)) / factor]
+    low, high = cells.agg(F.percentile_approx(value, ends, 10_000)).first()[0] or (0, 0)
+    inside = cells.where(F.col(value).between(low, high))
+    return (inside if inside.limit(n).count() >= n else cells).orderBy(*order).limit(n)
+
+
+def fit_lsi(matrix: DataFrame, k: int = 30, method: int = 2, scale: float = 1e4, outliers: tuple[float, float] | None = (0.02, 0.98), sample_cells: int | None = None, seed: int = 1) -> LSI:
+    """LSI fitted on the cells of common depth (and on ``sample_cells`` of them, a parameter); all cells are then projected.
+
+    Depth is the number of features a cell has.  On the fitted cells the projection equals the decomposition.
+    """
+    matrix = materialise(matrix.where(F.col("value") != 0), "matrix")
+    depth = materialise(matrix.groupBy("cell").agg(F.countDistinct("feature").alias("depth")), "depth")
+    fitted = depth if outliers is None else depth_between(depth, outliers)
+    if sample_cells is not None:
+        fitted = bounded_sample(fitted, "depth", sample_cells, None, seed=seed)
+    mine = materialise(matrix.join(fitted.select("cell"), "cell", "left_semi"), "fitted")
+    df, n = fit_idf(mine)
+    df = materialise(df, "df")
+    d, _, loadings = svd(weigh(mine, df, n, method, scale), k, seed=seed)
+    scores = materialise(project(weigh(matrix, df, n, method, scale), loadings, len(d)), "scores")
+    logs = scores.join(depth, "cell").withColumn("depth", F.log10(F.col("depth") + 1.0))
+    r = {x["dim"]: x["correlation"] for x in dim_correlations(logs, "v", "depth", len(d)).collect()}  # one row a dimension
+    return LSI(scores, loadings, df, n, d, [r.get(j) or 0.0 for j in range(len(d))], method, scale)
+
+
+def iterative_lsi_model(
+    matrix: DataFrame, cluster, iterations: int = 2, n_features: int = 25_000, k: int = 30, method: int = 2, cut_off: float | None = 0.75, scaled: bool = True,
+    outliers: tuple[float, float] | None = (0.02, 0.98), sample_before: int | None = None, sample_last: int | None = None,
+) -> LSI:
+    """LSI on the commonest features, then again on those most variable between ``cluster(vectors)`` (cell, group), which sees only dimensions that don't follow depth."""
+    totals = matrix.groupBy("feature").agg(F.sum("value").alias("total"))
+    skip = int(0.005 * totals.count())
+    features = totals.orderBy(F.col("total").desc(), "feature").offset(skip).limit(n_features).select("feature")
+    for i in range(iterations):
+        last = i + 1 == iterations
+        chosen = materialise(features, "features")
+        model = fit_lsi(matrix.join(chosen, "feature", "left_semi"), k, method, outliers=outliers, sample_cells=sample_last if last else sample_before)
+        if not last:
+            features = variable_features(matrix, cluster(model.vectors(cut_off, scaled)), n_features).select("feature")
+    return model

@@ -5,9 +5,12 @@ Absent entries are zeros and count in every mean, variance and rank.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.stats import quantiles
 from tessera.operators.intervals import overlap_pairs, point_join
 
 
@@ -136,7 +139,11 @@ def group_means(matrix: DataFrame, row: list[str], groups: DataFrame) -> DataFra
 
 
 def group_summary(cells: DataFrame, group: str, value: str, how: str = "median") -> DataFrame:
-    f = {"median": lambda c: F.percentile(c, F.lit(0.5)), "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[how]
+    if how == "median":
+        middle = quantiles(cells, value, {value: 0.5}, [group]).withColumnRenamed(group, "_of")
+        n = cells.groupBy(group).agg(F.count(F.lit(1)).alias("n_cells"))
+        return n.join(middle, F.col(group).eqNullSafe(F.col("_of")), "left").select(group, value, "n_cells")
+    f = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[how]
     return cells.groupBy(group).agg(f(value).alias(value), F.count(F.lit(1)).alias("n_cells"))
 
 
@@ -161,12 +168,17 @@ def tabulate2d(df: DataFrame, x: str, y: str, x_range: tuple[int, int], y_range:
 
 
 def coordinates(blocks: DataFrame, keep: list[str] | None = None, indptr: str = "indptr", indices: str = "indices", data: str = "data") -> DataFrame:
-    """Matrices in compressed columns (a block of arrays per row) as (keep, row, column, value)."""
+    """Matrices in compressed columns (a block of arrays per row) as (keep, row, column, value).
+
+    A column's entries are cut out of the arrays while columns are told apart, so that each entry is copied once and no array is repeated.
+    """
     keep = keep or []
-    spans = blocks.select(*keep, F.posexplode(F.slice(F.col(indptr), F.lit(1), F.size(indptr) - 1)).alias("column", "_from"), indptr, indices, data)
-    spans = spans.withColumn("_to", F.element_at(indptr, F.col("column") + 2)).where(F.col("_to") > F.col("_from"))
-    at = spans.select(*keep, "column", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("_k"), indices, data)
-    return at.select(*keep, F.get(indices, F.col("_k")).alias("row"), "column", F.get(data, F.col("_k")).alias("value"))
+    column = F.sequence(F.lit(0), F.size(indptr) - 2)
+    at = lambda c: F.element_at(F.col(indptr), c + 1)
+    entries = lambda c: F.arrays_zip(F.slice(indices, at(c) + 1, at(c + 1) - at(c)).alias("row"), F.slice(data, at(c) + 1, at(c + 1) - at(c)).alias("value"))
+    cut = F.transform(column, lambda c: F.struct(c.alias("column"), entries(c).alias("entries")))
+    columns = blocks.where(F.size(indptr) > 1).select(*keep, F.explode(cut).alias("_c"))
+    return columns.select(*keep, "_c.column", F.explode("_c.entries").alias("_e")).select(*keep, F.col("_e")["row"].alias("row"), "column", F.col("_e")["value"].alias("value"))
 
 
 def merge_matrices(parts: DataFrame, n_parts: int, strict: bool = True) -> DataFrame:
@@ -191,12 +203,34 @@ def top_features(totals: DataFrame, feature: str, total: str, n: int, skip_share
 
 
 def stratified_sample(cells: DataFrame, stratum: str, cell: str, n: int, seed: int = 1) -> DataFrame:
-    """About ``n`` cells, each stratum in proportion to its size and at least one; the order is a seeded hash."""
+    """About ``n`` cells, each stratum in proportion to its size and at least one; the order is a seeded hash.
+
+    The hash tells beforehand about which cells will be among the quota; only twice as many (and a few more) are ranked, so a large stratum is no single sort.
+    """
     sizes = cells.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"))
-    quota = sizes.crossJoin(F.broadcast(total)).withColumn("_quota", F.ceil(F.col("_n") * n / F.col("_all"))).select(stratum, "_quota")
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(cell), F.lit(seed)), cell)
-    return cells.withColumn("_r", F.row_number().over(order)).join(quota, stratum).where(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
+    quota = sizes.crossJoin(F.broadcast(total)).withColumn("_quota", F.ceil(F.col("_n") * n / F.col("_all"))).select(stratum, "_quota", "_n")  # one row
+    h = F.xxhash64(F.col(cell), F.lit(seed))
+    share = (F.shiftrightunsigned(h, 1).cast("double")) / float(1 << 63)  # even between 0 and 1, whatever the sign
+    rows = cells.join(quota, stratum).withColumn("_h", F.shiftrightunsigned(h, 1)).where(share < (2 * F.col("_quota") + 50) / F.col("_n"))
+    order = Window.partitionBy(stratum).orderBy("_h", cell)
+    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_quota")).select(*cells.columns)
+
+
+def scale_rows(matrix: DataFrame, row: list[str], n_columns: int, out: str = "scaled") -> DataFrame:
+    """Values divided by the root mean square of their row, ``sqrt(sum of squares / (n - 1))``, absent entries being zeros, which stay absent."""
+    x = F.col("value").cast("double")
+    norm = matrix.groupBy(*row).agg(F.sqrt(F.sum(x * x) / (n_columns - 1)).alias("_rms"))
+    return matrix.join(norm, row).withColumn(out, x / F.nullif(F.col("_rms"), F.lit(0.0))).drop("_rms")
+
+
+def row_logs(matrix: DataFrame, row: list[str], n_columns: int) -> DataFrame:
+    """Mean and variance of log2(value + 1) of each row, and the geometric mean, variance and dispersion that follow, zeros included."""
+    m = row_moments(matrix, row, n_columns, F.log2(F.col("value") + 1.0))
+    ln2 = math.log(2)
+    spread = F.col("variance") * ln2 * ln2
+    out = m.withColumn("geometric_mean", F.pow(F.lit(2.0), F.col("mean")) - 1).withColumn("geometric_sd", F.exp(F.sqrt(F.greatest(F.lit(0.0), spread))))
+    return out.withColumn("geometric_dispersion", F.sqrt(F.exp(F.greatest(F.lit(0.0), spread)) - 1))
 
 
 def pad(matrix: DataFrame, rows: DataFrame, row: str, column: str) -> DataFrame:

@@ -6,13 +6,14 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import rank_quantile, rolling_mean
 from tessera.operators.graph import exact_neighbours
 from tessera.operators.intervals import point_join
+from tessera.session import materialise
 
 
 def all_kmers(k: int) -> list[str]:
@@ -50,17 +51,37 @@ def gc_content(column: str = "seq") -> tuple[Column, Column]:
     return (F.length(F.regexp_replace(column, "[^GC]", "")) / n).alias("gc"), (F.length(F.regexp_replace(column, "[^N]", "")) / n).alias("n_share")
 
 
-def scan_motifs(sequences: DataFrame, key: str, motifs: dict[str, np.ndarray], cut_off: float, seq: str = "seq") -> DataFrame:
-    """(key, motif, position, strand, score) of places where a log-odds matrix (letters x width) scores at least ``cut_off``."""
+def score_cut_off(motif: np.ndarray, p: float, letters: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25), step: float = 0.001) -> float:
+    """The least score that random letters reach with a chance of at most ``p``: the distribution of the sum over positions, on a grid of ``step``."""
+    grid = np.round(np.asarray(motif, float) / step).astype(np.int64)
+    low = grid.min(0)
+    chance = np.ones(1)
+    for j in range(grid.shape[1]):
+        shift = grid[:, j] - low[j]
+        new = np.zeros(len(chance) + shift.max())
+        for s, q in zip(shift, letters):
+            new[s : s + len(chance)] += q * chance
+        chance = new
+    tail = np.cumsum(chance[::-1])[::-1]
+    reached = np.flatnonzero(tail <= p)
+    return float((reached[0] if len(reached) else len(chance)) + low.sum()) * step
+
+
+def scan_motifs(sequences: DataFrame, key: str, motifs: dict[str, np.ndarray], cut_off: float | None = None, seq: str = "seq", p: float | None = None, letters: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25)) -> DataFrame:
+    """(key, motif, position, strand, score) of places where a log-odds matrix (letters x width) scores at least ``cut_off``.
+
+    With ``p`` in its place, each motif's cut-off is the score that random letters reach with that chance.
+    """
     kind = sequences.schema[key].dataType.simpleString()
     turned = {m: np.asarray(w, float)[::-1, ::-1] for m, w in motifs.items()}  # complement of A C G T is its reversal
+    least = {m: cut_off if p is None else score_cut_off(w, p, letters) - 1e-3 * np.asarray(w).shape[1] / 2 for m, w in motifs.items()}  # less what the grid may round
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = np.full(256, 4)
         code[[65, 67, 71, 84]] = range(4)
         for batch in batches:
-            rows = []
-            for name, text in zip(batch[key], batch[seq]):
+            rows, names, places, strands, scores = [], [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 x = code[np.frombuffer((text or "").encode("latin-1", "replace"), np.uint8)]
                 for motif, w in motifs.items():
                     for strand, m in (("+", np.asarray(w, float)), ("-", turned[motif])):
@@ -69,10 +90,24 @@ def scan_motifs(sequences: DataFrame, key: str, motifs: dict[str, np.ndarray], c
                             continue
                         padded = np.vstack([m, np.full(width, -1e9)])
                         score = sum(padded[x[j : len(x) - width + 1 + j], j] for j in range(width))
-                        rows += [(name, motif, int(p) + 1, strand, float(score[p])) for p in np.flatnonzero(score >= cut_off)]
-            yield pd.DataFrame(rows, columns=[key, "motif", "position", "strand", "score"])
+                        at = np.flatnonzero(score >= least[motif])
+                        rows.append(np.full(len(at), i))
+                        names += [motif] * len(at)
+                        strands += [strand] * len(at)
+                        places.append(at + 1)
+                        scores.append(score[at])
+            flat = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.zeros(0, t)
+            columns = [batch.column(0).take(pa.array(flat(rows, np.int64))), pa.array(names, pa.string()), pa.array(flat(places, np.int64)), pa.array(strands, pa.string()), pa.array(flat(scores, np.float64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "motif", "position", "strand", "score"])
+
+    return sequences.select(key, seq).mapInArrow(run, f"`{key}` {kind}, motif string, position long, strand string, score double")
+
 
-    return sequences.select(key, seq).mapInPandas(run, f"`{key}` {kind}, motif string, position long, strand string, score double")
+def normalise_footprint(profile: DataFrame, bias: DataFrame, by: str, how: str = "subtract", value: str = "value") -> DataFrame:
+    """Profile (by, offset, value) less, or divided by, the expected one (by, offset, expected); where nothing is expected, null."""
+    joined = profile.join(bias.select(by, "offset", "expected"), [by, "offset"], "left")
+    new = {"subtract": F.col(value) - F.col("expected"), "divide": F.col(value) / F.nullif(F.col("expected"), F.lit(0.0)), "none": F.col(value)}[how]
+    return joined.withColumn("normalised", new).drop("expected")
 
 
 def footprint(points: DataFrame, centers: DataFrame, by: str, flank: int = 250, norm: int = 50, smooth: int = 5) -> DataFrame:
@@ -106,27 +141,38 @@ def deviations(counts: DataFrame, annotation: DataFrame, background: DataFrame,
     """(motif, cell, deviation, z): accessibility of a motif's peaks against expectation, less that of background peaks.
 
     ``counts`` (key, cell, value), ``annotation`` (motif, key), ``background`` (key, iteration, background).
-    Null where nothing is expected.
+    Null where nothing is expected.  Of the background only the entries that are there are joined: with observed o and expected e
+    in an iteration, the deviation is o / e - 1, so its sum and sum of squares over the iterations
+    follow from those of o / e, to which absent entries add nothing.
     """
     of_cell = counts.groupBy("cell").agg(F.sum("value").alias("_c"))
     of_peak = counts.groupBy(key).agg(F.sum("value").alias("_p"))
-    total = counts.agg(F.sum("value").alias("_t"))
+    total = counts.agg(F.sum("value").cast("double").alias("_t"))
 
-    def raw(sets: DataFrame, by: list[str]) -> DataFrame:
-        share = sets.join(of_peak, key).groupBy(*by).agg(F.sum("_p").alias("_s")).crossJoin(F.broadcast(total)).select(*by, (F.col("_s") / F.col("_t")).alias("_share"))
-        observed = counts.join(sets, key).groupBy(*by, "cell").agg(F.sum("value").alias("_o"))
-        grid = share.crossJoin(of_cell)  # the result has a row for every motif and cell
-        full = grid.join(observed, [*by, "cell"], "left")
-        expected = F.nullif(F.col("_c") * F.col("_share"), F.lit(0.0))
-        return full.select(*by, "cell", ((F.coalesce("_o", F.lit(0)) - expected) / expected).alias("_dev"))
+    def shares(sets: DataFrame, by: list[str]) -> DataFrame:
+        """What part of all counts lies in each set; one row a set."""
+        sums = sets.join(of_peak, key).groupBy(*by).agg(F.sum(F.col("_p") * F.col("_m")).alias("_s"))
+        return sums.crossJoin(F.broadcast(total)).select(*by, (F.col("_s") / F.col("_t")).alias("_share"))  # one row
 
     sets = annotation.select(group, key).distinct()
-    own = raw(sets, [group])
-    drawn = sets.join(background, key).groupBy(group, "iteration", F.col("background").alias(key)).agg(F.count(F.lit(1)).alias("_m"))
-    drawn = drawn.select(group, "iteration", F.explode(F.array_repeat(F.col(key), F.col("_m").cast("int"))).alias(key))  # a peak may be drawn twice
-    around = raw(drawn, [group, "iteration"]).groupBy(group, "cell").agg(F.avg("_dev").alias("_mean"), F.stddev_samp("_dev").alias("_sd"))
-    out = own.join(around, [group, "cell"])
-    return out.select(group, "cell", (F.col("_dev") - F.col("_mean")).alias("deviation"), ((F.col("_dev") - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).alias("z"))
+    own_sets = sets.withColumn("_m", F.lit(1).cast("long"))
+    drawn = sets.join(background, key).groupBy(group, "iteration", F.col("background").alias(key)).agg(F.count(F.lit(1)).alias("_m"))  # a peak may be drawn twice
+    drawn = materialise(drawn, "drawn")
+    observed = counts.join(drawn, key).groupBy(group, "iteration", "cell").agg(F.sum(F.col("value") * F.col("_m")).alias("_o"))
+    share = shares(drawn, [group, "iteration"]).where(F.col("_share") > 0)
+    rounds = share.groupBy(group).agg(F.count(F.lit(1)).alias("_k"))
+    ratio = F.col("_o") / F.col("_share")
+    sums = observed.join(share, [group, "iteration"]).groupBy(group, "cell").agg(F.sum(ratio).alias("_r"), F.sum(ratio * ratio).alias("_rr"))
+    mine = counts.join(own_sets, key).groupBy(group, "cell").agg(F.sum("value").alias("_o"))
+    grid = shares(own_sets, [group]).join(rounds, group, "left").crossJoin(of_cell)  # the result has a row for every motif and cell
+    full = grid.join(mine, [group, "cell"], "left").join(sums, [group, "cell"], "left")
+    c, k = F.nullif(F.col("_c").cast("double"), F.lit(0.0)), F.col("_k")
+    own = F.coalesce("_o", F.lit(0)) / (c * F.nullif(F.col("_share"), F.lit(0.0))) - 1
+    mean_ratio = F.coalesce("_r", F.lit(0.0)) / c / k
+    variance = (F.coalesce("_rr", F.lit(0.0)) / (c * c) - k * mean_ratio * mean_ratio) / F.nullif(k - 1, F.lit(0))
+    deviation = own - (mean_ratio - 1)
+    sd = F.sqrt(F.when(variance > 1e-12 * mean_ratio * mean_ratio, variance))  # null where all iterations agree
+    return full.select(group, "cell", deviation.alias("deviation"), (deviation / sd).alias("z"))
 
 
 def variable_deviations(z: DataFrame, group: str = "motif") -> DataFrame:

@@ -101,30 +101,30 @@ def scale_dims(spark: SparkSession, root: str) -> DataFrame:
 
 
 @R.query("""WITH u AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
-SELECT CAST(dim AS INTEGER) AS dim, round(corr(x, vec_id), 6) AS correlation FROM u WHERE dim < 10 GROUP BY dim""")
+SELECT CAST(dim AS INTEGER) AS dim, round(corr(x, vec_id), 6) AS correlation FROM u GROUP BY dim""")
 def depth_correlation(spark: SparkSession, root: str) -> DataFrame:
-    """Correlation of the first dimensions with a depth."""
-    return lsi.dim_correlations(table(spark, root, "embeddings"), "embedding", "vec_id", 10).withColumn("correlation", F.round("correlation", 6))
+    """Correlation of all dimensions with a depth."""
+    return lsi.dim_correlations(table(spark, root, "embeddings"), "embedding", "vec_id", 64).withColumn("correlation", F.round("correlation", 6))
 
 
 @R.query("""WITH u AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
-v AS (SELECT CASE WHEN k <= 8 THEN 1 ELSE 2 END AS part, k, var_samp(x) AS v FROM u WHERE k <= 20 GROUP BY k), s AS (SELECT part, sqrt(sum(v)) AS s FROM v GROUP BY part)
-SELECT vec_id, k, round(x * CASE WHEN k <= 8 THEN 1.0 ELSE 0.5 END / s, 6) AS x FROM u JOIN s ON s.part = CASE WHEN k <= 8 THEN 1 ELSE 2 END WHERE k <= 20""")
+v AS (SELECT CASE WHEN k <= 8 THEN 1 ELSE 2 END AS part, k, var_samp(x) AS v FROM u GROUP BY k), s AS (SELECT part, sqrt(sum(v)) AS s FROM v GROUP BY part)
+SELECT vec_id, k, round(x * CASE WHEN k <= 8 THEN 1.0 ELSE 0.5 END / s, 6) AS x FROM u JOIN s ON s.part = CASE WHEN k <= 8 THEN 1 ELSE 2 END""")
 def combined_dims(spark: SparkSession, root: str) -> DataFrame:
     """Two sets of dimensions, balanced by their variance and joined."""
     e = table(spark, root, "embeddings")
-    out = lsi.combine_dims(e.select("vec_id", F.slice("embedding", 1, 8).alias("v")), e.select("vec_id", F.slice("embedding", 9, 12).alias("v")), "vec_id", (8, 12), (1.0, 0.5))
+    out = lsi.combine_dims(e.select("vec_id", F.slice("embedding", 1, 8).alias("v")), e.select("vec_id", F.slice("embedding", 9, 56).alias("v")), "vec_id", (8, 56), (1.0, 0.5))
     return out.select("vec_id", F.posexplode("v").alias("k", "x")).select("vec_id", (F.col("k") + 1).cast("long").alias("k"), F.round("x", 6).alias("x"))
 
 
 _KNN = """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
-d AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_distance(a.v, b.v) AS distance, b.label FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 5 = 0),
+d AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_distance(a.v, b.v) AS distance, b.label FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS rnk FROM d)"""
 
 
 def _knn(spark: SparkSession, root: str, k: int = 10) -> DataFrame:
     e = table(spark, root, "embeddings")
-    return N.exact_neighbours(e, e.where(F.col("vec_id") % 5 == 0), "vec_id", "embedding", k)
+    return N.exact_neighbours(e, e.where(F.col("vec_id") % 20 == 0), "vec_id", "embedding", k)
 
 
 @R.query(_KNN + "SELECT query, neighbour, CAST(rnk AS INTEGER) AS rnk, round(distance, 6) AS distance FROM k WHERE rnk <= 10")
@@ -140,9 +140,8 @@ def knn_vote(spark: SparkSession, root: str) -> DataFrame:
     return N.vote(_knn(spark, root), table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), "label"))
 
 
-@R.query(_KNN.replace(" WHERE a.vec_id % 5 = 0", "") + """, s AS (SELECT query AS a, neighbour AS m FROM k WHERE rnk <= 10 UNION SELECT DISTINCT query, query FROM k),
-l AS (SELECT DISTINCT least(query, neighbour) AS a, greatest(query, neighbour) AS b FROM k WHERE rnk <= 10),
-c AS (SELECT l.a, l.b, count(*) AS c FROM l JOIN s x ON x.a = l.a JOIN s y ON y.a = l.b AND y.m = x.m GROUP BY ALL)
+@R.query(_KNN.replace(" WHERE a.vec_id % 20 = 0", "") + """, s AS (SELECT query AS a, neighbour AS m FROM k WHERE rnk <= 10 UNION SELECT DISTINCT query, query FROM k),
+c AS (SELECT x.a, y.a AS b, count(*) AS c FROM s x JOIN s y ON y.m = x.m AND x.a < y.a GROUP BY ALL)
 SELECT a, b, round(c / (22.0 - c), 9) AS weight FROM c WHERE c / (22.0 - c) > 1.0 / 15""")
 def shared_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """Jaccard index of the neighbourhoods of vectors that share a neighbour."""
@@ -268,7 +267,8 @@ def _peak_groups(spark: SparkSession, root: str) -> DataFrame:
    JOIN peaks p ON i.chr = p.chr AND i.pos BETWEEN p.start_pos AND p.end_pos GROUP BY ALL),
 t AS (SELECT g, sum(v) AS t FROM m GROUP BY g), l AS (SELECT f, g, log2(v * 10000.0 / t + 1) AS x FROM m JOIN t USING (g)), s AS (SELECT f, sum(x) AS s, sum(x * x) AS q FROM l GROUP BY f),
 c AS (SELECT peak_id, chr, CAST(floor((start_pos + end_pos) / 2) AS BIGINT) AS c FROM peaks),
-p AS (SELECT a.peak_id AS id1, b.peak_id AS id2 FROM c a JOIN c b ON a.chr = b.chr AND a.peak_id < b.peak_id AND abs(a.c - b.c) <= 3000),
+w AS (SELECT peak_id, chr, c, unnest([c // 3000 - 1, c // 3000, c // 3000 + 1]) AS bin FROM c),
+p AS (SELECT a.peak_id AS id1, b.peak_id AS id2 FROM c a JOIN w b ON a.chr = b.chr AND a.c // 3000 = b.bin AND a.peak_id < b.peak_id AND abs(a.c - b.c) <= 3000),
 x AS (SELECT id1, id2, sum(a.x * b.x) AS c FROM p JOIN l a ON a.f = id1 JOIN l b ON b.f = id2 AND b.g = a.g GROUP BY ALL)
 SELECT id1, id2, round((coalesce(c, 0) - a.s * b.s / 20.0) / nullif(sqrt(greatest(0, a.q - a.s * a.s / 20.0) * greatest(0, b.q - b.s * b.s / 20.0)), 0), 5) + 0.0 AS correlation
 FROM p JOIN s a ON a.f = id1 JOIN s b ON b.f = id2 LEFT JOIN x USING (id1, id2)"""))
@@ -297,12 +297,11 @@ def null_correlations(spark: SparkSession, root: str) -> DataFrame:
     return L.pair_correlation(pairs, L.log_counts(_peak_groups(spark, root)), gene_logs, 20)
 
 
-@R.query("""WITH a AS (SELECT DISTINCT feature_name AS f FROM featuredf WHERE feature_name LIKE 'gene%'), b AS (SELECT DISTINCT 'x:' || upper(regexp_replace(feature_name, '_', '') || '_v1') AS f FROM featuredf WHERE feature_name LIKE 'peak%'),
-n AS (SELECT f AS id1, lower(regexp_replace(regexp_replace(f, '^.*:', ''), '_.*$', '')) AS m FROM a), k AS (SELECT m, count(*) AS n FROM n GROUP BY m)
-SELECT m AS match_name, n FROM k""")
+@R.query("""WITH a AS (SELECT DISTINCT feature_name AS f FROM featuredf WHERE feature_name IS NOT NULL)
+SELECT lower(regexp_replace(regexp_replace(f, '^.*:', ''), '_.*$', '')) AS match_name, count(*) AS n FROM a GROUP BY match_name""")
 def name_match(spark: SparkSession, root: str) -> DataFrame:
     """Features per cleaned name, by a join of a table with itself on that name."""
-    names = table(spark, root, "featuredf").select(F.col("feature_name").alias("f")).where(F.col("f").startswith("gene")).distinct()
+    names = table(spark, root, "featuredf").select(F.col("feature_name").alias("f")).where(F.col("f").isNotNull()).distinct()
     cleaned = names.select("f", F.lower(F.regexp_replace(F.regexp_replace("f", "^.*:", ""), "_.*$", "")).alias("key")).groupBy("key").agg(F.min("f").alias("one"))
     pairs = L.match_names(names, cleaned, "f", "one")
     return pairs.groupBy("match_name").agg(F.countDistinct("id1").alias("n"))
@@ -330,7 +329,7 @@ def trajectory_matrix(spark: SparkSession, root: str) -> DataFrame:
 
 @R.query(sql_with("sequences", """
 , p AS (SELECT doc_id, seq, unnest(range(1, length(seq) - 2)) AS position FROM sequences WHERE length(seq) >= 4)
-SELECT substr(seq, position, 4) AS kmer, position, count(*) AS n FROM p WHERE position <= 200 GROUP BY ALL"""))
+SELECT substr(seq, position, 4) AS kmer, position, count(*) AS n FROM p GROUP BY ALL"""))
 def kmer_position(spark: SparkSession, root: str) -> DataFrame:
     """k-mers of four by position in the letters of documents."""
     return X.kmer_counts(A.sequences(spark, root), "doc_id", 4)
@@ -347,7 +346,7 @@ def kmer_bias(spark: SparkSession, root: str) -> DataFrame:
     return X.kmer_bias(count(k.where(F.col("position") <= 50)), count(k)).withColumn("bias", F.round("bias", 6))
 
 
-@R.query(sql_with("sequences", "SELECT doc_id, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / CAST(nullif(length(seq), 0) AS DOUBLE), 9) AS gc, reverse(translate(substr(seq, 1, 8), 'ACGT', 'TGCA')) AS rc FROM sequences"))
+@R.query(sql_with("sequences", "SELECT doc_id, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / CAST(nullif(length(seq), 0) AS DOUBLE), 9) AS gc, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM sequences"))
 def gc_content(spark: SparkSession, root: str) -> DataFrame:
     """Share of G and C, and the reverse complement."""
     s = A.sequences(spark, root)
@@ -367,7 +366,7 @@ def _centers(spark: SparkSession, root: str) -> DataFrame:
 
 
 @R.query(sql_with("fragments insertions peaks", """
-, c AS (SELECT chr, CAST(floor((start_pos + end_pos) / 2) AS BIGINT) AS c, CASE WHEN peak_id % 2 = 0 THEN 1 ELSE -1 END AS s FROM peaks WHERE peak_id % 5 = 0),
+, c AS (SELECT chr, CAST(floor((start_pos + end_pos) / 2) AS BIGINT) AS c, CASE WHEN peak_id % 2 = 0 THEN 1 ELSE -1 END AS s FROM peaks),
 h AS (SELECT sample, (i.pos - c.c) * s AS "offset", count(*) AS n FROM insertions i JOIN c ON i.chr = c.chr AND i.pos BETWEEN c.c - 250 AND c.c + 250 GROUP BY ALL)
 SELECT sample, "offset", n, round(n / nullif(sum(CASE WHEN abs("offset") > 200 THEN n END) OVER (PARTITION BY sample) / 100.0, 0), 6) AS value FROM h"""))
 def footprint(spark: SparkSession, root: str) -> DataFrame:

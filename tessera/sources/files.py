@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,6 +128,32 @@ def write_matrix_tables(matrix: DataFrame, peaks: DataFrame, cells: DataFrame, p
 
 
 def reformat_fragments(fragments: DataFrame) -> DataFrame:
-    """Rows of standard chromosomes with whole coordinates, in order, and barcodes without blanks and hashes."""
+    """Rows of standard chromosomes with whole coordinates, and barcodes without blanks and hashes; :func:`write_fragments` writes them in order."""
     ok = fragments.where(F.col("chr").startswith("chr") & F.col("start_pos").isNotNull() & F.col("end_pos").isNotNull())
-    return ok.withColumn("barcode", F.regexp_replace("barcode", " |#", ".")).orderBy("chr", "start_pos", "end_pos")
+    return ok.withColumn("barcode", F.regexp_replace("barcode", " |#", "."))
+
+
+def read_gtf(spark: SparkSession, path: str | list[str], feature_names: tuple[str, ...] = ("gene", "exon")) -> DataFrame:
+    """Features of a gene annotation in GTF: feature, chr, start_pos, end_pos, strand, gene, symbol. Lines that are no features, or lack coordinates, are left out."""
+    names = ("chr", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
+    schema = T.StructType([T.StructField(n, T.LongType() if n in ("start", "end") else T.StringType()) for n in names])
+    rows = spark.read.csv(path, sep="\t", schema=schema, comment="#", quote="", mode="PERMISSIVE").where(F.col("feature").isin(*feature_names)).dropna(subset=["chr", "start", "end"])
+    of = lambda name: F.nullif(F.regexp_extract("attributes", rf'(?:^|[;\s]){name} "?([^";]*)"?', 1), F.lit(""))
+    return rows.select("feature", "chr", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "strand", of("gene_id").alias("gene"), F.coalesce(of("gene_name"), of("gene_id")).alias("symbol"))
+
+
+def gene_annotation(gtf: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Genes (one row a gene and chromosome, its whole extent, with a number by position), exons and distinct gene starts of a read GTF."""
+    of_gene = gtf.where(F.col("gene").isNotNull()).groupBy("chr", "gene").agg(
+        F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.min("strand").alias("strand"), F.min("symbol").alias("symbol")
+    )
+    genes = of_gene.withColumn("gene_id", F.row_number().over(Window.orderBy("chr", "start_pos", "end_pos", "gene")).cast("long"))  # one row a gene
+    exons = gtf.where(F.col("feature") == "exon").select("chr", "start_pos", "end_pos", "strand", "gene").distinct()
+    starts = genes.select("chr", F.when(F.col("strand") == "-", F.col("end_pos")).otherwise(F.col("start_pos")).alias("pos"), "strand").distinct()
+    return genes, exons, starts
+
+
+def write_fragments(fragments: DataFrame, path: str) -> None:
+    """Fragments as gzipped BED-like text (start from 0), in order of position over the files and within them."""
+    rows = fragments.select("chr", (F.col("start_pos") - 1).alias("start"), F.col("end_pos").alias("end"), "barcode")
+    rows.repartitionByRange("chr", "start", "end").sortWithinPartitions("chr", "start", "end", "barcode").write.mode("overwrite").csv(path, sep="\t", compression="gzip")

@@ -222,7 +222,22 @@ def test_pseudobulk_replicates(spark):
     cells = spark.createDataFrame([(f"{g}{s}{k}", g, f"s{s}") for g, n in (("A", (60, 50, 3, 4)), ("B", (5, 6))) for s, m in enumerate(n) for k in range(m)], "cell string, cluster string, sample string")
     got = groups.pseudobulk(cells, "cluster", "sample", least=20, most=40).groupBy("group", "replicate").count().collect()
     n = {(r["group"], r["replicate"]): r["count"] for r in got}
-    assert n["A", "s0"] == n["A", "s1"] == 40 and n["A", "pooled"] == 7 and n["B", "half1"] + n["B", "half2"] == 11
+    # B has too few cells for two halves of 20: two draws of four fifths, each cell in one at least
+    assert n["A", "s0"] == n["A", "s1"] == 40 and n["A", "pooled"] == 7 and n["B", "half1"] == n["B", "half2"] == 9
+    halves = groups.pseudobulk(cells, "cluster", "sample", least=5, most=40).where("`group` = 'A'").groupBy("replicate").count().collect()
+    assert len(halves) >= 2
+
+
+@pytest.mark.parametrize("n, draws, share", [(11, 2, 0.8), (10, 2, 0.5), (30, 3, 0.5)])
+def test_draws_overlap_as_little_as_they_can(spark, n, draws, share):
+    rows = spark.createDataFrame([(g, f"{g}{k}") for g in "ab" for k in range(n)], "group string, cell string")
+    got = {}
+    for r in groups.least_overlap(rows, ["group"], draws, share).collect():
+        got.setdefault((r["group"], r["draw"]), set()).add(r["cell"])
+    size = math.ceil(round(n * share, 6))
+    assert len(got) == 2 * draws and all(len(v) == size for v in got.values())
+    if draws == 2:
+        assert len(got["a", 1] & got["a", 2]) == max(0, 2 * size - n)
 
 
 def test_merging_clusters(spark):
