@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import materialise
+
 
 def distances2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Squared Euclidean distances of the rows of ``x`` to those of ``c``, both centred on ``c`` for precision."""
@@ -72,12 +74,24 @@ def sample(df: DataFrame, vector: str, most: int, rows: int, seed: int = 7) -> n
     return np.array(list(found), np.float32) if len(found) else np.zeros((0, 0), np.float32)
 
 
+#: Tables of at most so many rows, which are counted first, are broadcast.
+FEW = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has FEW rows or fewer."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def sound_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     """``key`` and ``v`` (array<float>), one row per key: vectors of ``dim`` finite numbers; others and null keys are left out.
 
-    Of several sound vectors of one key the first in the order of arrays is taken.
+    Of several sound vectors of one key the first in the order of arrays is taken.  Only rows of keys
+    that come more than once are shuffled with their vectors, as long as those keys are few.
     """
     v = F.col(vector).cast("array<float>")
     whole = F.col(key).isNotNull() & (F.size(vector) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.where(F.col(vector).isNotNull()).where(whole).select(key, v.alias("v"))
-    return rows.groupBy(key).agg(F.min("v").alias("v"))
+    twice = few(materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(key), "twice"))
+    first = rows.join(twice, key, "left_semi").groupBy(key).agg(F.min("v").alias("v"))
+    return rows.join(twice, key, "left_anti").select(key, "v").unionByName(first)

@@ -148,7 +148,7 @@ def _in_cells(vectors: DataFrame, n: int, dim: int) -> DataFrame:
             part = batch.column(1).to_numpy(zero_copy_only=False) % cut[near]
             ends = np.arange(len(x) + 1, dtype=np.int32) * (x.itemsize * x.shape[1])
             raw = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
-            yield pa.RecordBatch.from_arrays([pa.array((near.astype(np.int64) << 20) + part), batch.column(0), raw], names=["cell", "vid", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int64) * cut.max() + part), batch.column(0), raw], names=["cell", "vid", "v"])
 
     kind = vectors.schema["vid"].dataType.simpleString()
     return vectors.select("vid", F.pmod(F.xxhash64("v"), F.lit(1 << 30)).alias("h"), "v").mapInArrow(run, f"cell bigint, vid {kind}, v binary")
@@ -267,7 +267,7 @@ def markov_clusters(graph: DataFrame, inflation: float = INFLATION, prune: float
         for _ in range(2):  # rounds of one job
             left = new.select("i", F.col("j").alias("k"), F.col("x").alias("a"))
             right = new.select(F.col("i").alias("k"), "j", F.col("x").alias("b"))
-            square = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("x"))
+            square = left.join(right, "k").groupBy("i", "j").agg(F.sum((F.col("a") * F.col("b")).cast("float")).alias("x"))  # shorter numbers travel lighter
             inflated = square.withColumn("x", F.pow("x", F.lit(inflation))).withColumn("_most", F.max("x").over(column))
             new = _normalise(inflated.where(F.col("x") >= prune * F.col("_most")).drop("_most"))
         # What a column lacks to having equal entries only, taken while the round is written.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.centroids import distances2, fit, sample, sound_vectors
+from tessera.llm.centroids import distances2, few, fit, sample, sound_vectors
 from tessera.session import discard, materialise
 from tessera.sources.tables import table
 
@@ -30,8 +30,10 @@ LIST_ROWS, MOST_LISTS, SAMPLE, LIST_SAMPLE = 2000, 65_536, 50_000, 8
 POST, COPIES = 1.1, 4
 #: Queries that are answered exactly to find out how many lists must be read.
 TRIED = 512
+#: Lists that a query reads in any case: its nearest one may hold nothing but the query itself.
+LEAST_READ = 2
 #: Centroids that are looked at for every vector; where more are wanted, all are.
-LOOKED_AT = 32
+LOOKED_AT = 16
 #: Largest part of a list that one task compares with as many queries; longer lists are cut into such parts.
 BLOCK = 8192
 
@@ -39,8 +41,9 @@ BLOCK = 8192
 class CentroidGraph:
     """A graph over centroids, searched from a few entry points by following the closest ones."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = 16):
+    def __init__(self, centroids: np.ndarray, floor: float = 1e-9, degree: int = 16):
         self.c = np.ascontiguousarray(centroids, np.float32)
+        self.floor = floor  # no vector counts as nearer to a centroid than this, so that one that is itself a centroid reads more than its own list
         k = len(self.c)
         rng = np.random.default_rng(1)
         near = min(degree, k - 1)
@@ -97,10 +100,10 @@ def _flags(graph: CentroidGraph, x: np.ndarray, asks: np.ndarray, limits: tuple[
             d = np.sqrt(distances2(x, graph.c))
             ids = np.argsort(d, 1, kind="stable")[:, :probes]
             d = np.take_along_axis(d, ids, 1)
-        ratio = d / np.maximum(d[:, :1], 1e-9)
+        ratio = d / np.maximum(d[:, :1], graph.floor)
         ratio[:, 0] = 1
         rank = np.arange(ids.shape[1])[None]
-        return ids, ((ratio <= POST) & (rank < COPIES)) + 2 * ((ratio <= read) & (rank < probes) & asks[:, None])
+        return ids, ((ratio <= POST) & (rank < COPIES)) + 2 * (((ratio <= read) | (rank < LEAST_READ)) & (rank < probes) & asks[:, None])
 
     def reached(ids: np.ndarray, d: np.ndarray, first: np.ndarray) -> np.ndarray:
         # How far beyond the plane midway between both centroids the row lies; what is within the radius of it may lie on the other side.
@@ -123,12 +126,12 @@ def _flags(graph: CentroidGraph, x: np.ndarray, asks: np.ndarray, limits: tuple[
     return ids, flags
 
 
-def _posted(rows: DataFrame, centroids: np.ndarray, limits: tuple[int, float], radius: float | None) -> DataFrame:
+def _posted(rows: DataFrame, centroids: np.ndarray, floor: float, limits: tuple[int, float], radius: float | None) -> DataFrame:
     """Rows (vid, v, asks) as (list, flags, vid, v), v being the vector's bytes: flag 1, the list holds the vector; flag 2, it is asked for its neighbours."""
     shared = rows.sparkSession.sparkContext.broadcast(centroids)  # at most MOST_LISTS vectors, before splits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = CentroidGraph(shared.value)
+        graph = CentroidGraph(shared.value, floor)
         for whole in batches:
             for a in range(0, whole.num_rows, 2048):
                 batch = whole.slice(a, 2048)
@@ -171,26 +174,27 @@ def nearest_of_some(vectors: DataFrame, k: int, some: int = TRIED) -> tuple[np.n
     return q, found["q"].to_numpy(np.int64), np.array(list(found["v"]), np.float32)
 
 
-def read_limits(centroids: np.ndarray, q: np.ndarray, of: np.ndarray, near: np.ndarray, recall: float) -> tuple[int, float]:
+def read_limits(centroids: np.ndarray, floor: float, q: np.ndarray, of: np.ndarray, near: np.ndarray, recall: float) -> tuple[int, float]:
     """How many lists and to which distance ratio a query must read to find the share ``recall`` of its nearest vectors, at the least cost."""
-    graph = CentroidGraph(centroids)
+    graph = CentroidGraph(centroids, floor)
     d = np.sqrt(distances2(q, centroids))
     order = np.argsort(d, 1, kind="stable")
     rank_of = np.empty_like(order)
     np.put_along_axis(rank_of, order, np.arange(len(centroids))[None], 1)
-    ratio = d / np.maximum(d.min(1, keepdims=True), 1e-9)
+    ratio = d / np.maximum(d.min(1, keepdims=True), floor)
+    ratio[np.arange(len(q)), order[:, 0]] = 1
     ids, flags = _flags(graph, near, np.zeros(len(near), bool), (1, 1.0), None)
     rank = np.where(flags > 0, np.take_along_axis(rank_of[of], ids, 1), len(centroids))
     at = rank.argmin(1)
     rank, far = rank[np.arange(len(of)), at], ratio[of, ids[np.arange(len(of)), at]]
     best = None
-    probes = 1
+    probes = min(LEAST_READ, len(centroids))
     while best is None or probes < 2 * len(centroids):
         probes = min(probes, len(centroids))
         inside = rank < probes
         if inside.mean() >= recall:
             read = float(np.sort(np.where(inside, far, np.inf))[min(len(far) - 1, int(np.ceil(recall * len(far))) - 1)]) * 1.001
-            cost = float(((ratio <= read).sum(1).clip(1, probes)).mean())
+            cost = float(((ratio <= read).sum(1).clip(LEAST_READ, probes)).mean())
             if best is None or cost < best[0]:
                 best = (cost, probes, read)
         if probes == len(centroids):
@@ -264,10 +268,11 @@ def between_distinct(vectors: DataFrame, k: int, radius: float | None = None, re
     if not len(seen):
         return vectors.select("vid", F.col("vid").alias("nid"), F.lit(0.0).alias("d")).limit(0)
     centroids = fit(seen, lists, rounds=4, largest=3 / lists if lists > 1 else None)
-    limits = (1, 1.0)
+    some = seen[:: max(1, len(seen) // 4096)]
+    limits, floor = (1, 1.0), max(float(np.sqrt(np.median(distances2(some, centroids).min(1)))), 1e-9)  # the usual distance to the nearest
     if radius is None and len(centroids) > 1:
-        limits = read_limits(centroids, *nearest_of_some(vectors, k), recall) if recall < 1 else (len(centroids), float("inf"))
-    posted = materialise(_posted(vectors, centroids, limits, radius), "lists")
+        limits = read_limits(centroids, floor, *nearest_of_some(vectors, k), recall) if recall < 1 else (len(centroids), float("inf"))
+    posted = materialise(_posted(vectors, centroids, floor, limits, radius), "lists")
     # One row a list, so its number is bounded: into how many parts the list and its queries are cut.
     size = posted.groupBy("list").agg(F.sum((F.col("flags").bitwiseAND(1) > 0).cast("long")).alias("held"), F.sum((F.col("flags").bitwiseAND(2) > 0).cast("long")).alias("asked"))
     cut = size.select("list", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(f"{c}_parts") for c in ("held", "asked")])
@@ -295,15 +300,21 @@ def _prints(v: str) -> list[Column]:
 
 
 def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame]]:
-    """A table (vid, v, n) of the distinct vectors of the table ``rows`` (cell, v, ...), and a function that gives the vid of every row in place of its vector."""
+    """A table (vid, v, ...) of the distinct vectors of the table ``rows`` (cell, v, ...), and a function that gives the vid of every row in place of its vector."""
     rest = [c for c in rows.columns if c not in ("cell", "v")]
-    groups = materialise(rows.groupBy("v").agg(F.min("cell").alias("vid"), *[F.max(c).alias(c) for c in rest], F.count(F.lit(1)).alias("n")), "distinct")
+    same = ["_p1", "_p2"]
+    marked = rows.select("cell", *rest, *_prints("v"))
+    named = marked.groupBy(*same).agg(F.min("cell").alias("_vid"), F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in rest]).where(F.col("_n") > 1)
+    copied = few(materialise(named, "copied"))
+    printed = rows.select("cell", "v", *rest, *_prints("v"))
+    alone = printed.join(copied.select(*same), same, "left_anti").select("v", F.col("cell").alias("vid"), *rest)
+    first = printed.select("cell", "v", *same).join(copied, same).where(F.col("cell") == F.col("_vid")).select("v", F.col("cell").alias("vid"), *rest)
+    groups = materialise(alone.unionByName(first), "distinct")
 
     def members() -> DataFrame:
-        """A vector of very many copies is a hot key here; adaptive execution broadcasts the few that have copies, or splits the hot partition."""
-        copied = groups.where(F.col("n") > 1).select(*_prints("v"), F.col("vid").alias("_vid"))
-        marked = rows.select("cell", *rest, *_prints("v")).join(copied, ["_p1", "_p2"], "left")
-        return marked.select("cell", F.coalesce("_vid", "cell").alias("vid"), F.col("_vid").isNotNull().alias("copied"), *rest)
+        """A vector of very many copies is a hot key here; few that have copies are broadcast, else adaptive execution splits the hot partition."""
+        own = copied.select(*same, "_vid")
+        return marked.join(own, same, "left").select("cell", F.coalesce("_vid", "cell").alias("vid"), F.col("_vid").isNotNull().alias("copied"), *rest)
 
     return groups, members
 
