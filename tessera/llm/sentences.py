@@ -42,8 +42,8 @@ SMALL_WORDS = set("y e o u a à и а в с к о у")
 CJK_GOES_ON = ("然后", "说", "問", "问", "的", "地", "并", "と", "って", "という", "の", "を", "は", "が", "に", "も", "で", "、", "，", ",")
 
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“", "‘": "’", '"': '"', "'": "'"}
-#: Characters before a full stop that are looked at: more than twice the longest abbreviation, German article or number.
-LOOK_BACK = 48
+#: Characters before a full stop that are looked at for an abbreviation (more than twice the longest) and for the article of an ordinal.
+ABBREVIATION, LOOK_BACK = 16, 48
 BRACKETS = set("([{（［【")
 CLOSERS = set(PAIRS.values()) | {"”"}
 STOPS = ".!?。！？．｡।॥؟…"
@@ -124,11 +124,11 @@ def _full_stop(text: str, start: int, dot: int, after: int, end: int) -> bool:
             return False
     if blank(prev):  # ".016", or a French stop after a blank
         return not glued and not c.isdigit()
-    tail = text[max(start, dot - LOOK_BACK) : dot]
+    tail = text[max(start, dot - ABBREVIATION) : dot]
     if "\xad" in tail or not tail.isascii():
         tail = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", tail).translate(_DROP))
     tail = tail.lower()
-    kind = TRIE.kind(tail) or TRIE.kind(regex.sub(r"\.\s+", ".", tail))  # "z.B" as well as "z. B"
+    kind = TRIE.kind(tail) or ("." in tail and TRIE.kind(regex.sub(r"\.\s+", ".", tail)) or None)  # "z.B" as well as "z. B"
     if kind == "on":
         return False
     if kind == "number":
