@@ -81,7 +81,8 @@ def normal_two_sided(z) -> np.ndarray:
 def binomial_upper(k, n, p) -> np.ndarray:
     """Chance of at least ``k`` of ``n``."""
     k, n, p = np.broadcast_arrays(np.asarray(k, float), np.asarray(n, float), np.asarray(p, float))
-    return np.where(k <= 0, 1.0, beta_inc(np.maximum(k, 1e-9), n - k + 1, p))
+    inside = np.clip(k, 1e-9, np.maximum(n, 1e-9))
+    return np.where(k <= 0, 1.0, np.where(k > n, 0.0, beta_inc(inside, n - inside + 1, p)))
 
 
 def log_hypergeometric_upper(k: int, marked: int, unmarked: int, drawn: int) -> float:

@@ -13,30 +13,30 @@ from tessera.session import discard, materialise
 
 def _move(edges: DataFrame, degree: DataFrame, total: float, resolution: float, rounds: int) -> DataFrame:
     """(id, group): nodes moved, a half of them at a time, to the neighbouring group that gains most modularity, until none moves."""
-    labels = materialise(degree.select("id", F.col("id").alias("group")), "labels")
+    labels = materialise(degree.select("id", F.col("id").alias("group"), "k"), "labels")
     for i in range(2 * rounds):
-        sums = labels.join(degree, "id").groupBy("group").agg(F.sum("k").alias("_s"))
-        around = edges.join(labels.select(F.col("id").alias("b"), "group"), "b").where(F.col("a") != F.col("b")).groupBy("a", "group").agg(F.sum("weight").alias("_w"))
-        own = labels.join(degree, "id").select(F.col("id").alias("a"), F.col("group").alias("_own"), "k")
-        stay = own.select("a", F.col("_own").alias("group"), F.lit(0.0).alias("_w"))
-        options = around.unionByName(stay).groupBy("a", "group").agg(F.sum("_w").alias("_w")).join(own, "a").join(sums, "group")
+        sums = labels.groupBy("group").agg(F.sum("k").alias("_s"))
+        around = edges.where(F.col("a") != F.col("b")).join(labels.select(F.col("id").alias("b"), "group"), "b").groupBy("a", "group").agg(F.sum("weight").alias("_w"))
+        stay = labels.select(F.col("id").alias("a"), "group", F.lit(0.0).alias("_w"))
+        options = around.unionByName(stay).groupBy("a", "group").agg(F.sum("_w").alias("_w")).join(sums, "group")
+        options = options.join(labels.select(F.col("id").alias("a"), F.col("group").alias("_own"), "k"), "a")
         others = F.col("_s") - F.when(F.col("group") == F.col("_own"), F.col("k")).otherwise(0.0)
         options = options.withColumn("_gain", F.col("_w") - resolution * F.col("k") * others / total)
-        best = options.groupBy("a").agg(F.max(F.struct(F.round("_gain", 9).alias("g"), (F.col("group") == F.col("_own")).cast("int").alias("s"), (-F.col("group")).alias("n"))).alias("_b"))
+        best = F.max(F.struct(F.round("_gain", 9).alias("g"), (F.col("group") == F.col("_own")).cast("int").alias("s"), (-F.col("group")).alias("n"))).alias("_b")
+        new = options.groupBy(F.col("a").alias("id")).agg(best, F.first("_own").alias("_own"), F.first("k").alias("k"))
         turn = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
-        new = labels.join(best.select(F.col("a").alias("id"), (-F.col("_b.n")).alias("_to")), "id")
-        new = new.select("id", F.when(turn, F.col("_to")).otherwise(F.col("group")).alias("group"), (turn & (F.col("_to") != F.col("group"))).alias("_moved"))
+        new = new.select("id", F.when(turn, -F.col("_b.n")).otherwise(F.col("_own")).alias("group"), "k", (turn & (-F.col("_b.n") != F.col("_own"))).alias("_moved"))
         new = materialise(new, "labels")
         moved = new.where("_moved").limit(1).count()
         discard(labels)
         labels = new.drop("_moved")
         labels.tessera_path = new.tessera_path
         if not moved and i % 2:
-            return labels
-    return labels
+            break
+    return labels.select("id", "group")
 
 
-def modularity_clusters(edges: DataFrame, resolution: float = 0.8, levels: int = 10, rounds: int = 20) -> DataFrame:
+def modularity_clusters(edges: DataFrame, resolution: float = 0.8, levels: int = 10, rounds: int = 4) -> DataFrame:
     """(id, group): groups of a weighted graph (a, b, weight; ids are integers, each edge once) of high modularity at ``resolution``.
 
     Nodes move to the neighbouring group of greatest gain; groups then become the nodes of a smaller graph, until none merge.

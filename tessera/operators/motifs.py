@@ -63,7 +63,7 @@ def score_cut_off(motif: np.ndarray, p: float, letters: tuple[float, float, floa
             new[s : s + len(chance)] += q * chance
         chance = new
     tail = np.cumsum(chance[::-1])[::-1]
-    reached = np.flatnonzero(tail <= p)
+    reached = np.flatnonzero((tail <= p * (1 + 1e-9)) & (chance > 0))  # the least score there is, not one in the gap below it
     return float((reached[0] if len(reached) else len(chance)) + low.sum()) * step
 
 

@@ -71,7 +71,7 @@ def lsi_iterative(spark: SparkSession, root: str) -> DataFrame:
         near = N.exact_neighbours(scores, scores, "cell", "v", 10)
         return N.label_propagation(N.shared_neighbours(near)).select(F.col("id").alias("cell"), "group")
 
-    return lsi.iterative_lsi(_tf(spark, root), cluster, 2, 500, 8)
+    return lsi.iterative_lsi_model(_tf(spark, root), cluster, 2, 500, 8).vectors(None)
 
 
 @R.query()
