@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.stats import quantiles
 from tessera.operators.intervals import overlap_pairs, point_join
+from tessera.session import materialise
 
 
 def tile_matrix(points: DataFrame, tile: int = 500, binarize: bool = True, sizes: DataFrame | None = None, blacklist: DataFrame | None = None) -> DataFrame:
@@ -93,6 +94,7 @@ def gene_scores(points: DataFrame, windows: DataFrame, tile: int = 500, ceiling:
     scores = tiles.join(weights, ["chr", "start_pos"]).groupBy("gene_id", "cell").agg(F.sum(F.col("w") * F.col("n")).alias("value"))
     if scale is None:
         return scores
+    scores = materialise(scores, "scores")  # read twice
     sums = scores.groupBy("cell").agg(F.sum("value").alias("_sum"))
     out = scores.join(sums, "cell").select("gene_id", "cell", F.round(F.col("value") * scale / F.col("_sum"), 3).alias("value"))
     return out.where(F.col("value") > 0)
