@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.stats import rank_quantile, rolling_mean
 from tessera.operators.graph import exact_neighbours
-from tessera.operators.intervals import point_join
+from tessera.operators.intervals import offset_counts
 from tessera.session import materialise
 
 
@@ -112,9 +112,7 @@ def normalise_footprint(profile: DataFrame, bias: DataFrame, by: str, how: str =
 
 def footprint(points: DataFrame, centers: DataFrame, by: str, flank: int = 250, norm: int = 50, smooth: int = 5) -> DataFrame:
     """Insertions by stranded offset from motif centres, per group, divided by the mean of the flanks and smoothed."""
-    ranges = centers.select("chr", F.col("pos").alias("_c"), "strand", (F.col("pos") - flank).alias("start_pos"), (F.col("pos") + flank).alias("end_pos"))
-    offset = (F.col("pos") - F.col("_c")) * F.when(F.col("strand") == "-", -1).otherwise(1)
-    counts = point_join(points.select(by, "chr", "pos"), ranges).groupBy(by, offset.alias("offset")).agg(F.count(F.lit(1)).alias("n"))
+    counts = offset_counts(points, centers, by, flank)
     ends = F.sum(F.when(F.abs("offset") > flank - norm, F.col("n"))).over(Window.partitionBy(by)) / (2 * norm)
     shaped = counts.withColumn("value", F.col("n") / F.nullif(ends, F.lit(0.0)))
     return rolling_mean(shaped, "value", "offset", smooth, [by], "smooth")

@@ -257,3 +257,26 @@ def test_displays(spark, rows):
     loops = ranges(spark, [("c", 10, 20), ("c", 5, 15), ("d", 10, 20)])
     assert rows(displays.within_region(loops, "c", 8, 30)) == [("c", 10, 20)]
     assert rows(displays.clip_to_region(loops, "c", 8, 12)) == [("c", 10, 12), ("c", 8, 12)]
+
+
+@pytest.mark.parametrize("slab", [256, 1 << 16])
+def test_offset_counts_are_those_of_all_pairs(spark, slab):
+    r = random.Random(3)
+    for n, m, top in ((400, 200, 300), (60, 40, 100_000)):  # many pairs to a position, and few
+        points = [(r.choice(["a", "b", None]), r.choice("xy"), r.randrange(-20, top)) for _ in range(n)]
+        centers = [(r.choice("xyz"), r.randrange(-20, top), r.choice(["+", "-", None])) for _ in range(m)] * 2
+        want = {}
+        for by, chrom, pos in points:
+            for on, at, strand in centers:
+                if chrom == on and abs(pos - at) <= 40:
+                    key = by, (pos - at) * (-1 if strand == "-" else 1)
+                    want[key] = want.get(key, 0) + 1
+        got = intervals.offset_counts(spark.createDataFrame(points, "s string, chr string, pos long"), spark.createDataFrame(centers, "chr string, pos long, strand string"), "s", 40, slab)
+        assert {(x["s"], x["offset"]): x["n"] for x in got.collect()} == want
+
+
+def test_footprint_of_crowded_places_joins_no_pairs(spark):
+    """4e10 pairs of insertions and centres, which no join of pairs lists in the time of a test."""
+    points = spark.range(200_000).select(F.lit("a").alias("s"), F.lit("c").alias("chr"), (F.col("id") % 2 * 10 + 100).alias("pos"))
+    centers = spark.range(200_000).select(F.lit("c").alias("chr"), F.lit(100).cast("long").alias("pos"), F.lit("-").alias("strand"))
+    assert {x["offset"]: x["n"] for x in motifs.footprint(points, centers, "s").collect()} == {0: 2 * 10**10, -10: 2 * 10**10}
