@@ -112,7 +112,7 @@ def normalise_footprint(profile: DataFrame, bias: DataFrame, by: str, how: str =
 
 def footprint(points: DataFrame, centers: DataFrame, by: str, flank: int = 250, norm: int = 50, smooth: int = 5) -> DataFrame:
     """Insertions by stranded offset from motif centres, per group, divided by the mean of the flanks and smoothed."""
-    counts = offset_counts(points, centers, by, flank)
+    counts = materialise(offset_counts(points, centers, by, flank), "offsets")  # a row an offset and group, which an expected profile may read again
     ends = F.sum(F.when(F.abs("offset") > flank - norm, F.col("n"))).over(Window.partitionBy(by)) / (2 * norm)
     shaped = counts.withColumn("value", F.col("n") / F.nullif(ends, F.lit(0.0)))
     return rolling_mean(shaped, "value", "offset", smooth, [by], "smooth")

@@ -280,3 +280,11 @@ def test_footprint_of_crowded_places_joins_no_pairs(spark):
     points = spark.range(200_000).select(F.lit("a").alias("s"), F.lit("c").alias("chr"), (F.col("id") % 2 * 10 + 100).alias("pos"))
     centers = spark.range(200_000).select(F.lit("c").alias("chr"), F.lit(100).cast("long").alias("pos"), F.lit("-").alias("strand"))
     assert {x["offset"]: x["n"] for x in motifs.footprint(points, centers, "s").collect()} == {0: 2 * 10**10, -10: 2 * 10**10}
+
+
+def test_expected_profile_reads_written_counts(spark):
+    """The normalised footprint uses the profile twice; insertions are counted once."""
+    points = spark.createDataFrame([("a", "c", 101)], "s string, chr string, pos long")
+    shape = motifs.footprint(points, spark.createDataFrame([("c", 100, "+")], "chr string, pos long, strand string"), "s")
+    plan = motifs.normalise_footprint(shape, shape.select("s", "offset", F.lit(1.0).alias("expected")), "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Arrow" not in plan
