@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.intervals import point_join
+from tessera.operators.intervals import offset_counts, point_join
 from tessera.operators.skew import skew_join
 from tessera.session import materialise
 
@@ -64,9 +64,7 @@ def tss_enrichment(points: DataFrame, tss: DataFrame, window: int = 101, flank:
 
 def tss_profile(points: DataFrame, tss: DataFrame, by: str, flank: int = 2000, norm: int = 100) -> DataFrame:
     """Insertions by offset from gene starts, turned to the strand and divided by the mean of both outer ends."""
-    ranges = tss.select("chr", F.col("pos").alias("_tss"), "strand", (F.col("pos") - flank).alias("start_pos"), (F.col("pos") + flank).alias("end_pos"))
-    offset = (F.col("pos") - F.col("_tss")) * F.when(F.col("strand") == "-", -1).otherwise(1)
-    hits = point_join(points.select(by, "chr", "pos"), ranges).groupBy(by, offset.alias("offset")).agg(F.count(F.lit(1)).alias("n"))
+    hits = offset_counts(points, tss, by, flank)
     ends = F.sum(F.when(F.abs("offset") > flank - norm, F.col("n"))).over(Window.partitionBy(by)) / (2 * norm)
     return hits.withColumn("enrichment", F.col("n") / F.nullif(ends, F.lit(0.0)))
 

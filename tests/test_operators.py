@@ -288,3 +288,9 @@ def test_expected_profile_reads_written_counts(spark):
     shape = motifs.footprint(points, spark.createDataFrame([("c", 100, "+")], "chr string, pos long, strand string"), "s")
     plan = motifs.normalise_footprint(shape, shape.select("s", "offset", F.lit(1.0).alias("expected")), "s")._jdf.queryExecution().optimizedPlan().toString()
     assert "Arrow" not in plan
+
+
+def test_profile_of_crowded_gene_starts_joins_no_pairs(spark):
+    points = spark.range(200_000).select(F.lit("a").alias("s"), F.lit("c").alias("chr"), F.lit(3000).alias("pos"))
+    starts = spark.range(200_000).select(F.lit("c").alias("chr"), F.lit(1000).cast("long").alias("pos"), F.lit("+").alias("strand"))
+    assert {x["offset"]: x["n"] for x in qc.tss_profile(points, starts, "s").collect()} == {2000: 4 * 10**10}
