@@ -183,6 +183,25 @@ def offset_counts(points: DataFrame, centers: DataFrame, by: str, flank: int, sl
     return met.groupBy(F.col("by").alias(by), "offset").agg(F.sum("n").alias("n"))
 
 
+def point_depth(points: DataFrame, ranges: DataFrame, width: int = 512) -> DataFrame:
+    """``points`` (chr, pos, ...) with ``depth``, how many of ``ranges`` hold each of them, 0 where none does.
+
+    The depth is worked out once for every position of a bin that a range reaches, so that a point meets one row, however many ranges hold it.
+    """
+    of = lambda c: F.floor(F.col(c) / F.lit(width))
+    r = ranges.where(F.col("end_pos") >= F.col("start_pos")).select("chr", "start_pos", "end_pos", F.explode(F.sequence(of("start_pos"), of("end_pos"))).alias("_bin"))
+    first = F.col("_bin") * width
+    steps = F.array(F.struct(F.greatest(F.col("start_pos") - first, F.lit(0)).alias("at"), F.lit(1).alias("d")), F.struct((F.col("end_pos") + 1 - first).alias("at"), F.lit(-1).alias("d")))
+    r = r.select("chr", "_bin", F.explode(steps).alias("_s")).groupBy("chr", "_bin", F.col("_s.at").alias("_at")).agg(F.sum("_s.d").alias("_d")).where(F.col("_at") < width)
+    order = Window.partitionBy("chr", "_bin").orderBy("_at")
+    r = r.select("chr", "_bin", "_at", (F.lead("_at", 1, width).over(order) - F.col("_at")).cast("int").alias("_n"), F.sum("_d").over(order).alias("_depth"))
+    r = r.groupBy("chr", "_bin").agg(F.sort_array(F.collect_list(F.struct("_at", "_n", "_depth"))).alias("_s"))  # a bin has at most `width` of them
+    r = r.select("chr", "_bin", F.col("_s")[0]["_at"].alias("_from"), F.flatten(F.transform("_s", lambda x: F.array_repeat(x["_depth"], x["_n"]))).alias("_depths"))
+    p = points.withColumn("_bin", of("pos")).join(r.hint("shuffle_hash"), ["chr", "_bin"], "left")
+    at = (F.col("pos") - F.col("_bin") * width - F.col("_from")).cast("int")
+    return p.select(*[F.col(c) for c in points.columns], F.coalesce(F.get("_depths", at), F.lit(0).cast("long")).alias("depth"))
+
+
 def nearest_point(df: DataFrame, points: DataFrame, key: str, at: Column, name: str, slab: int = 1 << 18) -> DataFrame:
     """``df`` with ``distance`` to the nearest of ``points`` (chr, pos, ``name``) from ``at``, and its name; ties go to the smaller position, then name.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.intervals import offset_counts, point_join
+from tessera.operators.intervals import offset_counts, point_depth, point_join
 from tessera.operators.skew import skew_join
 from tessera.session import materialise
 
@@ -71,9 +71,8 @@ def tss_profile(points: DataFrame, tss: DataFrame, by: str, flank: int = 2000, n
 
 def feature_counts(points: DataFrame, features: DataFrame, name: str) -> DataFrame:
     """Insertions per cell within a set of features, with their share of all; overlapping features count each."""
-    counts = point_join(points.select("cell", "chr", "pos"), features.select("chr", "start_pos", "end_pos")).groupBy("cell").agg(F.count(F.lit(1)).alias(f"n_{name}"))
-    total = points.groupBy("cell").agg(F.count(F.lit(1)).alias("_all"))
-    out = total.join(counts, "cell", "left").fillna(0, [f"n_{name}"])
+    deep = point_depth(points.select("cell", "chr", "pos"), features)
+    out = deep.groupBy("cell").agg(F.sum(F.when(F.col("cell").isNotNull(), F.col("depth")).otherwise(0)).alias(f"n_{name}"), F.count(F.lit(1)).alias("_all"))
     return out.withColumn(f"{name}_ratio", F.col(f"n_{name}") / F.col("_all")).drop("_all")
 
 

@@ -294,3 +294,17 @@ def test_profile_of_crowded_gene_starts_joins_no_pairs(spark):
     points = spark.range(200_000).select(F.lit("a").alias("s"), F.lit("c").alias("chr"), F.lit(3000).alias("pos"))
     starts = spark.range(200_000).select(F.lit("c").alias("chr"), F.lit(1000).cast("long").alias("pos"), F.lit("+").alias("strand"))
     assert {x["offset"]: x["n"] for x in qc.tss_profile(points, starts, "s").collect()} == {2000: 4 * 10**10}
+
+
+def test_depth_is_the_number_of_ranges_that_hold_a_point(spark):
+    data = [*random_ranges(150, 8, 90), ("x", -30, 5, 0, 0), ("y", 40, 20, 0, 0), ("x", 64, 127, 0, 0), (None, 1, 9, 0, 0)]
+    places = [(c, p, k) for c in ("x", "y", "z", None) for k, p in enumerate(range(-40, 700, 7))] + [("x", None, 0)]
+    got = intervals.point_depth(spark.createDataFrame(places, "chr string, pos long, id int"), ranges(spark, data, ", id int, score int"), 64)
+    want = {(c, p, k): sum(c == r[0] and c is not None and p is not None and r[1] <= p <= r[2] for r in data) for c, p, k in places}
+    assert {(x["chr"], x["pos"], x["id"]): x["depth"] for x in got.collect()} == want
+
+
+def test_feature_counts_of_crowded_features_join_no_pairs(spark):
+    points = spark.range(200_000).select(F.lit("a").alias("cell"), F.lit("c").alias("chr"), (F.col("id") % 2 * 1000 + 5).alias("pos"))
+    features = spark.range(200_000).select(F.lit("c").alias("chr"), F.lit(1).alias("start_pos"), F.lit(10).alias("end_pos"))
+    assert [tuple(r) for r in qc.feature_counts(points, features, "f").collect()] == [("a", 2 * 10**10, 10**5)]
