@@ -308,3 +308,22 @@ def test_feature_counts_of_crowded_features_join_no_pairs(spark):
     points = spark.range(200_000).select(F.lit("a").alias("cell"), F.lit("c").alias("chr"), (F.col("id") % 2 * 1000 + 5).alias("pos"))
     features = spark.range(200_000).select(F.lit("c").alias("chr"), F.lit(1).alias("start_pos"), F.lit(10).alias("end_pos"))
     assert [tuple(r) for r in qc.feature_counts(points, features, "f").collect()] == [("a", 2 * 10**10, 10**5)]
+
+
+@pytest.mark.parametrize("slab", [64, 1 << 16])
+def test_feature_groups_are_the_sums_of_the_matrix(spark, rows, slab, monkeypatch):
+    monkeypatch.setattr(intervals.range_counts, "__defaults__", (slab,))
+    r = random.Random(9)
+    data = [*random_ranges(80, 4, 200), ("x", 40, 20, 900, 0), ("y", -9, 3, 901, 0), (None, 1, 9, 902, 0)]
+    points = spark.createDataFrame([(r.choice(["a", "b", "e", None]), r.choice(["x", "y", None]), r.randrange(-20, 600)) for _ in range(500)], "cell string, chr string, pos long")
+    groups = spark.createDataFrame([("a", "g"), ("a", "h"), ("b", "g"), ("b", "g"), ("e", None), ("z", "g")], "cell string, group string")
+    features = ranges(spark, data, ", id long, score int")
+    want = matrix.group_matrix(matrix.feature_matrix(points, features, "id", None), ["id"], groups).select("id", "group", "value")
+    assert rows(matrix.feature_groups(points, features, "id", groups).select("id", "group", "value")) == rows(want)
+
+
+def test_feature_groups_of_crowded_features_join_no_pairs(spark):
+    points = spark.range(50_000).select(F.concat(F.lit("a"), F.col("id")).alias("cell"), F.lit("c").alias("chr"), F.lit(5).alias("pos"))
+    features = spark.range(50_000).select(F.lit("c").alias("chr"), F.lit(1).alias("start_pos"), F.lit(10).alias("end_pos"), "id")
+    got = matrix.feature_groups(points, features, "id", points.select("cell", F.lit("g").alias("group")))
+    assert [tuple(r) for r in got.groupBy("group", "value").count().collect()] == [("g", 50_000, 50_000)]
