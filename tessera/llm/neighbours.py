@@ -3,7 +3,7 @@
 Centroids are fitted on a bounded sample and those of crowded regions split, so
 that the lists around them are balanced.  A vector is posted in the list of its nearest
 centroid and, if it lies near a boundary, in others too.  To find
-centroids, a graph over them is searched in memory.  A query reads the lists of the
+centroids, all are compared, or where they are very many, a graph over them is searched in memory.  A query reads the lists of the
 centroids that are not much farther than the nearest (distance-ratio pruning).
 
 How many lists are read is not guessed.  With a radius, a vector is posted in every list whose boundary lies within
@@ -34,6 +34,8 @@ TRIED = 512
 LEAST_READ = 2
 #: Centroids that are looked at for every vector; where more are wanted, all are.
 LOOKED_AT = 16
+#: Up to so many centroids are all compared with a row, which costs less than the graph and misses none.
+COMPARED = 8192
 #: Largest part of a list that one task compares with as many queries; longer lists are cut into such parts.
 BLOCK = 8192
 
@@ -45,6 +47,9 @@ class CentroidGraph:
         self.c = np.ascontiguousarray(centroids, np.float32)
         self.floor = floor  # no vector counts as nearer to a centroid than this, so that one that is itself a centroid reads more than its own list
         k = len(self.c)
+        self.whole = k <= COMPARED
+        if self.whole:
+            return
         rng = np.random.default_rng(1)
         near = min(degree, k - 1)
         links = []
@@ -58,6 +63,11 @@ class CentroidGraph:
 
     def search(self, x: np.ndarray, want: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and distances of about the ``want`` closest centroids of each row of ``x``, closest first."""
+        if self.whole:
+            ids = np.argpartition(distances2(x, self.c), want - 1, 1)[:, :want]
+            d = np.sqrt(((self.c[ids] - x[:, None]) ** 2).sum(2))
+            order = np.lexsort((ids, d), axis=1)
+            return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
         width = min(len(self.c), max(want, 16))
         d = distances2(x, self.c[self.entries])
         first = np.argpartition(d, min(width, d.shape[1]) - 1, 1)[:, : min(width, d.shape[1])]
@@ -90,9 +100,25 @@ class CentroidGraph:
         return out_ids[:, :want], np.sqrt(out_d[:, :want])
 
 
+def _reached(c: np.ndarray, x: np.ndarray, asks: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The flags of all centroids for each row: the row is posted wherever the plane midway to its nearest centroid lies within the radius."""
+    d2 = distances2(x, c)
+    first = d2.argmin(1)
+    row = np.arange(len(x))
+    some, of = np.unique(first, return_inverse=True)
+    bound = np.sqrt(distances2(c[some], c)) * np.float32(2 * radius * (1 + 1e-4))
+    middle = c.mean(0)
+    rounding = 1e-5 * (((x - middle) ** 2).sum(1) + ((c - middle) ** 2).sum(1).max())  # more than single precision errs by
+    flags = (d2 - (d2[row, first] + 1e-4 + rounding)[:, None].astype(np.float32) <= bound[of]).view(np.int8)
+    flags[row, first] = 1 + 2 * asks
+    return np.broadcast_to(np.arange(len(c)), d2.shape), flags
+
+
 def _flags(graph: CentroidGraph, x: np.ndarray, asks: np.ndarray, limits: tuple[int, float], radius: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of centroids near each row of ``x``, and for each 1 if its list holds the row, 2 if it is read for it, 3 for both."""
     want = min(LOOKED_AT, len(graph.c))
+    if radius is not None and graph.whole:
+        return _reached(graph.c, x, asks, radius)
     ids, d = graph.search(x, want)
     if radius is None:
         probes, read = limits

@@ -192,3 +192,20 @@ def test_everything_is_found_if_every_list_is_read(spark, monkeypatch):
     x = np.random.default_rng(9).normal(0, 1, (600, 12)).astype(np.float32)
     want = brute(x, list(range(600)), 4)
     assert got(nearest(table(spark, x), "id", "v", 4, dim=12, recall=1)) == want
+
+
+def test_no_near_list_is_missed():
+    rng = np.random.default_rng(2)
+    c, x = rng.normal(size=(3000, 30)).astype(np.float32), rng.normal(size=(500, 30)).astype(np.float32)
+    graph = neighbours.CentroidGraph(c)
+    exact = np.sqrt(((x[:, None].astype(float) - c) ** 2).sum(2))
+    ids, d = graph.search(x, 16)
+    assert (ids == exact.argsort(1)[:, :16]).all() and np.allclose(d, np.sort(exact, 1)[:, :16], rtol=1e-5)
+    ids, flags = neighbours._flags(graph, x, np.arange(500) % 2 == 0, (1, 1.0), 0.5)
+    held, read = np.zeros(exact.shape, bool), np.zeros(exact.shape, bool)
+    r, k = np.nonzero(flags)
+    held[r, ids[r, k]], read[r, ids[r, k]] = flags[r, k] & 1 > 0, flags[r, k] & 2 > 0
+    first = exact.argmin(1)
+    apart = np.sqrt(((c[first][:, None].astype(float) - c) ** 2).sum(2))
+    assert held[exact**2 - exact.min(1, keepdims=True) ** 2 <= 2 * 0.5 * apart].all()
+    assert (read.nonzero()[0] == np.arange(0, 500, 2)).all() and (read.nonzero()[1] == first[::2]).all()
