@@ -327,3 +327,21 @@ def test_feature_groups_of_crowded_features_join_no_pairs(spark):
     features = spark.range(50_000).select(F.lit("c").alias("chr"), F.lit(1).alias("start_pos"), F.lit(10).alias("end_pos"), "id")
     got = matrix.feature_groups(points, features, "id", points.select("cell", F.lit("g").alias("group")))
     assert [tuple(r) for r in got.groupBy("group", "value").count().collect()] == [("g", 50_000, 50_000)]
+
+
+@pytest.mark.parametrize("slab, reach, twice", [(64, 16, False), (64, 64, False), (1 << 16, 1 << 13, False), (64, 16, True)])
+def test_feature_matrix_is_counted_without_a_shuffle_of_pairs(spark, rows, slab, reach, twice, monkeypatch):
+    monkeypatch.setattr(intervals.held_counts, "__defaults__", (slab, reach))
+    monkeypatch.setattr(intervals, "HELD", 50)
+    r = random.Random(11)
+    data = [*random_ranges(80, 4, 200), ("x", 40, 20, 900, 0), ("y", -9, 3, 901, 0), (None, 1, 9, 902, 0), ("x", 70, 90, 3 if twice else 903, 0)]
+    spots = [(r.choice(["a", "b", "e", None]), r.choice(["x", "y", None]), r.randrange(-20, 600)) for _ in range(500)] * 2
+    got = matrix.feature_matrix(spark.createDataFrame(spots, "cell string, chr string, pos long"), ranges(spark, data, ", id long, score int"), "id", 3)
+    want = {}
+    for chr_, start, end, key, _ in data:
+        for cell, where, pos in spots:
+            if chr_ is not None and chr_ == where and start <= pos <= end:
+                want[key, cell] = want.get((key, cell), 0) + 1
+    assert rows(got.select("id", "cell", "value")) == sorted(((*k, min(v, 3)) for k, v in want.items()), key=repr)
+    if (slab, twice) == (1 << 16, False):
+        assert "hashpartitioning(id" not in got._jdf.queryExecution().toString()
