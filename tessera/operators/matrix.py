@@ -6,7 +6,11 @@ Absent entries are zeros and count in every mean, variance and rank.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from tessera.functions.stats import quantiles
 from tessera.operators.intervals import held_counts, overlap_pairs, point_join, range_counts
 from tessera.session import materialise
 
+#: Positions of a chromosome whose genes are scored in one task.
+SLAB = 1 << 16
 
 def tile_matrix(points: DataFrame, tile: int = 500, binarize: bool = True, sizes: DataFrame | None = None, blacklist: DataFrame | None = None) -> DataFrame:
     """(chr, tile, cell, value): insertions by tile ``pos div tile + 1``; points outside the chromosome and tiles that touch the blacklist are left out."""
@@ -84,10 +90,11 @@ def decay(distance: Column, length: float = 5000.0) -> Column:
     return F.exp(-F.abs(distance) / length) + F.exp(F.lit(-1.0))
 
 
-def gene_scores(points: DataFrame, windows: DataFrame, tile: int = 500, ceiling: int = 4, model=decay, scale: float | None = 10_000.0, blacklist: DataFrame | None = None) -> DataFrame:
-    """(gene_id, cell, value): distance-weighted insertions around every gene, in shares of the cell's sum over all genes times ``scale``."""
+def _gene_weights(points: DataFrame, windows: DataFrame, tile: int, ceiling: int, model, blacklist: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Written tables: tiles (chr, start_pos, cell, n), and the weights (gene_id, chr, start_pos, _slab, w) of tiles for each gene near them."""
     start = (F.floor(F.col("pos") / tile) * tile).cast("long")
     tiles = points.groupBy("chr", start.alias("start_pos"), "cell").agg(F.least(F.count(F.lit(1)), F.lit(ceiling)).alias("n"))
+    tiles = materialise(tiles, "tiles")
     places = tiles.select("chr", "start_pos").distinct().withColumn("end_pos", F.col("start_pos") + tile - 1)
     if blacklist is not None:
         bad = overlap_pairs(places, blacklist).select("a.chr", "a.start_pos").distinct()
@@ -96,7 +103,98 @@ def gene_scores(points: DataFrame, windows: DataFrame, tile: int = 500, ceiling:
     near = overlap_pairs(ranges, places, bin_width=1 << 16)
     gap = F.greatest(F.lit(0), F.greatest(F.col("b.start_pos") - F.col("a.body_end"), F.col("a.body_start") - F.col("b.end_pos")) - 1)
     side = F.signum((F.col("b.start_pos") - F.col("a.tss")).cast("double")) * F.when(F.col("a.strand") == "-", -1).otherwise(1)
-    weights = near.select(F.col("a.gene_id").alias("gene_id"), F.col("b.chr").alias("chr"), F.col("b.start_pos").alias("start_pos"), (model(gap * side) * F.col("a.weight")).alias("w"))
+    weights = near.select(F.col("a.gene_id").alias("gene_id"), F.col("b.chr").alias("chr"), F.col("b.start_pos").alias("start_pos"), F.floor(F.col("a.start_pos") / SLAB).alias("_slab"), (model(gap * side) * F.col("a.weight")).alias("w"))
+    return tiles, materialise(weights, "weights")
+
+
+def _scored(tiles: DataFrame, weights: DataFrame, scale: float | None, totals: bool) -> DataFrame:
+    """(gene_id, cell, value), or with ``totals`` (cell, n_genes, total) of values that are at least 0.0005: products of weights and tiles, worked out where all tiles of a gene meet.
+
+    What a cell's values sum up to over all genes follows from its tiles and their weights over all genes, so no value is needed for it.
+    ``weights`` hold every gene under one (chr, _slab).
+    """
+    if scale is None:
+        tiles = tiles.withColumn("_sum", F.lit(1.0))
+    else:
+        everywhere = weights.groupBy("chr", "start_pos").agg(F.sum("w").alias("_w"))
+        sums = tiles.join(everywhere, ["chr", "start_pos"]).groupBy("cell").agg(F.sum(F.col("_w") * F.col("n")).alias("_sum"))
+        tiles = tiles.join(sums, "cell")
+    kind, name = weights.schema["gene_id"].dataType, tiles.schema["cell"].dataType
+    reached = weights.select("chr", "_slab", "start_pos").distinct()
+    nothing = lambda k: F.lit(None).cast(k)
+    t = tiles.join(reached, ["chr", "start_pos"]).select("chr", "_slab", "start_pos", nothing(kind).alias("gene_id"), "cell", F.col("n").cast("double").alias("x"), "_sum", F.lit(True).alias("_tile"))
+    w = weights.select("chr", "_slab", "start_pos", "gene_id", nothing(name).alias("cell"), F.col("w").alias("x"), nothing("double").alias("_sum"), F.lit(False).alias("_tile"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        of_tile = rows.column("_tile").to_numpy()
+        left, right = np.flatnonzero(of_tile), np.flatnonzero(~of_tile)
+        if not len(left) or not len(right):
+            return
+        coded = lambda c, at: pc.dictionary_encode(pa.concat_arrays(rows.column(c).chunks).take(pa.array(at)), null_encoding="encode")
+        cells, genes = coded("cell", left), coded("gene_id", right)
+        places, at = np.unique(rows.column("start_pos").to_numpy(), return_inverse=True)
+        cell, gene, x = cells.indices.to_numpy(), genes.indices.to_numpy(), rows.column("x").to_numpy()
+        scaled = np.zeros(len(cells.dictionary))
+        scaled[cell] = rows.column("_sum").to_numpy()[left]
+        n_genes, known = len(genes.dictionary), np.isfinite(x[right]).all() and x[right].min() > 0  # else a value may be there and zero
+        lo, hi = np.full(n_genes, len(places)), np.zeros(n_genes, np.int64)
+        np.minimum.at(lo, gene, at[right])
+        np.maximum.at(hi, gene, at[right] + 1)
+        order = lo.argsort(kind="stable")  # genes near each other share most tiles
+        place_of = np.empty(n_genes, np.int64)
+        place_of[order] = np.arange(n_genes)
+        by_gene = place_of[gene].argsort(kind="stable")
+        sorted_, their = place_of[gene][by_gene], right[by_gene]
+        by_cell = cell.argsort(kind="stable")
+        for a in range(0, len(scaled), 4096):
+            b = min(a + 4096, len(scaled))
+            some = by_cell[np.searchsorted(cell[by_cell], a) : np.searchsorted(cell[by_cell], b)]
+            signal = np.zeros((len(places), b - a))
+            signal[at[left[some]], cell[some] - a] = x[left[some]]
+            number, total = np.zeros(b - a, np.int64), np.zeros(b - a)
+            for g in range(0, n_genes, 128):
+                h = min(g + 128, n_genes)
+                first, last = lo[order[g:h]].min(), hi[order[g:h]].max()
+                part = slice(*np.searchsorted(sorted_, [g, h]))
+                weight = np.zeros((h - g, last - first))
+                np.add.at(weight, (sorted_[part] - g, at[their[part]] - first), np.nan_to_num(x[their[part]]))
+                value = weight @ signal[first:last]
+                if scale is not None:
+                    value *= scale / scaled[a:b]
+                if totals:
+                    enough = value >= 0.0005
+                    number += enough.sum(0)
+                    total += np.where(enough, value, 0).sum(0)
+                    continue
+                there = value
+                if not known:
+                    there = np.zeros(weight.shape)
+                    there[sorted_[part] - g, at[their[part]] - first] = 1
+                    there = there @ (signal[first:last] > 0)
+                r, c = np.nonzero(there)
+                yield pa.RecordBatch.from_arrays([genes.dictionary.take(pa.array(order[g + r])), cells.dictionary.take(pa.array(a + c)), pa.array(value[r, c])], names=["gene_id", "cell", "value"])
+            if totals:
+                yield pa.RecordBatch.from_arrays([cells.dictionary.slice(a, b - a), pa.array(number), pa.array(total)], names=["cell", "n_genes", "total"])
+
+    met = t.unionByName(w).groupBy("chr", "_slab")
+    if not totals:
+        return met.applyInArrow(run, f"gene_id {kind.simpleString()}, cell {name.simpleString()}, value double")
+    parts = met.applyInArrow(run, f"cell {name.simpleString()}, n_genes bigint, total double")
+    return parts.groupBy("cell").agg(F.sum("n_genes").alias("n_genes"), F.sum("total").alias("total")).where(F.col("n_genes") > 0)
+
+
+def _single(windows: DataFrame) -> bool:
+    """Whether every gene has one window."""
+    return (windows.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= 1
+
+
+def gene_scores(points: DataFrame, windows: DataFrame, tile: int = 500, ceiling: int = 4, model=decay, scale: float | None = 10_000.0, blacklist: DataFrame | None = None) -> DataFrame:
+    """(gene_id, cell, value): distance-weighted insertions around every gene, in shares of the cell's sum over all genes times ``scale``."""
+    tiles, weights = _gene_weights(points, windows, tile, ceiling, model, blacklist)
+    if _single(windows):
+        scores = _scored(tiles, weights, scale, False)
+        return scores if scale is None else scores.withColumn("value", F.round("value", 3)).where(F.col("value") > 0)
     scores = tiles.join(weights, ["chr", "start_pos"]).groupBy("gene_id", "cell").agg(F.sum(F.col("w") * F.col("n")).alias("value"))
     if scale is None:
         return scores
@@ -106,6 +204,16 @@ def gene_scores(points: DataFrame, windows: DataFrame, tile: int = 500, ceiling:
     return out.where(F.col("value") > 0)
 
 
+def gene_score_totals(points: DataFrame, windows: DataFrame, tile: int = 500, ceiling: int = 4, model=decay, scale: float = 10_000.0, blacklist: DataFrame | None = None) -> DataFrame:
+    """(cell, n_genes, total): how many genes of a cell have a score that is not 0 when rounded to three places, and the sum of those scores before rounding."""
+    if _single(windows):
+        return _scored(*_gene_weights(points, windows, tile, ceiling, model, blacklist), scale, True)
+    scores = materialise(gene_scores(points, windows, tile, ceiling, model, None, blacklist), "scores")
+    sums = scores.groupBy("cell").agg(F.sum("value").alias("_t"))
+    shares = scores.join(sums, "cell").withColumn("v", F.col("value") * scale / F.col("_t")).where(F.round("v", 3) > 0)
+    return shares.groupBy("cell").agg(F.count(F.lit(1)).alias("n_genes"), F.sum("v").alias("total"))
+
+
 def row_moments(matrix: DataFrame, row: list[str], n_columns: int | Column, value: Column | None = None) -> DataFrame:
     """Sum, mean and sample variance of each row over all ``n_columns`` columns, absent entries being zeros."""
     x = value if value is not None else F.col("value").cast("double")

@@ -207,10 +207,8 @@ z AS (SELECT cell, sum(v) AS t FROM g GROUP BY cell)
 SELECT cell, count(*) AS n_genes, round(sum(v * 10000.0 / t), 3) AS total FROM g JOIN z USING (cell) WHERE round(v * 10000.0 / t, 3) > 0 GROUP BY cell"""))
 def gene_score(spark: SparkSession, root: str) -> DataFrame:
     """Gene activity per cell: genes with signal and the sum of their scores."""
-    scores = M.gene_scores(_points(spark, root), M.gene_windows(A.genes(spark, root)), scale=None)
-    sums = scores.groupBy("cell").agg(F.sum("value").alias("_t"))
-    shares = scores.join(sums, "cell").withColumn("v", F.col("value") * 10000.0 / F.col("_t")).where(F.round("v", 3) > 0)
-    return shares.groupBy("cell").agg(F.count(F.lit(1)).alias("n_genes"), F.round(F.sum("v"), 3).alias("total"))
+    scores = M.gene_score_totals(_points(spark, root), M.gene_windows(A.genes(spark, root)))
+    return scores.select("cell", "n_genes", F.round("total", 3).alias("total"))
 
 
 _COUNTS = """c AS (SELECT CASE WHEN l_partkey % 50 = 0 THEN 'MT-' WHEN l_partkey % 30 = 0 THEN 'RPL' ELSE 'G' END || (l_partkey % 400) AS gene,

@@ -345,3 +345,35 @@ def test_feature_matrix_is_counted_without_a_shuffle_of_pairs(spark, rows, slab,
     assert rows(got.select("id", "cell", "value")) == sorted(((*k, min(v, 3)) for k, v in want.items()), key=repr)
     if (slab, twice) == (1 << 16, False):
         assert "hashpartitioning(id" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("model", ["decay", "some are zero"])
+@pytest.mark.parametrize("twice", [False, True])
+def test_gene_scores_by_products_are_those_of_pairs(spark, rows, model, twice, monkeypatch):
+    monkeypatch.setattr(matrix, "SLAB", 3000)
+    r = random.Random(3)
+    genes = [(i, r.choice(["x", "y"]), 0, r.randrange(9000), r.choice("+-")) for i in range(40)]
+    genes = [(7 if twice and i == 8 else i, c, s, s + r.randrange(1500), strand) for i, c, _, s, strand in genes]
+    windows = matrix.gene_windows(spark.createDataFrame(genes, "gene_id long, chr string, start_pos long, end_pos long, strand string"), 100, 0, 200, 3000)
+    spots = [(r.choice(["a", "b", "e", None]), r.choice(["x", "y", "z"]), r.randrange(12_000)) for _ in range(400)]
+    points = spark.createDataFrame(spots, "cell string, chr string, pos long")
+    f = matrix.decay if model == "decay" else lambda d: F.when(F.abs(d) > 50, 0.0).otherwise(1.0)
+    g = (lambda d: math.exp(-abs(d) / 5000) + math.exp(-1)) if model == "decay" else lambda d: float(abs(d) <= 50)
+    tiles, want = {}, {}
+    for cell, c, pos in spots:
+        tiles[c, pos // 100 * 100, cell] = min(tiles.get((c, pos // 100 * 100, cell), 0) + 1, 4)
+    for w in windows.collect():
+        for (c, s, cell), n in tiles.items():
+            if c == w.chr and s <= w.window_end and s + 99 >= w.window_start:
+                gap = max(0, max(s - w.body_end, w.body_start - s - 99) - 1)
+                want[w.gene_id, cell] = want.get((w.gene_id, cell), 0) + g(gap) * w.weight * n
+    got = {(r.gene_id, r.cell): r.value for r in matrix.gene_scores(points, windows, 100, model=f, scale=None).collect()}
+    assert got == pytest.approx(want)
+    sums = {c: sum(v for (_, d), v in want.items() if d == c) for c in "abe"}
+    shares = {k: v * 100 / sums[k[1]] for k, v in want.items() if k[1] is not None and sums[k[1]]}
+    scaled = matrix.gene_scores(points, windows, 100, model=f, scale=100.0).where("cell IS NOT NULL")
+    assert {(r.gene_id, r.cell): r.value for r in scaled.collect()} == pytest.approx({k: round(v, 3) for k, v in shares.items() if v >= 0.0005}, abs=1e-9)
+    totals = matrix.gene_score_totals(points, windows, 100, model=f, scale=100.0).where("cell IS NOT NULL").collect()
+    assert {r.cell: (r.n_genes, pytest.approx(r.total)) for r in totals} == {c: (sum(v >= 0.0005 for (_, d), v in shares.items() if d == c), sum(v for (_, d), v in shares.items() if d == c and v >= 0.0005)) for c in "abe"}
+    if not twice:
+        assert "hashpartitioning(gene_id" not in scaled._jdf.queryExecution().toString()
