@@ -35,6 +35,7 @@ class Project:
         self.manifest = manifest or Manifest()
         self.tables: dict[str, DataFrame] = {}
         self._stored: dict[str, tuple[DataFrame, str]] = {}  # tables as they were loaded, and where from
+        self._statistics: dict[str, tuple] = {}  # of matrices added: the table, the entries, and how it follows from them
 
     @classmethod
     def from_samples(cls, spark: SparkSession, root: str, parts: list[DataFrame]) -> Project:
@@ -174,7 +175,9 @@ class Project:
 
         row = [c for c in ("chr", "feature") if c in entries.columns]
         self.add_table(f"matrix/{name}", entries, params, force)
-        self.tables[f"stats/{name}"] = row_moments(entries, row, self.n_cells())
+        n = self.n_cells()
+        self.tables[f"stats/{name}"] = row_moments(entries, row, n)
+        self._statistics[f"stats/{name}"] = self.tables[f"stats/{name}"], entries, lambda written: row_moments(written, row, n)
         if features is not None:
             self.tables[f"features/{name}"] = features
         return self
@@ -220,6 +223,10 @@ class Project:
                 paths[name] = stored[1]
                 continue
             paths[name] = f"{folder}/" + re.sub(r"[^A-Za-z0-9._/-]", "_", name)
+            counted, entries, moments = self._statistics.get(name, (None, None, None))
+            matrix = name.replace("stats/", "matrix/", 1)
+            if counted is df and self.tables.get(matrix) is entries and matrix in paths:  # from the entries as they were written just now, which are not worked out again
+                df = moments(self.spark.read.parquet(f"{root}/{paths[matrix]}"))
             df.write.mode("errorifexists").parquet(f"{root}/{paths[name]}")
         manifest = Manifest(paths, self.manifest.params, self.manifest.summary)
         files.put(f"manifest-{version:06d}.json", json.dumps(asdict(manifest)))

@@ -377,3 +377,10 @@ def test_gene_scores_by_products_are_those_of_pairs(spark, rows, model, twice, m
     assert {r.cell: (r.n_genes, pytest.approx(r.total)) for r in totals} == {c: (sum(v >= 0.0005 for (_, d), v in shares.items() if d == c), sum(v for (_, d), v in shares.items() if d == c and v >= 0.0005)) for c in "abe"}
     if not twice:
         assert "hashpartitioning(gene_id" not in scaled._jdf.queryExecution().toString()
+
+
+def test_rounding_of_scores_is_that_of_spark(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([[0.0005, 0.0015, 1.0005, 2.0005, 1.0015, 0.4995, 0.00049999999999, 1.00049999999999, 0.0], rng.integers(0, 10**5, 300) / 1e4 + 5e-5, rng.random(300)])
+    want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(F.round("v", 3)).collect()]
+    assert matrix._three_places(x).tolist() == want

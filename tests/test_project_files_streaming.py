@@ -67,3 +67,19 @@ def test_scratch_is_that_of_the_session(spark):
     assert df.tessera_path.startswith(scratch_root(spark)) and df.count() == 3
     discard(df)
     discard(spark.range(1))
+
+
+def test_entries_of_a_matrix_are_worked_out_once(spark, rows, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    cells = spark.createDataFrame([("a", "s"), ("b", "s"), ("d", "s")], "cell string, sample string")
+    entries = spark.createDataFrame([("c", 1, "a", 2), ("c", 1, "b", 4), ("c", 2, "a", 1)], "chr string, feature long, cell string, value long")
+    once = entries.withColumn("value", F.udf(count, "long").asNondeterministic()("value"))
+    project = Project(spark, f"file://{tmp_path}/p", cells).add_matrix("m", once).save()
+    assert seen.value == 3
+    stats = Project(spark, "", cells).add_matrix("m", entries).tables["stats/m"]
+    assert rows(project.tables["stats/m"].select(*stats.columns)) == rows(stats)
