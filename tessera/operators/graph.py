@@ -154,6 +154,27 @@ def exact_neighbours(data: DataFrame, queries: DataFrame, key: str, vector: str,
     return first(found.drop("rnk").unionByName(_compared(rows, more, k, keep_self, kind)))
 
 
+def distinct_neighbours(data: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query, neighbour, distance, rnk): what :func:`exact_neighbours` gives for every row of ``data`` among all, for vectors that many rows share.
+
+    Only distinct vectors are compared. A vector goes by its smallest key, and at most its ``k + 1`` smallest keys can be among the nearest of any row,
+    since ties go to the smaller key; so the nearest ``k + 1`` vectors of each, ties decided by those names, hold its nearest ``k + 1`` rows, one of which may be the row itself.
+    """
+    sound = F.col(key).isNotNull() & F.col(vector).isNotNull()
+    rows = materialise(data.where(sound).select(F.col(key).alias("key"), F.col(vector).alias("v")), "rows")
+    one = materialise(rows.groupBy("v").agg(F.min("key").alias("name")), "distinct")
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("key"))).where(F.col("_r") <= k + 1)  # Spark keeps k + 1 rows before its shuffle
+    near = exact_neighbours(one, one, "name", "v", k + 1, keep_self=True)
+    held = first.join(one, "v").select(F.col("name").alias("neighbour"), "key")
+    order = Window.partitionBy("query").orderBy("distance", "key")
+    best = near.select("query", "neighbour", "distance").join(held, "neighbour").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
+    lists = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("distance", "key"))).alias("near"))  # k + 1 of them
+    lists = rows.withColumnRenamed("key", "query").join(one.join(lists.withColumnRenamed("query", "name"), "name").select("v", "near"), "v")
+    others = F.slice(F.filter("near", lambda x: x["key"] != F.col("query")), 1, k)
+    found = lists.select("query", F.posexplode(others).alias("rnk", "x"))
+    return found.select("query", F.col("x.key").alias("neighbour"), F.col("x.distance").alias("distance"), (F.col("rnk") + 1).alias("rnk"))
+
+
 def vote(neighbours: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
     """The commonest label among the neighbours of each query; ties go to the smaller label."""
     counts = neighbours.join(labels.select(F.col("id").alias("neighbour"), label), "neighbour").groupBy("query", label).agg(F.count(F.lit(1)).alias("votes"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import rank_quantile, rolling_mean
-from tessera.operators.graph import exact_neighbours
+from tessera.operators.graph import distinct_neighbours
 from tessera.operators.intervals import offset_counts
 from tessera.session import materialise
 
@@ -130,7 +130,7 @@ def background_features(features: DataFrame, key: str, columns: list[str], k: in
     for i, c in enumerate(columns):
         ranked = rank_quantile(ranked, c, f"_q{i}")
     v = ranked.select(key, F.array(*[F.col(f"_q{i}").cast("double") for i in range(len(columns))]).alias("v"))
-    near = exact_neighbours(v, v, key, "v", k)
+    near = distinct_neighbours(v, key, "v", k)  # many features have one rank in all columns
     order = Window.partitionBy("query").orderBy(F.xxhash64(F.col("query"), F.col("neighbour"), F.lit(seed)), "neighbour")
     return near.select(F.col("query").alias(key), F.row_number().over(order).alias("iteration"), F.col("neighbour").alias("background"))
 
