@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import rank_quantile, rolling_mean
 from tessera.operators.graph import distinct_neighbours
-from tessera.operators.intervals import offset_counts
+from tessera.operators.intervals import offset_counts, range_counts
 from tessera.session import materialise
 
 
@@ -143,26 +144,109 @@ def deviations(counts: DataFrame, annotation: DataFrame, background: DataFrame,
     in an iteration, the deviation is o / e - 1, so its sum and sum of squares over the iterations
     follow from those of o / e, to which absent entries add nothing.
     """
+    sets, drawn = _drawn(annotation, background, key, group)
     of_cell = counts.groupBy("cell").agg(F.sum("value").alias("_c"))
     of_peak = counts.groupBy(key).agg(F.sum("value").alias("_p"))
-    total = counts.agg(F.sum("value").cast("double").alias("_t"))
+    observed = counts.join(drawn, key).groupBy(group, "iteration", "cell").agg(F.sum(F.col("value") * F.col("_m")).alias("_o"))
+    mine = counts.join(sets, key).groupBy(group, "cell").agg(F.sum("value").alias("_o"))
+    return _deviations(sets, drawn, of_cell, of_peak, mine, observed, key, group)
+
+
+def deviations_of_points(points: DataFrame, features: DataFrame, annotation: DataFrame, background: DataFrame, totals: DataFrame, key: str = "peak_id", group: str = "motif") -> DataFrame:
+    """What :func:`deviations` gives for the counts of ``points`` (cell, chr, pos) in ``features`` (chr, start_pos, end_pos, key) without a ceiling.
+
+    ``totals`` (key, total) are the points in each feature, as :func:`feature_totals` gives them.
+    A set's count in a cell is the sum over the cell's points of how many of the set's features hold each, so that no entry of the matrix is made.
+    """
+    sets, drawn = _drawn(annotation, background, key, group)
+    ranges = features.select(key, "chr", "start_pos", "end_pos")
+    none = lambda c: F.lit(None).cast(drawn.schema[c].dataType).alias(c)
+    every = ranges.select("*", none(group), none("iteration"), F.lit(1).cast("long").alias("_m"), F.lit(0).alias("kind"))
+    own = ranges.join(sets, key).select(*ranges.columns, group, none("iteration"), "_m", F.lit(1).alias("kind"))
+    of_draw = ranges.join(drawn, key).select(*ranges.columns, group, "iteration", "_m", F.lit(2).alias("kind"))
+    sums = materialise(_set_depths(points, every.unionByName(own).unionByName(of_draw), group), "observed")
+    of_cell = sums.where("kind = 0").select("cell", F.col("_o").alias("_c"))
+    mine = sums.where("kind = 1").select(group, "cell", "_o")
+    observed = sums.where("kind = 2").select(group, "iteration", "cell", "_o")
+    return _deviations(sets, drawn, of_cell, totals.select(key, F.col("total").alias("_p")), mine, observed, key, group)
+
+
+def feature_totals(points: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """(key, total): points in each feature that holds any; a written table."""
+    found = range_counts(points.select("chr", "pos", F.lit(1).alias("one")), features, key, "one")
+    return materialise(found.select(key, F.col("n").alias("total")), "totals")
+
+
+def _set_depths(points: DataFrame, ranges: DataFrame, group: str, slab: int = 1 << 17, columns: int = 64) -> DataFrame:
+    """(cell, kind, group, iteration, _o): for every cell and set (kind, group, iteration) the sum of ``_m`` over pairs of a point and a range of the set that holds it, where it is not 0.
+
+    In a slab the depths of ``columns`` sets at a time are worked out at all positions, and the points of a cell add up theirs.
+    """
+    of = lambda c: F.floor(c / F.lit(slab))
+    kinds = {"cell": points.schema["cell"].dataType.simpleString(), "group": ranges.schema[group].dataType.simpleString()}
+    none = lambda k, c: F.lit(None).cast(k).alias(c)
+    p = points.where(F.col("chr").isNotNull() & F.col("pos").isNotNull()).groupBy("cell", "chr", F.col("pos").cast("long").alias("a")).agg(F.count(F.lit(1)).alias("m"))
+    p = p.select("chr", of(F.col("a")).alias("_slab"), "cell", none(kinds["group"], "group"), none("int", "iteration"), F.lit(-1).alias("kind"), "a", F.col("a").alias("b"), "m")
+    r = ranges.where(F.col("chr").isNotNull() & (F.col("end_pos") >= F.col("start_pos")))
+    r = r.select("chr", F.explode(F.sequence(of(F.col("start_pos")), of(F.col("end_pos")))).alias("_slab"), none(kinds["cell"], "cell"), F.col(group).alias("group"), F.col("iteration").cast("int").alias("iteration"), "kind", F.col("start_pos").cast("long").alias("a"), F.col("end_pos").cast("long").alias("b"), F.col("_m").alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        kind, a, b, m = (rows.column(c).to_numpy() for c in ("kind", "a", "b", "m"))
+        left, right = np.flatnonzero(kind < 0), np.flatnonzero(kind >= 0)
+        if not len(left) or not len(right):
+            return
+        coded = lambda c, at: pc.dictionary_encode(pa.concat_arrays(rows.column(c).chunks).take(pa.array(at)), null_encoding="encode")
+        cells, groups, iterations = coded("cell", left), coded("group", right), coded("iteration", right)
+        size = len(groups.dictionary), len(iterations.dictionary)
+        names, of_set = np.unique(np.ravel_multi_index((kind[right], groups.indices.to_numpy(), iterations.indices.to_numpy()), (3, *size)), return_inverse=True)
+        by_cell = cells.indices.to_numpy().argsort(kind="stable")
+        code, left = cells.indices.to_numpy()[by_cell], left[by_cell]
+        base = a[left[0]] // slab * slab
+        place, times = a[left] - base, m[left].astype(float)[:, None]
+        first, last = np.maximum(a[right] - base, 0), np.minimum(b[right] - base + 1, slab)
+        edges = np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code))  # where cells begin
+        for low in range(0, len(names), columns):
+            here = np.flatnonzero((of_set >= low) & (of_set < low + columns))
+            width = min(columns, len(names) - low)
+            at, step = np.concatenate([first[here], last[here]]) * width + np.tile(of_set[here] - low, 2), m[right[here]].astype(float)
+            depth = np.bincount(at, np.concatenate([step, -step]), (slab + 1) * width).reshape(-1, width)
+            np.cumsum(depth, 0, out=depth)
+            c = 0
+            while c < len(edges) - 1:  # some cells at a time
+                d = max(c + 1, int(np.searchsorted(edges, edges[c] + (1 << 15), "right")) - 1)
+                part = slice(edges[c], edges[d])
+                sums = np.rint(np.add.reduceat(depth[place[part]] * times[part], edges[c:d] - edges[c], 0)).astype(np.int64)
+                x, y = np.nonzero(sums)
+                k, g, i = np.unravel_index(names[low + y], (3, *size))
+                yield pa.RecordBatch.from_arrays([cells.dictionary.take(pa.array(code[edges[c:d]][x])), pa.array(k.astype(np.int32)), groups.dictionary.take(pa.array(g)), iterations.dictionary.take(pa.array(i)), pa.array(sums[x, y])], names=["cell", "kind", "group", "iteration", "_o"])
+                c = d
+
+    met = p.unionByName(r).groupBy("chr", "_slab").applyInArrow(run, f"cell {kinds['cell']}, kind int, group {kinds['group']}, iteration int, _o bigint")
+    return met.groupBy("cell", "kind", F.col("group").alias(group), "iteration").agg(F.sum("_o").alias("_o"))
+
+
+def _drawn(annotation: DataFrame, background: DataFrame, key: str, group: str) -> tuple[DataFrame, DataFrame]:
+    """Sets of features and, written, those drawn for them in each iteration, with how often each was drawn in ``_m``."""
+    sets = annotation.select(group, key).distinct().withColumn("_m", F.lit(1).cast("long"))
+    drawn = sets.join(background, key).groupBy(group, "iteration", F.col("background").alias(key)).agg(F.count(F.lit(1)).alias("_m"))  # a peak may be drawn twice
+    return sets, materialise(drawn, "drawn")
+
+
+def _deviations(sets: DataFrame, drawn: DataFrame, of_cell: DataFrame, of_peak: DataFrame, mine: DataFrame, observed: DataFrame, key: str, group: str) -> DataFrame:
+    """Deviations from the counts of cells ``_c``, of peaks ``_p``, and of sets ``_o`` in cells."""
+    total = of_peak.agg(F.sum("_p").cast("double").alias("_t"))
 
     def shares(sets: DataFrame, by: list[str]) -> DataFrame:
         """What part of all counts lies in each set; one row a set."""
         sums = sets.join(of_peak, key).groupBy(*by).agg(F.sum(F.col("_p") * F.col("_m")).alias("_s"))
         return sums.crossJoin(F.broadcast(total)).select(*by, (F.col("_s") / F.col("_t")).alias("_share"))  # one row
 
-    sets = annotation.select(group, key).distinct()
-    own_sets = sets.withColumn("_m", F.lit(1).cast("long"))
-    drawn = sets.join(background, key).groupBy(group, "iteration", F.col("background").alias(key)).agg(F.count(F.lit(1)).alias("_m"))  # a peak may be drawn twice
-    drawn = materialise(drawn, "drawn")
-    observed = counts.join(drawn, key).groupBy(group, "iteration", "cell").agg(F.sum(F.col("value") * F.col("_m")).alias("_o"))
     share = shares(drawn, [group, "iteration"]).where(F.col("_share") > 0)
     rounds = share.groupBy(group).agg(F.count(F.lit(1)).alias("_k"))
     ratio = F.col("_o") / F.col("_share")
     sums = observed.join(share, [group, "iteration"]).groupBy(group, "cell").agg(F.sum(ratio).alias("_r"), F.sum(ratio * ratio).alias("_rr"))
-    mine = counts.join(own_sets, key).groupBy(group, "cell").agg(F.sum("value").alias("_o"))
-    grid = shares(own_sets, [group]).join(rounds, group, "left").crossJoin(of_cell)  # the result has a row for every motif and cell
+    grid = shares(sets, [group]).join(rounds, group, "left").crossJoin(of_cell)  # the result has a row for every motif and cell
     full = grid.join(mine, [group, "cell"], "left").join(sums, [group, "cell"], "left")
     c, k = F.nullif(F.col("_c").cast("double"), F.lit(0.0)), F.col("_k")
     own = F.coalesce("_o", F.lit(0)) / (c * F.nullif(F.col("_share"), F.lit(0.0))) - 1

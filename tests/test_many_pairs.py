@@ -1,8 +1,10 @@
 """Operators whose work once grew with pairs that their result does not hold."""
 
 import numpy as np
+import pytest
 
-from tessera.operators import graph, motifs
+import __spark_entry__ as entry
+from tessera.operators import graph, matrix, motifs
 
 
 def test_background_of_many_equal_features(spark, monkeypatch):
@@ -18,3 +20,24 @@ def test_background_of_many_equal_features(spark, monkeypatch):
         near = sorted((abs(rank[k] - rank[b]), b) for b in range(len(v)) if b != k)[:5]
         assert sorted(group["background"]) == sorted(b for _, b in near) and sorted(group["iteration"]) == [1, 2, 3, 4, 5]
     assert found["peak_id"].nunique() == len(v)
+
+
+def test_deviations_of_points_without_a_matrix(spark):
+    rng = np.random.default_rng(2)
+    start = rng.integers(1, 400_000, 40)
+    peaks = [(k, f"c{k % 2}", int(s), int(s) + [30_000, 200_000][k % 5 == 0]) for k, s in enumerate(start)]  # some reach over several slabs
+    points = [(f"x{rng.integers(6)}", f"c{rng.integers(2)}", int(rng.integers(1, 500_000))) for _ in range(400)] * 2
+    peaks, points = spark.createDataFrame(peaks, "peak_id long, chr string, start_pos long, end_pos long"), spark.createDataFrame(points, "cell string, chr string, pos long")
+    annotation = spark.createDataFrame([(m, k) for k in range(40) for m in "mn" if rng.random() < 0.3], "motif string, peak_id long")
+    background = spark.createDataFrame([(k, i, int(rng.integers(40))) for k in range(40) for i in range(1, 5)], "peak_id long, iteration int, background long")
+    counts = matrix.feature_matrix(points, peaks, "peak_id", None)
+    want = {(r["motif"], r["cell"]): r for r in motifs.deviations(counts, annotation, background).collect()}
+    got = motifs.deviations_of_points(points, peaks, annotation, background, motifs.feature_totals(points, peaks, "peak_id")).collect()
+    assert len(got) == len(want) == 12
+    for r in got:
+        assert r["deviation"] == pytest.approx(want[r["motif"], r["cell"]]["deviation"]) and r["z"] == pytest.approx(want[r["motif"], r["cell"]]["z"])
+
+
+def test_query_of_deviations_makes_no_entry_of_the_matrix(spark, root, monkeypatch):
+    monkeypatch.setattr(matrix, "feature_matrix", lambda *a, **k: pytest.fail("a row a peak and cell"))
+    assert entry.queries()["deviations"](spark, root).count() > 0
