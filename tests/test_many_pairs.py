@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.operators import graph, matrix, motifs
+from tessera.operators import graph, links, matrix, motifs
 
 
 def test_background_of_many_equal_features(spark, monkeypatch):
@@ -41,3 +42,27 @@ def test_deviations_of_points_without_a_matrix(spark):
 def test_query_of_deviations_makes_no_entry_of_the_matrix(spark, root, monkeypatch):
     monkeypatch.setattr(matrix, "feature_matrix", lambda *a, **k: pytest.fail("a row a peak and cell"))
     assert entry.queries()["deviations"](spark, root).count() > 0
+
+
+def near_peaks(rng, n):
+    at = np.concatenate([rng.integers(1, 200_000, n - 4), [65_534, 65_535, 65_536, 65_536]])  # over the borders of slabs
+    return [(int(k), f"c{k % 2}", int(p), int(p) + 1) for k, p in zip(rng.permutation(n), at)]
+
+
+def test_correlations_of_near_peaks_join_no_pair(spark):
+    rng = np.random.default_rng(3)
+    peaks, x = near_peaks(rng, 60), rng.poisson(1.5, (60, 14)).astype(float)
+    x[7] = 0
+    m = spark.createDataFrame([(k, f"g{g}", v) for k, row in enumerate(x.tolist()) for g, v in enumerate(row) if v], "feature long, group string, value double")
+    logs = np.log2(x * 1e4 / x.sum(0) + 1)
+    want = {(i, j): (abs(p - q), np.corrcoef(logs[i], logs[j])[0, 1], logs[i].var(ddof=1), logs[j].var(ddof=1)) for i, c, p, _ in peaks for j, d, q, _ in peaks if i < j and c == d and abs(p - q) <= 20_000 and 7 not in (i, j)}
+    found = links.peak_correlations(m, spark.createDataFrame(peaks, "peak_id long, chr string, start_pos long, end_pos long"), 14, distance=20_000)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    got = {(r["id1"], r["id2"]): (r["distance"], r["correlation"], r["var1"], r["var2"]) for r in found.collect()}
+    assert set(got) == set(want) and found.count() == len(want) and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_rounding_as_spark(spark):
+    x = np.array([0.5, -0.5, 0.000005, -0.000005, 0.123455, -0.123455, 0.000015, 1.0, -1e-9, 0.1234549999999999])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "v double").select(F.round("v", 5) + 0.0).collect()]
+    assert matrix.rounded(x, 5).tolist() == want and not np.signbit(matrix.rounded(x, 5)[8])
