@@ -66,3 +66,8 @@ def test_rounding_as_spark(spark):
     x = np.array([0.5, -0.5, 0.000005, -0.000005, 0.123455, -0.123455, 0.000015, 1.0, -1e-9, 0.1234549999999999])
     want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "v double").select(F.round("v", 5) + 0.0).collect()]
     assert matrix.rounded(x, 5).tolist() == want and not np.signbit(matrix.rounded(x, 5)[8])
+
+
+def test_query_of_aggregates_makes_no_entry_of_the_matrix(spark, root, monkeypatch):
+    monkeypatch.setattr(matrix, "feature_matrix", lambda *a, **k: pytest.fail("a row a peak and cell"))
+    assert entry.queries()["coaccessibility_of_cells"](spark, root).count() > 0
