@@ -71,3 +71,20 @@ def test_rounding_as_spark(spark):
 def test_query_of_aggregates_makes_no_entry_of_the_matrix(spark, root, monkeypatch):
     monkeypatch.setattr(matrix, "feature_matrix", lambda *a, **k: pytest.fail("a row a peak and cell"))
     assert entry.queries()["coaccessibility_of_cells"](spark, root).count() > 0
+
+
+@pytest.mark.parametrize("cut", [0.3, -0.3, 0.6])
+def test_tested_links_are_those_of_all_pairs(spark, monkeypatch, cut):
+    monkeypatch.setattr(links, "ORDERED", 60)
+    rng = np.random.default_rng(4)
+    peaks = spark.createDataFrame([(k, c, p, q + 400) for k, c, p, q in near_peaks(rng, 80)], "peak_id long, chr string, start_pos long, end_pos long")
+    genes = spark.createDataFrame([(100 + k, f"c{k % 2}", int(p), int(p) + 900, "+-"[k % 2]) for k, p in enumerate(rng.integers(1, 200_000, 30))], "gene_id long, chr string, start_pos long, end_pos long, strand string")
+    m = [spark.createDataFrame([(f + k, f"g{g}", float(v)) for k in range(n) for g, v in enumerate(rng.poisson(2, 14)) if v], "feature long, group string, value double") for f, n in ((0, 80), (100, 30))]
+    every = links.peak_gene_links(*m, peaks, genes, 14, 30_000)
+    columns = ["chr", "id1", "id2", "distance", "correlation", "fdr", "var_quantile"]
+    want = {(r["id1"], r["id2"]): r for r in links.filter_links(links.variance_quantiles(every, "var1", "id1", "var_quantile"), cut, 0.99).select(*columns).collect()}
+    monkeypatch.setattr(links, "with_significance", lambda *a: pytest.fail("every pair is written and tested"))
+    got = {(r["id1"], r["id2"]): r for r in links.tested_links(*m, peaks, genes, 14, 30_000, cut, 0.99).collect()}
+    assert set(got) == set(want) and len(want) > 10
+    for pair, r in got.items():
+        assert all(r[c] == (pytest.approx(want[pair][c]) if isinstance(r[c], float) else want[pair][c]) for c in columns)
