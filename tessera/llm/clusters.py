@@ -12,6 +12,8 @@ entries alternate until the flow stands still; the attractor in which a leaf's f
 cluster.  Clusters that keep a good share of their links to each other are the nodes of a next, smaller matrix,
 until no such links are left, so that large populations come out whole (but a thread-like one, whose leaves
 follow each other in a row, in pieces).
+A matrix of few entries, which any comes to in the end, goes through its rounds and levels in one task, since jobs for
+its rounds would cost the driver far more than their work; the steps are the same.
 The rows of the leaves of strongest flow represent a cluster.
 """
 
@@ -47,6 +49,8 @@ INFLATION, PRUNE = 2.0, 0.05
 CUT = 0.02
 #: The flow has stood still long before; if not, that is an error.
 MOST_ROUNDS = 500
+#: A graph of at most so many links is clustered in one task, unless a round of its flow has more than so many products; so many of them are listed at once.
+LINKS, PRODUCTS, LISTED = 1 << 20, 1 << 25, 1 << 20
 
 
 def _halves(x: np.ndarray, rounds: int = 8) -> np.ndarray | None:
@@ -289,16 +293,143 @@ def markov_clusters(graph: DataFrame, inflation: float = INFLATION, prune: float
     return ends
 
 
-def clusters_of_clusters(graph: DataFrame, rows: DataFrame) -> DataFrame:
+def _summed(i: np.ndarray, j: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries with those of one place added up, in the order of columns and rows."""
+    place = j * n + i
+    order = place.argsort(kind="stable")
+    place = place[order]
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(place)])
+    return place[first] % n, place[first] // n, np.add.reduceat(x[order], first) if len(first) else np.zeros(0)
+
+
+def _of_column(of: np.ufunc, j: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each entry, sum or greatest entry of its column; entries are in the order of columns."""
+    first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]])[: len(j)])
+    return np.repeat(of.reduceat(x, first), np.diff(np.append(first, len(j))))
+
+
+def _still(i: np.ndarray, j: np.ndarray, x: np.ndarray, n: int, inflation: float, prune: float, products: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """:func:`markov_clusters` of a similarity graph of nodes below ``n``, as arrays; None if a round has more than ``products`` products."""
+    order = np.lexsort((i, j))
+    i, j, x = i[order], j[order], x[order]
+    most = np.zeros(n)
+    np.maximum.at(most, j, x)
+    own, looped = np.zeros(n), i == j
+    np.maximum.at(own, j[looped], x[looped])
+    has_own = np.bincount(j[looped], minlength=n) > 0
+    columns = np.unique(j)
+    loops = np.maximum(np.where(has_own, own, most)[columns], 1e-9)
+    i, j, x = _summed(np.concatenate([i[~looped], columns]), np.concatenate([j[~looped], columns]), np.concatenate([x[~looped], loops]), n)
+    x = x / _of_column(np.add, j, x)
+    for rounds in range(1, MOST_ROUNDS + 1):
+        at = np.searchsorted(j, np.arange(n + 1))
+        size = np.diff(at)[i]
+        before = np.concatenate([[0], size.cumsum()])
+        if before[-1] > products:
+            return None
+        edges = np.flatnonzero(np.diff(before[at[:-1]] // LISTED, prepend=-1))
+        parts = []
+        for a, b in zip(at[edges], np.append(at[edges[1:]], len(j))):  # whole columns
+            if a == b:
+                continue
+            by = np.repeat(np.arange(a, b), size[a:b])
+            of = at[i[by]] + np.arange(len(by)) - (before[by] - before[a])
+            i2, j2, x2 = _summed(i[of], j[by], (x[of] * x[by]).astype(np.float32).astype(np.float64), n)
+            x2 = x2**inflation
+            kept = x2 >= prune * _of_column(np.maximum, j2, x2)
+            parts.append((i2[kept], j2[kept], x2[kept]))
+        i, j, x = (np.concatenate(z) for z in zip(*parts))
+        x = x / _of_column(np.add, j, x)
+        if rounds % 2 == 0 and (_of_column(np.maximum, j, x) - _of_column(np.add, j, x * x)).max() < 1e-2:
+            break
+    else:
+        raise RuntimeError(f"the flow has not stood still after {MOST_ROUNDS} rounds")
+    high = _of_column(np.maximum, j, x)
+    kept = x >= 0.9 * high
+    i, j, high = i[kept], j[kept], high[kept]
+    first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))  # the smallest node of each column
+    return j[first], i[first], high[first]
+
+
+def _levels(i: np.ndarray, j: np.ndarray, x: np.ndarray, inner: np.ndarray, level: int, products: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The levels of :func:`clusters_of_clusters` from ``level`` on, as arrays; nodes are numbers, with ``inner`` for each. None as in :func:`_still`."""
+    n = len(inner)
+    nodes = np.unique(j)
+    placed: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    while True:
+        has = np.bincount(j, minlength=n) > 0
+        volume = np.bincount(j, x, n) + inner
+        strong = has[i] & (x >= CUT * np.minimum(volume[i], volume[j]))
+        if not strong.any():
+            break
+        si, sj, sx = i[strong], j[strong], x[strong]
+        if not level:
+            own = np.unique(sj)
+            si, sj, sx = np.concatenate([si, own]), np.concatenate([sj, own]), np.concatenate([sx, np.maximum(inner[own], 1e-9)])
+        ends = _still(si, sj, sx, n, INFLATION, PRUNE, products)
+        if ends is None:
+            return None
+        to, flow = np.arange(n), np.ones(n)
+        to[ends[0]], flow[ends[0]] = ends[1], ends[2]
+        placed = ends if placed is None else (placed[0], to[placed[1]], placed[2] * flow[placed[1]])
+        if (ends[0] == ends[1]).all() and level:
+            break
+        level += 1
+        i, j, x = _summed(to[i], to[j], x, n)
+        inner = np.bincount(to[has], inner[has], n)
+        looped = i == j
+        inner[j[looped]] += x[looped]
+        i, j, x = i[~looped], j[~looped], x[~looped]
+    return placed if placed is not None else (nodes, nodes, np.ones(len(nodes)))
+
+
+def _in_one_task(graph: DataFrame, inner: DataFrame, level: int, products: int) -> DataFrame:
+    """``node``, ``attractor`` and ``flow`` of a graph of few links by :func:`_levels`; no row if a round has too many products."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_rows = [b for b in batches if b.num_rows]
+        if not all_rows:
+            return
+        rows = pa.Table.from_batches(all_rows)
+        j, x = rows.column("j").to_numpy(), rows.column("x").to_numpy()
+        linked_, i = rows.column("i").is_valid().to_numpy(), rows.column("i").fill_null(0).to_numpy()
+        names = np.unique(np.concatenate([i[linked_], j[linked_]]))
+        if not len(names):
+            return
+        k = np.minimum(np.searchsorted(names, j), len(names) - 1)
+        own = ~linked_ & (names[k] == j)
+        found = _levels(np.searchsorted(names, i[linked_]), k[linked_], x[linked_], np.bincount(k[own], x[own], len(names)), level, products)
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(names[found[0]]), pa.array(names[found[1]]), pa.array(found[2])], names=["node", "attractor", "flow"])
+
+    both = graph.select("i", "j", "x").unionByName(inner.select(F.lit(None).cast("long").alias("i"), "j", F.col("x").cast("double").alias("x")))
+    return materialise(both.coalesce(1).mapInArrow(run, "node bigint, attractor bigint, flow double"), "ends")
+
+
+def _onward(placed: DataFrame, ends: DataFrame) -> DataFrame:
+    """``placed`` with its attractors moved to those of ``ends``."""
+    to = ends.select(F.col("node").alias("attractor"), F.col("attractor").alias("_to"), F.col("flow").alias("_f"))
+    moved = placed.join(to, "attractor", "left").select("node", F.coalesce("_to", "attractor").alias("attractor"), (F.col("flow") * F.coalesce("_f", F.lit(1.0))).alias("flow"))
+    out = materialise(moved, "placed")
+    discard(placed)
+    return out
+
+
+def clusters_of_clusters(graph: DataFrame, rows: DataFrame, links: int = LINKS, products: int = PRODUCTS) -> DataFrame:
     """``node``, ``attractor`` and ``flow`` of the nodes with links, by Markov clustering of the graph (i, j, x), then of the clusters found, and so on.
 
     ``rows`` (j, x) is how much each node is like itself.  A link between two clusters counts if it is at least CUT of all
     that either of them is linked to, itself included.  The levels end when no link counts or no clusters merge.
+    From the level on at which at most ``links`` links are left, one task does the rest, unless a round there has more than ``products`` products.
     """
     graph, inner = materialise(graph, "graph"), rows
     placed: DataFrame | None = None
     level = 0
     while True:
+        if graph.limit(links + 1).count() <= links:
+            ends = _in_one_task(graph, inner, level, products)
+            if ends.limit(1).count():
+                return ends if placed is None else _onward(placed, ends)
         outer = graph.groupBy("j").agg(F.sum("x").alias("_out"))
         volume = materialise(outer.join(inner, "j", "left").select("j", (F.col("_out") + F.coalesce("x", F.lit(0.0))).alias("_v"), F.coalesce("x", F.lit(0.0)).alias("_in")), "volume")
         sized = graph.join(volume.select("j", F.col("_v").alias("_vj")), "j").join(volume.select(F.col("j").alias("i"), F.col("_v").alias("_vi")), "i")
@@ -314,10 +445,7 @@ def clusters_of_clusters(graph: DataFrame, rows: DataFrame) -> DataFrame:
         if placed is None:
             placed = ends
         else:
-            onward = ends.select(F.col("node").alias("attractor"), F.col("attractor").alias("_to"), F.col("flow").alias("_f"))
-            moved = placed.join(onward, "attractor", "left")
-            old, placed = placed, materialise(moved.select("node", F.coalesce("_to", "attractor").alias("attractor"), (F.col("flow") * F.coalesce("_f", F.lit(1.0))).alias("flow")), "placed")
-            discard(old)
+            placed = _onward(placed, ends)
         if not merged and level:
             break
         level += 1

@@ -100,6 +100,28 @@ def test_flow_of_two_triangles(spark):
     assert len({ends[0], ends[1], ends[2]}) == 1 and len({ends[3], ends[4], ends[5]}) == 1 and ends[0] != ends[3]
 
 
+def test_few_links_are_clustered_in_one_task_like_many(spark):
+    rng = np.random.default_rng(3)
+    at = rng.normal(size=(6, 2)) * 6
+    x = np.concatenate([a + rng.normal(size=(40, 2)) for a in at])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    i, j = np.nonzero((d < 1.2) & (d > 0))
+    links = [(int(a) * 3 + 1, int(b) * 3 + 1, float(1.3 - d[a, b])) for a, b in zip(i, j)]
+    graph = spark.createDataFrame(links, "i bigint, j bigint, x double")
+    own = spark.createDataFrame([(k * 3 + 1, 1.0 + k % 5) for k in range(len(x) + 3)], "j bigint, x double")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    began = jobs()
+    few = clusters.clusters_of_clusters(graph, own)
+    one_task = jobs() - began
+    many = clusters.clusters_of_clusters(graph, own, products=1)  # given up in one task, at every level
+    later = clusters.clusters_of_clusters(graph, own, links=len(links) // 2)
+    assert one_task < 20
+    want = {r["node"]: (r["attractor"], round(r["flow"], 6)) for r in many.collect()}
+    assert 1 < len({a for a, _ in want.values()}) < len(want)
+    for found in (few, later):
+        assert {r["node"]: (r["attractor"], round(r["flow"], 6)) for r in found.collect()} == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_too_few_for_a_population(spark, n):
     assert populations(table(spark, np.zeros((n, DIM), np.float32)), "id", "v", DIM).count() == 0
