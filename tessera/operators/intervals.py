@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.periods import periods_and_gaps
+from tessera.operators.skew import heavy_keys
 from tessera.session import discard, materialise
 
 
@@ -87,6 +88,47 @@ def overlap_pairs(left: DataFrame, right: DataFrame, bin_width: int = 4096, with
     return a.join(b, ["chr", "_bin"]).where(test & (F.col("_bin") == F.greatest("_fa", "_fb"))).select("a", "b")
 
 
+def many_overlap_pairs(left: DataFrame, right: DataFrame, bin_width: int = 512, heavy_rows: int = 20_000, salts: int = 16) -> DataFrame:
+    """The rows (a, b) of :func:`overlap_pairs`, for results that are far larger than both tables.
+
+    Of two intervals that overlap either a begins in b, or b begins in a and behind its start.  So each pair is found
+    once, in the bin of that start, and few others are looked at if bins are not wider than the intervals usually are.
+    Columns travel one by one, so that those nobody asks for don't; the number of tasks goes by the cores and not by the
+    bytes shuffled, which are few for the pairs that come of them.  Bins that hold many rows of a side are cut by hash.
+    """
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    key = ["_chr", "_bin"]
+
+    def named(df: DataFrame, side: str) -> DataFrame:
+        return df.select(F.col("chr").alias("_chr"), *[F.col(c).alias(f"_{side}_{c}") for c in df.columns])
+
+    def at(df: DataFrame, side: str) -> DataFrame:
+        return df.withColumn("_bin", F.floor(F.col(f"_{side}_start_pos") / bin_width))
+
+    def over(df: DataFrame, side: str) -> DataFrame:
+        start, end = F.col(f"_{side}_start_pos"), F.col(f"_{side}_end_pos")
+        return df.where(start <= end).withColumn("_bin", F.explode(F.sequence(F.floor(start / bin_width), F.floor(end / bin_width))))
+
+    def met(a: DataFrame, b: DataFrame, test: Column) -> DataFrame:
+        heavy = {side: F.broadcast(heavy_keys(df, key, heavy_rows).select(*key, F.lit(True).alias(f"_heavy_{side}"))) for side, df in (("a", a), ("b", b))}
+
+        def cut(df: DataFrame, own: str, other: str) -> DataFrame:
+            row = [c for c in df.columns if c not in key]
+            marked = df.join(heavy[own], key, "left").join(heavy[other], key, "left")
+            marked = marked.withColumn(f"_part_{own}", F.when(F.col(f"_heavy_{own}"), F.pmod(F.xxhash64(*row), F.lit(salts))).otherwise(0).cast("int"))
+            every = F.when(F.col(f"_heavy_{other}"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+            return marked.withColumn(f"_part_{other}", F.explode(every)).select(*key, "_part_a", "_part_b", *row).repartition(tasks, *key, "_part_a", "_part_b")
+
+        return cut(a, "a", "b").join(cut(b, "b", "a").hint("merge"), [*key, "_part_a", "_part_b"]).where(test)
+
+    a, b = named(left, "a"), named(right, "b")
+    test = (F.col("_a_start_pos") <= F.col("_b_end_pos")) & (F.col("_a_end_pos") >= F.col("_b_start_pos"))
+    behind = F.col("_b_start_pos") > F.col("_a_start_pos")
+    a_in_b, b_in_a = met(at(a, "a"), over(b, "b"), test & ~behind), met(over(a, "a"), at(b, "b"), test & behind)
+    return a_in_b.unionByName(b_in_a).select(*[F.struct(*[F.col(f"_{side}_{c}").alias(c) for c in df.columns]).alias(side) for side, df in (("a", left), ("b", right))])
+
+
 def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", bin_width: int = 4096, within: bool = False) -> DataFrame:
     """Interval join: ``inner`` gives structs a and b, ``semi`` and ``anti`` the rows of ``left`` with or without a partner.
 

@@ -67,7 +67,7 @@ SELECT peak_id, gene_id, CAST(greatest(0, greatest(g.start_pos - p.end_pos, p.st
 FROM peaks p JOIN genes g ON p.chr = g.chr AND p.start_pos <= g.end_pos AND p.end_pos >= g.start_pos"""))
 def overlap_inner(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of overlapping peaks and genes."""
-    hits = I.overlap_join(A.peaks(spark, root), A.genes(spark, root))
+    hits = I.many_overlap_pairs(A.peaks(spark, root), A.genes(spark, root))
     return hits.select("a.peak_id", "b.gene_id", I.gap_distance().alias("distance"))
 
 

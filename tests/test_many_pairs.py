@@ -1,11 +1,14 @@
 """Operators whose work once grew with pairs that their result does not hold."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.operators import graph, links, matrix, motifs
+from tessera.operators import intervals as I
 
 
 def test_background_of_many_equal_features(spark, monkeypatch):
@@ -88,3 +91,25 @@ def test_tested_links_are_those_of_all_pairs(spark, monkeypatch, cut):
     assert set(got) == set(want) and len(want) > 10
     for pair, r in got.items():
         assert all(r[c] == (pytest.approx(want[pair][c]) if isinstance(r[c], float) else want[pair][c]) for c in columns)
+
+
+def test_overlap_inner_is_not_left_to_few_tasks(spark, root):
+    found = entry.queries()["overlap_inner"](spark, root)
+    assert found.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("heavy_rows", [3, 20_000])
+def test_many_overlap_pairs_are_all_pairs(spark, heavy_rows):
+    rng = random.Random(5)
+
+    def some(n):
+        rows = [(k, f"chr{k % 2}", s, s + rng.choice([0, 1, 5, 40, 90, -1, -30])) for k, s in enumerate(rng.choice([7, 16, rng.randrange(-40, 300)]) for _ in range(n))]
+        return rows + [rows[0], (n, None, 5, 9), (n + 1, "chr0", None, 9), (n + 2, "chr0", 5, None), (n + 3, "chr9", 1, 900)]
+
+    left, right = some(120), some(90)
+    schema = "id long, chr string, start_pos long, end_pos long"
+    hits = I.many_overlap_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), bin_width=16, heavy_rows=heavy_rows, salts=3)
+    found = sorted((r["a"]["id"], r["b"]["id"]) for r in hits.select("a", "b").collect())
+    sound = lambda rows: [r for r in rows if None not in r]
+    want = sorted((a[0], b[0]) for a in sound(left) for b in sound(right) if a[1] == b[1] and a[2] <= b[3] and a[3] >= b[2])
+    assert found == want
