@@ -61,3 +61,9 @@ def test_query_of_correlations_writes_no_matrix(spark, root, monkeypatch):
     for module in (matrix, links):
         monkeypatch.setattr(module, "feature_groups", lambda *a: pytest.fail("a row a peak and group"))
     assert entry.queries()["coaccessibility"](spark, root).count() > 0
+
+
+def test_query_of_aggregates_writes_no_matrix(spark, root, monkeypatch):
+    for module in (matrix, links):
+        monkeypatch.setattr(module, "feature_groups", lambda *a: pytest.fail("a row a peak and group"))
+    assert entry.queries()["coaccessibility_of_cells"](spark, root).count() > 0
